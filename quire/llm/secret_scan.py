@@ -261,6 +261,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
     return docs.mapInArrow(run, schema)
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """op6: counts of the base kinds, a digest of the base spans, and all spans as text."""
     spans = scan(docs)
@@ -269,7 +273,7 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
