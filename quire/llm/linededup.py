@@ -18,44 +18,53 @@ its lines are kept. Extra columns pass through ``clean``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MIN_SITES, LOG_K = 10, 12
+SMALL = 200_000  # rows of 32 bytes that may be broadcast
+BLANK = " \t\n\x0b\f\r"
 NEAR = (0.5, 2.0)  # times the threshold; the sketch's relative error is 1.6 %
 
 
 def lines(docs: DataFrame, text: str, key: str, site: str) -> DataFrame:
     """(id, pos, h1, h2, site) of every line that is not blank."""
     one = docs.select(F.col(key).alias("id"), F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    line = F.btrim("raw", F.lit(BLANK))
     return one.select("id", "pos", "site", line.alias("line")).where("line <> ''").select("id", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def spread(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
     """(h1, h2, first id, first pos) of the lines on at least min_sites sites."""
     rows = lines(docs, text, key, site)
-    # A line on fewer rows than min_sites cannot reach it: counts are cheap, sketches then follow for few lines.
-    often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    sketched = (
-        rows.join(often, same, "left_semi")
-        .groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("id", "pos")).alias("first"))
-        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
-    )
+    # Partial sketches are merged per line on both sides of the shuffle, so a line on a third of all rows stays small.
+    merged = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("id", "pos")).alias("first"))
+    sketched = materialize(merged.where(F.col("n") >= min_sites).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = (int(min_sites * x) for x in NEAR)
     sure = sketched.where(F.col("sites") >= high)
     near = sketched.where((F.col("sites") >= low) & (F.col("sites") < high))
-    wanted = near.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    exact = rows.join(wanted, same, "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    near = near.join(exact.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")), same, "left_semi")
-    return sure.union(near).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+    keys, same = _keys(near)
+    if near.count() <= SMALL:
+        exact = rows.join(F.broadcast(keys), same, "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    else:  # distinct (line, site) pairs come before the join, so that no line is a hot key of it
+        pairs = rows.where(F.col("site").isNotNull()).select("h1", "h2", "site").distinct()
+        exact = pairs.join(keys, same, "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
+    keys, same = _keys(exact.where(F.col("sites") >= min_sites))
+    columns = ["h1", "h2", "first_id", "first_pos"]
+    return materialize(sure.select(*columns).union(near.join(keys, same, "left_semi").select(*columns)))
+
+
+def _keys(found: DataFrame) -> tuple[DataFrame, Column]:
+    """The hashes of lines under names of their own, and the condition that joins them."""
+    return found.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
 
 
 def removed(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
     """(id, places array<int>): the lines that each document loses."""
     found = spread(docs, min_sites, text, key, site).withColumnsRenamed({"h1": "k1", "h2": "k2"})
+    found = F.broadcast(found) if found.count() <= SMALL else found
     hits = lines(docs, text, key, site).join(found, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     hits = hits.where(~((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))).where("id is not null")
     return hits.groupBy("id").agg(F.collect_set("pos").alias("places"))
@@ -82,7 +91,7 @@ ORACLE = f"""
 with raw as (
   select doc_id, source, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents
 ), line as (
-  select doc_id, source, pos, raw, regexp_replace(raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') as line from raw
+  select doc_id, source, pos, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from raw
 ), wide as (
   select line, min((doc_id, pos)) as first from line where line <> '' group by line having count(distinct source) >= {MIN_SITES}
 ), flagged as (
