@@ -11,8 +11,14 @@ from quire.sources.scratch import stored
 from quire.sources.tables import LINES_SQL, lines, table
 
 L = f"with l as ({LINES_SQL})"
-BY = W.partitionBy("doc_id")
-O = BY.orderBy("pos")  # noqa: E741
+
+
+def in_doc():
+    return W.partitionBy("doc_id")
+
+
+def in_order():
+    return in_doc().orderBy("pos")
 
 
 @query(f"{L} select doc_id, pos, length(text) as n_chars, length(text) > 0 as visible from l")
@@ -27,7 +33,7 @@ _START = "coalesce(sum(length(text) + 1) over (partition by doc_id order by pos
 @query(f"{L} select doc_id, pos, {_START} as start, ({_START} + length(text))::bigint as stop, length(text)::integer as utf16 from l")
 def line_offsets_utf16(spark, sf_dir):
     """Code-point offsets of every line and its length in UTF-16 units."""
-    before = F.coalesce(F.sum(F.length("text") + 1).over(O.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return lines(spark, sf_dir).select("doc_id", "pos", before.alias("start"), (before + F.length("text")).alias("stop"), P.utf16_length(F.col("text")).alias("utf16"))
 
 
@@ -39,8 +45,8 @@ _NEXT = "coalesce(first_value(case when trim(text) <> '' then sha256(text) end i
 def line_next_prev_hash(spark, sf_dir):
     """Digests of the nearest lines with text on both sides."""
     seen = F.when(F.trim("text") != "", F.sha2("text", 256))
-    previous = F.last(seen, True).over(O.rowsBetween(W.unboundedPreceding, -1))
-    following = F.last(seen, True).over(BY.orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1))
+    previous = F.last(seen, True).over(in_order().rowsBetween(W.unboundedPreceding, -1))
+    following = F.last(seen, True).over(in_doc().orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1))
     return lines(spark, sf_dir).select("doc_id", "pos", F.sha2("text", 256).alias("digest"), F.coalesce(previous, F.lit("")).alias("previous"), F.coalesce(following, F.lit("")).alias("next"))
 
 
@@ -63,8 +69,8 @@ def segment_ordinals(spark, sf_dir):
 @query(f"{L}, o as (select doc_id, pos, text, {_START} as start from l), c as (select *, coalesce(lag(start + length(text)) over (partition by doc_id order by pos), -1) as before from o) select c.doc_id, count(*) as segments, (count_if(start <= before and pos > 0))::bigint as overlaps, (sum(length(c.text)) + count(*) - 1 = any_value(length(d.text)))::boolean as conserved from c join documents d on c.doc_id = d.doc_id group by c.doc_id")
 def span_conservation_violations(spark, sf_dir):
     """Per document: spans in order, without overlap, and no character lost."""
-    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(O.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    c = o.withColumn("before", F.lag(F.col("start") + F.length("text")).over(O))
+    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    c = o.withColumn("before", F.lag(F.col("start") + F.length("text")).over(in_order()))
     spans = c.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(F.col("start") <= F.col("before")).alias("overlaps"), F.sum(F.length("text")).alias("n"))
     whole = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("all"))
     return spans.join(whole, "doc_id").select("doc_id", "segments", "overlaps", (F.col("n") + F.col("segments") - 1 == F.col("all")).alias("conserved"))
@@ -98,29 +104,29 @@ _CUM = "sum(case when length(text) = 0 then 1 else 0 end) over (partition by doc
 @query(f"{L}, c as (select doc_id, pos, text, ({_CUM})::bigint as breaks from l), v as (select * from c where length(text) > 0) select doc_id, pos, breaks <> lag(breaks, 1, breaks) over (partition by doc_id order by pos) as boundary_before from v")
 def boundary_prefix_flag(spark, sf_dir):
     """Whether a break stands between a line and the one before: a difference of prefix sums."""
-    c = lines(spark, sf_dir).withColumn("breaks", F.sum((F.length("text") == 0).cast("int")).over(O)).where(F.length("text") > 0)
-    return c.select("doc_id", "pos", (F.col("breaks") != F.coalesce(F.lag("breaks").over(O), F.col("breaks"))).alias("boundary_before"))
+    c = lines(spark, sf_dir).withColumn("breaks", F.sum((F.length("text") == 0).cast("int")).over(in_order())).where(F.length("text") > 0)
+    return c.select("doc_id", "pos", (F.col("breaks") != F.coalesce(F.lag("breaks").over(in_order()), F.col("breaks"))).alias("boundary_before"))
 
 
 @query(f"{L} select doc_id, pos, lag(length(text)) over w as before, lead(length(text)) over w as after, coalesce(len(list(length(text)) over (partition by doc_id order by pos rows between 1 following and 8 following)), 0)::integer as ahead, (sum(length(text)) over (partition by doc_id order by pos rows between 12 preceding and 8 following))::bigint as near from l window w as (partition by doc_id order by pos)")
 def neighbour_features(spark, sf_dir):
     """Previous and next lines, a look-ahead of eight, and a bounded neighbourhood."""
     n = F.length("text").cast("bigint")
-    return lines(spark, sf_dir).select("doc_id", "pos", F.lag(n).over(O).alias("before"), F.lead(n).over(O).alias("after"), F.size(F.collect_list("pos").over(O.rowsBetween(1, 8))).alias("ahead"), F.sum(n).over(O.rowsBetween(-12, 8)).alias("near"))
+    return lines(spark, sf_dir).select("doc_id", "pos", F.lag(n).over(in_order()).alias("before"), F.lead(n).over(in_order()).alias("after"), F.size(F.collect_list("pos").over(in_order().rowsBetween(1, 8))).alias("ahead"), F.sum(n).over(in_order().rowsBetween(-12, 8)).alias("near"))
 
 
 @query(f"{L} select doc_id, pos, (max(case when length(text) >= 34 then 1 else 0 end) over (partition by doc_id order by pos)) = 1 as body_started, (coalesce(max(case when length(text) >= 34 then pos end) over (partition by doc_id), -1))::integer as last_body from l")
 def body_region_carry(spark, sf_dir):
     """Whether body text has started by a line, and the document's last body line."""
     body = F.length("text") >= 34
-    return lines(spark, sf_dir).select("doc_id", "pos", (F.max(body.cast("int")).over(O) == 1).alias("body_started"), F.coalesce(F.max(F.when(body, F.col("pos"))).over(BY), F.lit(-1)).alias("last_body"))
+    return lines(spark, sf_dir).select("doc_id", "pos", (F.max(body.cast("int")).over(in_order()) == 1).alias("body_started"), F.coalesce(F.max(F.when(body, F.col("pos"))).over(in_doc()), F.lit(-1)).alias("last_body"))
 
 
 @query(f"{L}, s as (select doc_id, min(pos) as stop from l where length(text) >= 34 group by 1) select l.doc_id, l.pos, coalesce(s.stop, 999999)::integer as stop, case when s.stop is null then 'end' when s.stop >= 12 then 'cap' else 'body' end as reason from l left join s on l.doc_id = s.doc_id where l.pos < least(12, coalesce(s.stop, 999999))")
 def front_scan(spark, sf_dir):
     """Lines of the front region: up to the first body line, at most twelve, with the reason to stop."""
     l = lines(spark, sf_dir)  # noqa: E741
-    stop = F.min(F.when(F.length("text") >= 34, F.col("pos"))).over(BY)
+    stop = F.min(F.when(F.length("text") >= 34, F.col("pos"))).over(in_doc())
     l = l.withColumn("s", stop).where(F.col("pos") < F.least(F.lit(12), F.coalesce("s", F.lit(999999))))  # noqa: E741
     return l.select("doc_id", "pos", F.coalesce("s", F.lit(999999)).alias("stop"), F.when(F.col("s").isNull(), "end").when(F.col("s") >= 12, "cap").otherwise("body").alias("reason"))
 
@@ -135,8 +141,8 @@ def content_window(spark, sf_dir):
 @query(f"{L}, o as (select doc_id, pos, text, {_START} as start from l), v as (select doc_id, pos, start, lead(start) over (partition by doc_id order by pos) as next_start, lag(start) over (partition by doc_id order by pos) as previous_start from o where trim(text) <> '') select doc_id, max(start)::bigint as at, (arg_max(struct_pack(v := next_start), start)).v::bigint as next_start, (arg_max(struct_pack(v := previous_start), start)).v::bigint as previous_start from v where start <= 500 group by doc_id")
 def paragraph_target(spark, sf_dir):
     """From offset 500 of a text, the paragraph it lies in and the non-empty ones beside it."""
-    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(O.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    v = o.where(F.trim("text") != "").withColumn("ns", F.lead("start").over(O)).withColumn("ps", F.lag("start").over(O)).where("start <= 500")
+    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    v = o.where(F.trim("text") != "").withColumn("ns", F.lead("start").over(in_order())).withColumn("ps", F.lag("start").over(in_order())).where("start <= 500")
     # max_by skips no NULL value, so the row at the largest start decides.
     return v.groupBy("doc_id").agg(F.max_by(F.struct("start", "ns", "ps"), "start").alias("r")).select("doc_id", F.col("r.start").alias("at"), F.col("r.ns").alias("next_start"), F.col("r.ps").alias("previous_start"))
 
@@ -145,12 +151,12 @@ def paragraph_target(spark, sf_dir):
 def chapter_split(spark, sf_dir):
     """Chapters between heading lines (short lines here); text before the first is a chapter of its own, no heading gives one."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("all"))
-    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(O.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     heads = o.where(F.length("text").between(1, 12)).select("doc_id", "start", F.col("text").alias("title"))
     first = heads.groupBy("doc_id").agg(F.min("start").alias("first"))
     before = d.join(first, "doc_id", "left").where(F.col("first").isNull() | ((F.col("first") > 0) & (F.length(F.trim(F.expr("substring(all, 1, cast(first as int))"))) > 0)))
     extra = before.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.when(F.col("first").isNull(), "全文").otherwise("前置内容").alias("title"))
-    by = BY.orderBy("start")
+    by = in_doc().orderBy("start")
     c = heads.union(extra).join(d.select("doc_id", F.length("all").cast("bigint").alias("size")), "doc_id")
     return c.select("doc_id", (F.row_number().over(by) - 1).alias("chapter"), "title", "start", F.coalesce(F.lead("start").over(by), F.col("size")).alias("stop"))
 
@@ -159,7 +165,7 @@ def chapter_split(spark, sf_dir):
 def neighbour_fingerprint(spark, sf_dir):
     """Digest of the lines on both sides."""
     side = lambda c: F.coalesce(c, F.lit(""))
-    return lines(spark, sf_dir).select("doc_id", "pos", F.sha2(F.concat(side(F.lag("text").over(O)), F.lit("|"), side(F.lead("text").over(O))), 256).alias("fingerprint"))
+    return lines(spark, sf_dir).select("doc_id", "pos", F.sha2(F.concat(side(F.lag("text").over(in_order())), F.lit("|"), side(F.lead("text").over(in_order()))), 256).alias("fingerprint"))
 
 
 @query(f"{L} select a.doc_id, a.pos, count(b.pos)::bigint as candidates, min(b.pos)::integer as first_candidate from l a left join (select doc_id, pos + 1 as pos, text from l) b on a.doc_id = b.doc_id and a.text = b.text where trim(a.text) <> '' group by 1, 2")

@@ -11,13 +11,22 @@ from quire.plans.registry import query
 from quire.sources.tables import OUTLINE_SQL, outline, table
 
 T = f"with t as ({OUTLINE_SQL})"
-BY = W.partitionBy("doc_id")
-O = BY.orderBy("pos")  # noqa: E741
-UPTO = O.rowsBetween(W.unboundedPreceding, 0)
 
 _LEVEL_SQL = "case when regexp_matches(text, '^[一二三四五六七八九十百]+[、.．]') then 1 when regexp_matches(text, '^[（(][一二三四五六七八九十百]+[）)]') then 2 when regexp_matches(text, '^[0-9]+[.．]') then 3 when regexp_matches(text, '^[（(][0-9]+[）)]') and not regexp_matches(text, '[:：]') then 4 end"
 
 
+def in_doc():
+    return W.partitionBy("doc_id")
+
+
+def in_order():
+    return in_doc().orderBy("pos")
+
+
+def upto():
+    return in_order().rowsBetween(W.unboundedPreceding, 0)
+
+
 @query(f"{T} select doc_id, pos, {_LEVEL_SQL} as heading_level, regexp_extract(text, '^([一二三四五六七八九十百]+[、.．]+|[（(][一二三四五六七八九十百]+[）)]|[0-9]+[.．]|[（(][0-9]+[）)])', 1) as prefix from t")
 def heading_levels(spark, sf_dir):
     """Level and number prefix of every paragraph by shape."""
@@ -30,7 +39,7 @@ def counters(t, level="level"):
     out = t
     for k in range(1, 5):
         # An island starts at every shallower heading; counting inside it resets the counter.
-        out = out.withColumn(f"island{k}", F.sum(((F.col(level) > 0) & (F.col(level) < k)).cast("int")).over(UPTO))
+        out = out.withColumn(f"island{k}", F.sum(((F.col(level) > 0) & (F.col(level) < k)).cast("int")).over(upto()))
     for k in range(1, 5):
         own = W.partitionBy("doc_id", f"island{k}").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
         out = out.withColumn("abcd"[k - 1], F.sum((F.col(level) == k).cast("int")).over(own))
@@ -88,17 +97,17 @@ def outline_quality(spark, sf_dir):
 @query(f"{T}, i as (select *, sum(case when level > 0 and level < 3 then 1 else 0 end) over (partition by doc_id order by pos) as island from t) select doc_id, pos, (row_number() over (partition by doc_id, island order by pos) + 4)::bigint as ordinal from i where level >= 3")
 def native_list_ordinals(spark, sf_dir):
     """Ordinals of native lists that start at five and restart when a shallower level appears."""
-    i = outline(spark, sf_dir).withColumn("island", F.sum(F.col("level").isin(1, 2).cast("int")).over(UPTO)).where("level >= 3")
+    i = outline(spark, sf_dir).withColumn("island", F.sum(F.col("level").isin(1, 2).cast("int")).over(upto())).where("level >= 3")
     return i.select("doc_id", "pos", (F.row_number().over(W.partitionBy("doc_id", "island").orderBy("pos")) + 4).cast("bigint").alias("ordinal"))
 
 
 @query(f"{T} select doc_id, pos, case when level = 1 and number > 1 and coalesce(lag(level) over w, 0) = 0 then 'parallel' when level > coalesce(lag(level) over w, 0) + 1 then 'jump' when coalesce(lag(level) over w, 0) = level then 'sibling' when level > 0 then 'step' else 'body' end as relation, lag(level) over w as before, lead(level) over w as after from t window w as (partition by doc_id order by pos)")
 def heading_relations(spark, sf_dir):
     """How a heading relates to the paragraph before: sibling, step, jump of more than one level, or parallel start."""
-    before = F.coalesce(F.lag("level").over(O), F.lit(0))
+    before = F.coalesce(F.lag("level").over(in_order()), F.lit(0))
     level = F.col("level")
     kind = F.when((level == 1) & (F.col("number") > 1) & (before == 0), "parallel").when(level > before + 1, "jump").when(before == level, "sibling").when(level > 0, "step").otherwise("body")
-    return outline(spark, sf_dir).select("doc_id", "pos", kind.alias("relation"), F.lag("level").over(O).alias("before"), F.lead("level").over(O).alias("after"))
+    return outline(spark, sf_dir).select("doc_id", "pos", kind.alias("relation"), F.lag("level").over(in_order()).alias("before"), F.lead("level").over(in_order()).alias("after"))
 
 
 _KIND = "case when pos = 1 then 'title' when level > 0 then 'heading' else 'body' end"
@@ -106,7 +115,7 @@ _KIND = "case when pos = 1 then 'title' when level > 0 then 'heading' else 'body
 
 def labelled(spark, sf_dir):
     """Paragraphs with block labels; the last body paragraph of a document is its signature."""
-    t = outline(spark, sf_dir).withColumn("last", F.max("pos").over(BY))
+    t = outline(spark, sf_dir).withColumn("last", F.max("pos").over(in_doc()))
     label = F.when(F.col("pos") == 1, "title").when((F.col("pos") == F.col("last")) & (F.col("level") == 0), "signature").when(F.col("level") > 0, "heading").otherwise("body")
     return t.withColumn("label", label)
 
@@ -116,8 +125,8 @@ _LABELLED = "b as (select *, case when pos = 1 then 'title' when pos = max(pos)
 
 def spans(t):
     """Gaps and islands: runs of one label become blocks."""
-    c = t.withColumn("new", (F.col("label") != F.coalesce(F.lag("label").over(O), F.lit(""))).cast("int"))
-    s = c.withColumn("island", F.sum("new").over(UPTO))
+    c = t.withColumn("new", (F.col("label") != F.coalesce(F.lag("label").over(in_order()), F.lit(""))).cast("int"))
+    s = c.withColumn("island", F.sum("new").over(upto()))
     return s.groupBy("doc_id", "island", "label").agg(F.min("pos").alias("start_index"), F.max("pos").alias("end_index"), F.count("*").alias("elements"))
 
 
@@ -140,7 +149,7 @@ BOUNDARIES = (("title", "heading", 1, False), ("title", "body", 1, False), ("hea
 @query(f"{T}, {_LABELLED}, g as (select doc_id, island, label, min(pos) as p from s group by 1, 2, 3), n as (select doc_id, island, label, lead(label) over (partition by doc_id order by island) as after from g) select n.doc_id, n.island::bigint as block, n.label as block_kind, n.after, r.spacing, r.page_break from n join (values " + ", ".join(f"('{a}', '{b}', {c}, {str(d).lower()})" for a, b, c, d in BOUNDARIES) + ") r(a, b, spacing, page_break) on n.label = r.a and n.after = r.b")
 def boundary_rules_applied(spark, sf_dir):
     """Spacing between neighbouring blocks from a literal rule table."""
-    n = spans(labelled(spark, sf_dir)).withColumn("after", F.lead("label").over(BY.orderBy("island")))
+    n = spans(labelled(spark, sf_dir)).withColumn("after", F.lead("label").over(in_doc().orderBy("island")))
     rules = spark.createDataFrame(BOUNDARIES, "a string, b string, spacing int, page_break boolean")
     return n.join(F.broadcast(rules), (F.col("label") == F.col("a")) & (F.col("after") == F.col("b"))).select("doc_id", F.col("island").alias("block"), F.col("label").alias("block_kind"), "after", "spacing", "page_break")
 
@@ -157,7 +166,7 @@ def tail_reorder(spark, sf_dir):
     names = F.create_map(*[F.lit(v) for i, t in enumerate(TAIL, 1) for v in (i, t)])
     x = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.coalesce(F.try_element_at(names, F.col("l_linenumber")), F.lit(TAIL[-1])).alias("type")).distinct()
     key = F.when(F.col("type") == "body", 0).when(F.col("type") == "attachment_note", 1).when(F.col("type") == "attachment_note_item", 2).when(F.col("type") == "sign_org", 3).otherwise(4)
-    return x.select("doc_id", "pos", "type", F.row_number().over(BY.orderBy(key, "pos")).cast("bigint").alias("new_pos"))
+    return x.select("doc_id", "pos", "type", F.row_number().over(in_doc().orderBy(key, "pos")).cast("bigint").alias("new_pos"))
 
 
 _DIGIT = "['零','一','二','三','四','五','六','七','八','九']"
@@ -237,7 +246,7 @@ def candidates():
 @query(f"{T} select doc_id, pos, case when level = 1 then 'number' when level = 0 then 'body' else 'heading' end as style, case when level = 1 then 3 when level = 0 then 1 else 2 end as rank, lead(level) over (partition by doc_id order by pos) is null as terminal, case when level > 0 and lead(level) over (partition by doc_id order by pos) > level + 1 then true else false end as keep_with_next from t")
 def render_decisions(spark, sf_dir):
     """Style class, terminal paragraph and keep-with-next of every paragraph."""
-    level, after = F.col("level"), F.lead("level").over(O)
+    level, after = F.col("level"), F.lead("level").over(in_order())
     style = F.when(level == 1, "number").when(level == 0, "body").otherwise("heading")
     rank = F.when(level == 1, 3).when(level == 0, 1).otherwise(2)
     return outline(spark, sf_dir).select("doc_id", "pos", style.alias("style"), rank.alias("rank"), after.isNull().alias("terminal"), F.coalesce((level > 0) & (after > level + 1), F.lit(False)).alias("keep_with_next"))
@@ -256,6 +265,6 @@ def table_alignment(spark, sf_dir):
 @query(f"{T} select doc_id, pos, case when level = 1 and number > 4 then 'number_beyond_four' when level = 0 and lead(level) over w = 0 then 'body_run' when level > 0 and lead(level) over w = level then 'empty_section' end as suggestion, sha256(text) as before from t window w as (partition by doc_id order by pos) qualify suggestion is not null")
 def strict_suggestions(spark, sf_dir):
     """The strict mode changes nothing and lists suggestions instead."""
-    level, after = F.col("level"), F.lead("level").over(O)
+    level, after = F.col("level"), F.lead("level").over(in_order())
     s = F.when((level == 1) & (F.col("number") > 4), "number_beyond_four").when((level == 0) & (after == 0), "body_run").when((level > 0) & (after == level), "empty_section")
     return outline(spark, sf_dir).select("doc_id", "pos", s.alias("suggestion"), F.sha2("text", 256).alias("before")).where("suggestion is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import lines, operations, outline  # noqa: F401  registers their queries
+from quire.operators import decode, folds, lines, operations, outline  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
 
 
