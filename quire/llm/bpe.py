@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -33,6 +34,18 @@ NONE = 1 << 60
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# The same split in the standard library's terms. There \w holds numbers that are no decimal digits and \s the
+# information separators, so it serves texts without those.
+PLAIN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+@lru_cache(maxsize=1)
+def splitter() -> Callable[[str], list[str]]:
+    """A function from a text to its words; texts beyond Latin, or with one of those characters, take the exact pattern."""
+    find_odd, plain, exact = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search, PLAIN.findall, regex.compile(PATTERN).findall
+    return lambda text: exact(text) if find_odd(text) else plain(text)
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte value: printable Latin-1 stands for itself, the rest follow from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -79,7 +92,7 @@ class Bpe:
         self.text_of_id = [str(i) for i in range(size)]
         self.special = special
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words_of = regex.compile(PATTERN).findall
+        self.words_of = splitter()
         self.cache = Words(self)
 
     def encode_word(self, word: bytes) -> list[int]:

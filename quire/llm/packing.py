@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols, splitter
 from .common import materialize
 
 END = b"\0\0\0\0"
@@ -96,16 +97,17 @@ def plan(histogram: dict[int, int], capacity: Capacity, weights: tuple[float, fl
 
 
 class Encoded(dict):
-    """word -> its ids as little-endian bytes, encoded by the tokenizers library; bounded."""
+    """word -> its ids as little-endian bytes, encoded by the tokenizers library's model; bounded."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, model):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.model, self.symbols = model, byte_symbols()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= 250_000:
             self.clear()
-        value = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        shown = word.replace(" ", self.symbols[32]) if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace")))
+        value = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         if len(word) <= 160:
             self[word] = value
         return value
@@ -114,16 +116,13 @@ class Encoded(dict):
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """A function from a text to the bytes of its ids; words that the pre-tokenizer splits off are encoded once."""
-    import regex
     from tokenizers import Tokenizer
 
-    from .bpe import PATTERN
-
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
     special = [x.content for x in t.get_added_tokens_decoder().values()]
-    words, cache = regex.compile(PATTERN).findall, Encoded(t)
+    words, cache = splitter(), Encoded(t.model)
 
     def ids(text: str) -> bytes:
         if any(s in text for s in special):

@@ -8,13 +8,13 @@ depends on the types chosen before, vetoes and transitions, runs in the fold.
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import kernels as K
 from quire.functions import predicates as P
+from quire.operators.grouped import per_document
 from quire.plans.registry import query
 from quire.sources.tables import outline, table
 
@@ -162,8 +162,7 @@ def decode(paragraphs: DataFrame) -> DataFrame:
     f = features(paragraphs).withColumn("candidates", strongest()).join(detect_mode(paragraphs), "doc_id", "left")
     keep = f.select("doc_id", "pos", "rank", "dispatch", "date", "note", "colon", "after_body", F.col("level").alias("shape"), "siblings", "candidates", F.coalesce("mode", F.lit("unknown")).alias("mode"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("pos").itertuples())
+    def run(rows: list) -> list[tuple]:
         out = []
         for row, (kind, score, conflict) in zip(rows, beam(rows, rows[0].mode)):
             other = [c["score"] for c in row.candidates if c["type"] != kind]
@@ -171,9 +170,9 @@ def decode(paragraphs: DataFrame) -> DataFrame:
             margin = score - max(other) if other else None
             strength = 1.0 if own is not None and own["hard"] else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
             out.append((row.doc_id, row.pos, kind, score, margin, *review(score, margin, strength, kind, conflict, row.shape)))
-        return pd.DataFrame(out, columns=["doc_id", "pos", "type", "score", "margin", "confidence", "level", "conflict"])
+        return out
 
-    return keep.groupBy("doc_id").applyInPandas(run, "doc_id bigint, pos int, type string, score double, margin double, confidence double, level string, conflict boolean")
+    return per_document(keep, run, "doc_id bigint, pos int, type string, score double, margin double, confidence double, level string, conflict boolean")
 
 
 def review(score: float, margin: float | None, strength: float, kind: str, conflict: bool, shape: int) -> tuple[float, str, bool]:

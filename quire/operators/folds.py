@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import kernels as K
 from quire.functions import predicates as P
+from quire.operators.grouped import per_document
 from quire.plans.registry import query
 from quire.sources.tables import lines, outline, table, tasks
 
@@ -99,30 +99,30 @@ def best_paths(score: np.ndarray) -> np.ndarray:
     return best
 
 
-def align(plan: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+def align(plan: list, host: list) -> list[tuple]:
     """State of every plan paragraph: a host place is a candidate if some optimal matching uses it."""
-    raw = plan["raw"].to_numpy()[:, None] == host["raw"].to_numpy()[None, :]
-    same = plan["canonical"].to_numpy()[:, None] == host["canonical"].to_numpy()[None, :]
-    score = np.where(raw, 100, np.where(same, 80, 0))
+    grid = lambda name: np.array([[getattr(p, name) == getattr(h, name) for h in host] for p in plan], bool).reshape(len(plan), len(host))
+    score = np.where(grid("raw"), 100, np.where(grid("canonical"), 80, 0))
     ahead, behind = best_paths(score), best_paths(score[::-1, ::-1])[::-1, ::-1]
     on_path = (score > 0) & (ahead[:-1, :-1] + score + behind[1:, 1:] == ahead[-1, -1])
-    n = on_path.sum(1)
-    place = np.where(n == 1, on_path.argmax(1), -1)
-    top = np.where(n == 1, (score * on_path).max(1, initial=0), 0)
-    status = np.select([n == 0, n > 1, top == 100], ["unmatched", "ambiguous", "matched_unique"], "matched_review")
-    return pd.DataFrame({"doc_id": plan["doc_id"], "pos": plan["pos"], "status": status, "host_pos": pd.array([int(host["pos"].iloc[p]) if p >= 0 else None for p in place], "Int64"), "candidates": n})
+    out = []
+    for p, row, points in zip(plan, on_path, score):
+        places = np.flatnonzero(row)
+        one = len(places) == 1
+        status = ("matched_unique" if points[places[0]] == 100 else "matched_review") if one else "ambiguous" if len(places) else "unmatched"
+        out.append((p.doc_id, p.pos, status, int(host[places[0]].pos) if one else None, len(places)))
+    return out
 
 
 def by_document(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """run(left rows, right rows) for every doc_id of the left table, both sorted by pos; columns are those of left."""
+    """run(left rows, right rows) for every doc_id of the left table, both in order of pos."""
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "pos"])
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        return run(a, b) if len(a) else pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
+    def group(rows: list) -> list[tuple]:
+        a, b = [r for r in rows if r.side == 0], [r for r in rows if r.side == 1]
+        return run(a, b) if a else []
 
-    return both.groupBy("doc_id").applyInPandas(group, schema)
+    return per_document(both, group, schema, order=("side", "pos"))
 
 
 def alignment(plan: DataFrame, host: DataFrame) -> DataFrame:
@@ -160,10 +160,10 @@ def region_sequence_match(spark, sf_dir):
     t = lines(spark, sf_dir).select("doc_id", "pos", F.sha2("text", 256).alias("h"))
     other = t.where("pos % 7 <> 3")
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        m = SequenceMatcher(None, a["h"].tolist(), b["h"].tolist(), autojunk=False)
+    def run(a: list, b: list) -> list[tuple]:
+        m = SequenceMatcher(None, [r.h for r in a], [r.h for r in b], autojunk=False)
         blocks = [x for x in m.get_matching_blocks() if x.size]
-        return pd.DataFrame({"doc_id": [a["doc_id"].iloc[0]], "blocks": [len(blocks)], "matched": [sum(x.size for x in blocks)], "ratio": [round(m.ratio(), 6)]})
+        return [(a[0].doc_id, len(blocks), sum(x.size for x in blocks), round(m.ratio(), 6))]
 
     return by_document(t, other, run, "doc_id bigint, blocks bigint, matched bigint, ratio double")
 
@@ -256,27 +256,23 @@ def tail_normalize(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg((F.min("l_partkey") % 4).alias("k"))
     kind = F.when(F.col("pos") == 1, "body").when(F.col("k") == 0, "sign_org").when(F.col("k") == 1, "sign_date").when(F.col("k") == 2, "attachment_note").otherwise("attachment_note_item")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        order = tail(pdf["type"].tolist())
-        out = pdf.iloc[order][["doc_id", "pos", "type"]]
-        return out.assign(new_pos=np.arange(1, len(out) + 1))
+    def run(rows: list) -> list[tuple]:
+        return [(rows[i].doc_id, rows[i].pos, rows[i].type, n) for n, i in enumerate(tail([r.type for r in rows]), 1)]
 
-    return li.select("doc_id", "pos", kind.alias("type")).groupBy("doc_id").applyInPandas(run, "doc_id bigint, pos int, type string, new_pos bigint")
+    return per_document(li.select("doc_id", "pos", kind.alias("type")), run, "doc_id bigint, pos int, type string, new_pos bigint")
 
 
 @query()
 def heading_gap_repair(spark, sf_dir):
     """Numbers that skip or repeat in their family are set to the next one; deeper levels start anew below a shallower heading."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        seen, new = [0] * 5, []
-        for level in pdf["level"]:
-            if level:
-                seen[level] += 1
-                seen[level + 1 :] = [0] * (4 - level)
-            new.append(seen[level] if level else None)
-        return pdf.assign(repaired=pd.array(new, "Int32"))[["doc_id", "pos", "level", "number", "repaired"]]
-
-    return outline(spark, sf_dir).select("doc_id", "pos", "level", "number").groupBy("doc_id").applyInPandas(run, "doc_id bigint, pos int, level int, number int, repaired int")
+    def run(rows: list) -> list[tuple]:
+        seen, out = [0] * 5, []
+        for r in rows:
+            if r.level:
+                seen[r.level] += 1
+                seen[r.level + 1 :] = [0] * (4 - r.level)
+            out.append((*r, seen[r.level] if r.level else None))
+        return out
+
+    return per_document(outline(spark, sf_dir).select("doc_id", "pos", "level", "number"), run, "doc_id bigint, pos int, level int, number int, repaired int")
