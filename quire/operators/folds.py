@@ -72,13 +72,16 @@ def sliding_log(df: DataFrame, window: int, limit: int, key: str = "ip", time: s
     return fold_sorted(data, key, order, list, step, "allowed boolean, retry_after bigint")
 
 
-@query(
+COOLDOWN_SQL = (
     "with recursive t as (select event_id as seq, user_id as ip, cast(floor(epoch_us(ts) / 1000000) as bigint) as second from events), "
     "n as (select *, row_number() over (partition by ip order by seq) as k from t), "
     "r(ip, k, seq, second, last, allowed) as (select ip, k, seq, second, second, true from n where k = 1 union all "
     "select n.ip, n.k, n.seq, n.second, case when n.second - r.last >= 21600 then n.second else r.last end, n.second - r.last >= 21600 from r join n on n.ip = r.ip and n.k = r.k + 1) "
     "select ip, second, seq, allowed from r"
 )
+
+
+@query(COOLDOWN_SQL)
 def cooldown_allow(spark, sf_dir):
     """Cooldown limiter of six hours per client."""
     return cooldown(tasks(spark, sf_dir), 21_600)

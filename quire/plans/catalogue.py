@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.operators import decode, folds, lines, operations, outline  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
+from quire.streaming import tasks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

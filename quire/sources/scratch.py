@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; a temporary folder is used only where that is unset."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir; a temporary folder is used only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quire-scratch"
-    path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read again."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
