@@ -4,14 +4,18 @@ Centroids are fitted on a bounded sample (``fit_rows`` distinct vectors chosen b
 hash). Every distinct vector has its nearest centroid's cell as home and visits
 other cells. A vector within angle t of y can have cell c as home only if y lies
 within t of the half-space that c wins against y's home h, that is
-y.(h - c) <= sin(t) |h - c|; y visits the cells for which this holds. With
-``visits=None`` all of them, so no link can be lost; a number keeps the nearest
-ones, for which the README gives the measured recall.
-
-Members of a (label, cell) are dealt into blocks of about ``BLOCK`` rows and every
-pair of blocks is one group: one double-precision matrix product, from which only
-counts and a spanning star of each connected part leave. Equal vectors are one
-member with a weight, so copies are never paired.
+y.(h - c) <= sin(t) |h - c|; these cells are open to y. Two linked vectors have each
+other's home open, so it is enough that the one with the higher home visits the
+lower: with ``visits=None``, as the query runs, y visits all open cells below its
+home and no link can be lost. A number keeps only the nearest open cells, above or
+below, and may lose links.
+
+The home members of a (label, cell) and its visitors are dealt into blocks of about
+``BLOCK`` rows; every two home blocks and every home and visitor block are one group:
+one double-precision matrix product, from which only counts and a spanning star of
+each connected part leave. Visitors are not compared with each other, so no pair is
+compared twice. Equal vectors are one member with a weight, so copies are never
+paired.
 
 Edge cases: a null label, or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing and is kept. Vectors of different
@@ -70,7 +74,7 @@ def homes_and_visits(x: np.ndarray, c: np.ndarray, cosine: float, visits: int |
     may = best - score <= np.sqrt(max(0.0, 1 - cosine**2)) * apart[home] + 1e-9
     out = []
     for i in range(len(x)):
-        cells = np.flatnonzero(may[i])
+        cells = np.flatnonzero(may[i] if visits is not None else may[i, : home[i]])
         cells = cells[np.argsort(-score[i, cells], kind="stable")]
         cells = np.concatenate([[home[i]], cells[cells != home[i]]])
         out.append(cells if visits is None else cells[: visits + 1])
@@ -86,9 +90,9 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, cell: int, cosine: float, same: bo
     if same:
         np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)
-    if len(i):
+    if len(i) and (hb != cell).any():
         # A pair is counted in the home cell of one side; if each visits the other's home, in the lower of the two.
-        both = np.array([_counts_here(cell, ha[p], hb[q], va[p], vb[q]) for p, q in zip(i, j)]) if (ha != cell).any() or (hb != cell).any() else np.ones(len(i), bool)
+        both = np.array([_counts_here(cell, ha[p], hb[q], va[p], vb[q]) for p, q in zip(i, j)])
         i, j = i[both], j[both]
     rid, rjd, wa, wb = a["rid"].to_numpy(), b["rid"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
     count_a = np.bincount(i, weights=wb[j], minlength=len(a)).astype(np.int64)
@@ -127,7 +131,7 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = 8, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
+def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = None, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
     """(rid, label, vec, n, links, component): distinct vectors, how many rows each stands for, their links and component."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("rid"), F.col(label).alias("label"), F.col(vec).alias("vec")).where(usable("vec") & F.col("label").isNotNull() & F.col("rid").isNotNull())
@@ -157,10 +161,15 @@ def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = 8, vec:
     placed = distinct.select("label", "vec", "rid", "n").mapInArrow(place, f"label {kind}, rid {rtype}, vec {vtype}, n long, dim int, home int, visits array<int>")
     members = placed.withColumn("cell", F.explode("visits"))
     group = ["label", "dim", "cell"]
-    sizes = members.groupBy(*group).agg(F.count("*").alias("m")).select(*[F.col(g).alias("g_" + g) for g in group], F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    at_home = F.col("home") == F.col("cell")
+    blocks = [F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((at_home, "own"), (~at_home, "guests"))]
+    sizes = members.groupBy(*group).agg(*blocks).select(*[F.col(g).alias("g_" + g) for g in group], "own", "guests").where("own > 0")
     on = [F.col(g) == F.col("g_" + g) for g in group]
-    dealt = members.join(sizes, on).withColumn("block", F.pmod(F.xxhash64("rid", "label"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", "cell", "rid", "vec", "n", "home", "visits", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
+    # Home blocks are numbered first, then those of the visitors, which meet home blocks only.
+    block = F.when(at_home, F.pmod(F.xxhash64("rid", "label"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rid", "label"), F.col("guests")))
+    dealt = members.join(sizes, on).withColumn("block", block.cast("int"))
+    others = F.sequence(F.lit(0), F.col("own") - 1 + F.when(at_home, F.col("guests")).otherwise(0))
+    pairs = dealt.withColumn("with", F.explode(others)).select("label", "dim", "cell", "rid", "vec", "n", "home", "visits", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, b1, b2 = int(pdf["cell"].iloc[0]), int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
@@ -177,7 +186,7 @@ def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = 8, vec:
     return out.select("rid", "label", "vec", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rid").alias("component"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, visits: int | None = 8, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, visits: int | None = None, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
     """op9: (key, n_links, component_id, kept) of every row."""
     classes = link(vectors, cosine, visits, vec, key, label).select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"), "links", "component")
     rows = vectors.select(F.col(key), F.col(label).alias("r_label"), F.col(vec).alias("r_vec"))

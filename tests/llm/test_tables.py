@@ -153,3 +153,16 @@ def test_components(spark):
             a, b = sorted((root(u), root(v)))
             parent[b] = a
     assert got == {i: root(i) for i in parent}
+
+
+def test_query_links_across_many_open_cells(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "CELL", 24)
+    monkeypatch.setattr(embdedup, "BLOCK", 512)
+    rng = np.random.default_rng(5)
+    x = np.ones(48) + 0.15 * rng.normal(size=(1200, 48))  # diffuse: links cross 50 cells that all are open
+    rows = [(i, [float(c) for c in v], 1, 1, "x") for i, v in enumerate(x.astype(np.float32))]
+    u = embdedup.unit(np.array([v for _, v, *_ in rows], float))
+    hit = u @ u.T >= 0.98
+    want = hit.sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embdedup.near_duplicates(vectors_of(spark, rows)).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
