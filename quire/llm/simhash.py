@@ -110,8 +110,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of docs for each component of classes (h, component), h being xxhash64 of the text.
+
+    The smallest id stays, rows without one come last, then the text hash decides.
+    """
+    least = docs.groupBy(F.xxhash64(text).alias("t_h")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"))).alias("first"))
+    one = least.join(classes, F.col("t_h") == F.col("h")).groupBy("component").agg(F.min(F.struct("first.none", "first.k", "t_h")).alias("one")).select("one.k", "one.t_h")
+    rows = docs.join(one, F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(text) == F.col("t_h")), "left_semi")
+    return rows.dropDuplicates([key, text])
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id names its component; of rows that repeat such an id, one stays."""
-    kept = near_duplicates(docs, text, key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
-    rows = docs.join(kept, F.col(key) == F.col("kept_key"), "left_semi")
-    return rows.dropDuplicates([key])
+    """One row of docs for each component of fingerprints."""
+    prints = materialize(fingerprints(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")), "text", "h").distinct())
+    found = components(links(prints.select("fp").distinct()))
+    return survivors(docs, prints.join(found, F.col("fp") == F.col("node"), "left").select("h", F.coalesce("component", "fp").alias("component")), text, key)

@@ -321,3 +321,9 @@ def test_extra_columns_with_internal_names(spark):
     assert simhash.near_duplicates(docs.drop("__text")).count() == 2
     assert secret_scan.digest(docs).count() == 2
     assert pii.pseudonymise(docs).count() == 2
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rows = [(None, "alone without an id here"), (7, "first text of id seven"), (7, "some wholly different words follow"), (7, "first text of id seven"), (None, "copied text stands twice"), (9, "copied text stands twice")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {rows[0], rows[1], rows[2], rows[5]} and kept.count() == 4
