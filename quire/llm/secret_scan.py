@@ -49,6 +49,14 @@ def _any_case(word: str) -> str:
 
 NAMES = "(?:" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey")) + ")"
 ASSIGN = NAMES + r"""["']?\x20*[:=]\x20*["']?"""
+_RUN = r"(?:[A-Za-z][A-Za-z-]*+: ?[A-Za-z0-9,-]++|[A-Za-z0-9+/=]++)"
+_GAP = r"(?:[\x20\t\r\n]|\\[rnt])"
+# From BEGIN to the matching END; without one over the long base64 lines that follow and the short one that ends them.
+PEM = (
+    r"-----BEGIN ([A-Z ]{0,16})PRIVATE KEY( BLOCK)?-----"
+    rf"(?:(?:{_GAP}++{_RUN})*+{_GAP}*+-----END \1PRIVATE KEY(?:\2)?-----"
+    rf"|(?:{_GAP}++[A-Za-z][A-Za-z-]*+: ?[A-Za-z0-9,-]++)*+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)++(?:(?:\r?\n|\\n)[A-Za-z0-9+/=]++(?![^\r\n\\\"']))?|)"
+)
 # The base rules, then token formats published by their issuers.
 RULES = (
     Rule("assign", ASSIGN + f"[{B64}]{{8}}", ASSIGN + f"([{B64}]+)", r"""\x20:"'""" + B64, 8, 1),
@@ -59,7 +67,7 @@ RULES = (
     Rule("google", "AIza", "AIza[A-Za-z0-9_-]+", "A-Za-z0-9_-", 39),
     Rule("stripe", "[rs]k_live_", "[rs]k_live_[A-Za-z0-9]+", "A-Za-z0-9_", 24),
     Rule("jwt", "eyJ", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "A-Za-z0-9_.-", 40),
-    Rule("pem", "-----BEGIN ", "-----BEGIN [A-Z ]{0,16}PRIVATE KEY-----", "A-Z -", 0),
+    Rule("pem", "-----BEGIN ", PEM, r"A-Za-z0-9+/=,: \t\r\n\\-", 0),
 )
 BASE = ("assign", "access", "hex")
 
