@@ -3,42 +3,41 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import drop, scratch_path as shared_dir, stored as materialize
+from quire.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+FREQUENT = 100_000  # rows of a few dozen bytes that may be broadcast
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/quire-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have, in Spark's case-blind sense."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Spark's own file systems."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def keyed_join(left: DataFrame, right: DataFrame, on: Column, n: str, how: str = "inner", most: int = FREQUENT) -> DataFrame:
+    """left joined to right, whose keys are unique and whose column n tells how often left has them.
 
-
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage.
-
-    Lost executors then cost only what reads the table. The rows are on shared
-    storage, so no copy lives on one machine.
+    A small right side is broadcast. Of a larger one the keys that are most frequent
+    on left are broadcast and the others shuffled, so no key of the shuffle is hot. Both sides must be stored
+    tables, as they are read more than once. how: inner or left_semi.
     """
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if right.count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    edge = right.select(n).orderBy(F.desc(n)).limit(most).agg(F.min(n)).first()[0]
+    hot, cold = right.where(F.col(n) > edge), right.where(F.col(n) <= edge)  # fewer than most rows are above the edge
+    rest = left.join(F.broadcast(hot), on, "left_anti")
+    return left.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -8,51 +8,63 @@ Lines on at least ``min_sites`` sites are boilerplate and are removed everywhere
 at their first occurrence (smallest document, then position), so text that exists
 only as many copies is kept once.
 
-Only the places of removed lines are sent back to their documents, never the lines.
+A row decides about its own lines where it stands: the hashes of boilerplate lines
+are shared, texts are never shuffled. Of more than ``SMALL`` boilerplate lines the
+most frequent are shared; the places of the others, none of which is frequent, come
+by a join.
 
 Edge cases: blank lines are never boilerplate. A null text stays null, an empty one
-empty. A null site counts as no site. Rows that repeat a doc_id share their removed
-places; the first occurrence stays in all of them. A null doc_id sorts last and
-its lines are kept. Extra columns pass through ``clean``.
+empty. A null site counts as no site. A null doc_id sorts last. Rows that repeat a
+doc_id are told apart by their texts, so no row loses a line that it shares with no
+other site; rows that repeat both are equal and stay equal. Extra columns pass
+through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 MIN_SITES, LOG_K = 10, 12
-SMALL = 200_000  # rows of 32 bytes that may be broadcast
+SMALL = 100_000  # boilerplate lines, 32 bytes and an id each, that every worker holds
 BLANK = " \t\n\x0b\f\r"
 NEAR = (0.5, 2.0)  # times the threshold; the sketch's relative error is 1.6 %
+SEED = 42
+SECOND = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), SEED)  # xxhash64(1, line) hashes the line with this seed
 
 
 def lines(docs: DataFrame, text: str, key: str, site: str) -> DataFrame:
-    """(id, pos, h1, h2, site) of every line that is not blank."""
-    one = docs.select(F.col(key).alias("id"), F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
+    """(none, id, h, pos, h1, h2, site) of every line that is not blank; h is the text's hash."""
+    one = docs.select(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
     line = F.btrim("raw", F.lit(BLANK))
-    return one.select("id", "pos", "site", line.alias("line")).where("line <> ''").select("id", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    rows = one.select("none", "id", "h", "pos", "site", line.alias("line")).where("line <> ''")
+    return rows.select("none", "id", "h", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def spread(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
-    """(h1, h2, first id, first pos) of the lines on at least min_sites sites."""
+    """(h1, h2, n, first) of the lines on at least min_sites sites: how often they stand, and their first place (none, id, h, pos)."""
     rows = lines(docs, text, key, site)
     # Partial sketches are merged per line on both sides of the shuffle, so a line on a third of all rows stays small.
-    merged = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("id", "pos")).alias("first"))
-    sketched = materialize(merged.where(F.col("n") >= min_sites).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), F.hll_sketch_estimate("sketch").alias("sites")))
+    merged = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("none", "id", "h", "pos")).alias("first"))
+    sketched = materialize(merged.where(F.col("n") >= min_sites).select("h1", "h2", "n", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = (int(min_sites * x) for x in NEAR)
     sure = sketched.where(F.col("sites") >= high)
     near = sketched.where((F.col("sites") >= low) & (F.col("sites") < high))
     keys, same = _keys(near)
-    if near.count() <= SMALL:
+    if keys.count() <= SMALL:
         exact = rows.join(F.broadcast(keys), same, "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
     else:  # distinct (line, site) pairs come before the join, so that no line is a hot key of it
         pairs = rows.where(F.col("site").isNotNull()).select("h1", "h2", "site").distinct()
         exact = pairs.join(keys, same, "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     keys, same = _keys(exact.where(F.col("sites") >= min_sites))
-    columns = ["h1", "h2", "first_id", "first_pos"]
+    columns = ["h1", "h2", "n", "first"]
     return materialize(sure.select(*columns).union(near.join(keys, same, "left_semi").select(*columns)))
 
 
@@ -61,30 +73,85 @@ def _keys(found: DataFrame) -> tuple[DataFrame, Column]:
     return found.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
 
 
-def removed(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key: str = "doc_id", site: str = "source") -> DataFrame:
-    """(id, places array<int>): the lines that each document loses."""
-    found = spread(docs, min_sites, text, key, site).withColumnsRenamed({"h1": "k1", "h2": "k2"})
-    found = F.broadcast(found) if found.count() <= SMALL else found
-    hits = lines(docs, text, key, site).join(found, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    hits = hits.where(~((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))).where("id is not null")
-    return hits.groupBy("id").agg(F.collect_set("pos").alias("places"))
+class Shared:
+    """Boilerplate lines, sorted by their first hash, with the place where each stays."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["h1"])
+        self.h1 = np.array([r["h1"] for r in rows], np.int64)
+        self.rest = [(r["h2"], r["first"]["id"], r["first"]["h"], r["first"]["pos"]) for r in rows]
+
+    def gone(self, parts: list[str], key: object, text: str) -> list[int]:
+        """The places of the lines that this text loses."""
+        raw = [p.strip(BLANK).encode() for p in parts]
+        h1 = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
+        at = np.searchsorted(self.h1, h1)
+        at[at == len(self.h1)] = 0
+        out = []
+        for pos in np.flatnonzero(self.h1[at] == h1).tolist() if len(self.h1) else []:
+            i, h2 = int(at[pos]), _signed(xxhash.xxh64_intdigest(raw[pos], SECOND))
+            while i < len(self.h1) and self.h1[i] == h1[pos]:
+                other, *first = self.rest[i]
+                if other == h2 and (first[::2] != [key, pos] or first[1] != _signed(xxhash.xxh64_intdigest(text.encode(), SEED))):
+                    out.append(pos)
+                i += 1
+        return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _places(docs: DataFrame, rare: DataFrame, text: str, key: str, site: str) -> DataFrame:
+    """docs, each row with the places of its rare boilerplate lines, in a last column of its own name."""
+    keys = rare.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h"), F.col("first.pos").alias("f_pos"))
+    hits = lines(docs, text, key, site).join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    hits = hits.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("pos") == F.col("f_pos"))))
+    k, h, places = fresh(docs, "k", "h", "places")
+    of = hits.groupBy("id", "h").agg(F.collect_set("pos").alias(places)).withColumnsRenamed({"id": k, "h": h})
+    return docs.join(of, docs[key].eqNullSafe(of[k]) & (F.xxhash64(docs[text]) == of[h]), "left").drop(k, h)
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key: str = "doc_id", site: str = "source", report: bool = False) -> DataFrame:
-    """docs with boilerplate lines removed from the text; report adds n_lines and n_removed."""
-    gone = removed(docs, min_sites, text, key, site).select(F.col("id").alias("__id"), F.col("places").alias("__places"))
-    joined = docs.join(gone, F.col(key) == F.col("__id"), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__places", i)), "\n")
-    out = joined.withColumn("__text", F.when(F.col("__places").isNull(), F.col(text)).otherwise(kept))
-    counts = [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed")] if report else []
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns], *counts)
+    """docs with boilerplate lines removed from the text; report adds n_lines and n_removed. docs is read several times."""
+    found = spread(docs, min_sites, text, key, site)
+    total, schema = found.count(), docs.schema
+    frequent = found if total <= SMALL else found.orderBy(F.desc("n"), "h1", "h2").limit(SMALL)
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(frequent.select("h1", "h2", "first").collect()))  # at most SMALL rows
+    if total > SMALL:
+        least = frequent.agg(F.min("n")).first()[0]
+        # Lines as frequent as the least frequent shared one may be in both sets; their places are then found twice.
+        docs = _places(docs, materialize(found.where(F.col("n") <= least)), text, key, site)
+    extra = len(docs.columns) - len(schema)
+    where, own = schema.names.index(text), schema.names.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kept, counts = batch.column(where).to_pylist(), [], []
+            places = batch.columns[-1].to_pylist() if extra else [None] * len(texts)
+            for t, k, also in zip(texts, batch.column(own).to_pylist(), places):
+                parts = [] if t is None else t.split("\n")
+                gone = {*shared.value.gone(parts, k, t), *(also or ())} if parts else ()
+                kept.append("\n".join(p for i, p in enumerate(parts) if i not in gone) if gone else t)
+                counts.append((len(parts), len(gone)))
+            columns = [pa.array(kept, pa.string()) if i == where else c for i, c in enumerate(batch.columns[: len(schema)])]
+            names = batch.schema.names[: len(schema)]
+            if report:
+                columns += [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
+                names = [*names, *added]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    added = fresh(docs, "n_lines", "n_removed")
+    out = schema
+    for name in added if report else ():
+        out = type(out)([*out.fields, type(out)().add(name, "long").fields[0]])
+    return docs.mapInArrow(run, out)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """op1: per document the numbers of lines and of removed lines and a digest of the text that stays."""
-    out = clean(docs, report=True)
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = clean(docs.select("doc_id", "text", "source"), report=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 ORACLE = f"""

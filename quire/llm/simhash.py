@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bytes_of, components, materialize
+from .common import FREQUENT, bytes_of, components, fresh, materialize
 
 MAX_BITS, SEGMENT_BITS, BUCKET = 2, 32, 64
 SEED = 42
@@ -84,9 +84,13 @@ def links(fps: DataFrame) -> DataFrame:
     Pairs that meet in a bucket of at most BUCKET fingerprints are all there;
     larger buckets give stars instead.
     """
-    bucket = W.partitionBy("t", "v")
-    tables = _segments(fps).withColumn("n", F.count("*").over(bucket)).withColumn("mark", F.min("fp").over(bucket))
-    entries = tables.where((F.col("n") <= BUCKET) | (F.col("fp") == F.col("mark"))).select("t", "v", F.col("fp").alias("found"), (F.col("n") > BUCKET).alias("large"))
+    tables = _segments(fps)
+    # Sizes of buckets are aggregated before the shuffle; no task holds a bucket that may be large.
+    sizes = materialize(tables.groupBy(F.col("t").alias("b_t"), F.col("v").alias("b_v")).agg(F.count("*").alias("n"), F.min("fp").alias("mark")))
+    large, same = sizes.where(F.col("n") > BUCKET), (F.col("t") == F.col("b_t")) & (F.col("v") == F.col("b_v"))
+    hot = F.broadcast(large.orderBy(F.desc("n")).limit(FREQUENT).select("b_t", "b_v"))
+    small = tables.join(hot, same, "left_anti").join(sizes.where(F.col("n") <= BUCKET), same, "left_semi").select("t", "v", F.col("fp").alias("found"), F.lit(False).alias("large"))
+    entries = small.union(large.select("b_t", "b_v", "mark", F.lit(True)))
     probes = _segments(fps).withColumn("mask", F.explode(_masks(SEGMENT_BITS))).withColumn("probe", F.col("v").bitwiseXOR(F.col("mask")))
     met = probes.withColumnRenamed("t", "pt").withColumnRenamed("v", "pv").join(entries, (F.col("pt") == F.col("t")) & (F.col("probe") == F.col("v")))
     # A pair whose segments differ is found from the larger value only, an equal one from the smaller fingerprint.
@@ -113,12 +117,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of docs for each component of classes (h, component), h being xxhash64 of the text.
 
-    The smallest id stays, rows without one come last, then the text hash decides.
+    The smallest id stays, rows without one come last, then the text hash decides. Texts
+    are shuffled once; only rows that repeat both id and text are grouped again.
     """
-    least = docs.groupBy(F.xxhash64(text).alias("t_h")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"))).alias("first"))
-    one = least.join(classes, F.col("t_h") == F.col("h")).groupBy("component").agg(F.min(F.struct("first.none", "first.k", "t_h")).alias("one")).select("one.k", "one.t_h")
-    rows = docs.join(one, F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(text) == F.col("t_h")), "left_semi")
-    return rows.dropDuplicates([key, text])
+    k, h, again = fresh(docs, "k", "h", "again")
+    places = docs.select(F.xxhash64(text).alias("t_h"), F.col(key).isNull().alias("none"), F.col(key).alias("k")).groupBy("t_h", "none", "k").agg((F.count("*") > 1).alias("again"))
+    least = places.groupBy("t_h").agg(F.min(F.struct("none", "k", "again")).alias("first"))
+    one = least.join(classes, F.col("t_h") == F.col("h")).groupBy("component").agg(F.min(F.struct("first.none", "first.k", "t_h", "first.again")).alias("one"))
+    one = materialize(one.select(F.col("one.k").alias(k), F.col("one.t_h").alias(h), F.col("one.again").alias(again)))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.join(of, docs[key].eqNullSafe(of[k]) & (F.xxhash64(docs[text]) == of[h]), "left_semi")
+
+    single, repeated = one.where(~F.col(again)), one.where(F.col(again))
+    return rows(single) if repeated.isEmpty() else rows(single).unionByName(rows(repeated).dropDuplicates([key, text]))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, linededup, packing, pii, secret_scan, simhash
+from quire.llm import bpe, langid, linededup, neardup, packing, pii, secret_scan, simhash
 from quire.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, h1 int"
@@ -124,6 +124,39 @@ def test_line_dedup_decides_by_sketch_and_by_exact_count(spark):
     assert len(linededup.spread(docs, 11).collect()) == 1
 
 
+def test_line_dedup_tells_rows_apart_and_sorts_null_ids_last(spark):
+    rows = [(i, f"wide\nown {i}", f"s{i}") for i in range(1, 12)]
+    rows += [(5, "unique first\nunique second\nwide", "s0"), (None, "wide\nwithout an id", "s0"), (0, "wide", "s90"), (0, "wide", "s90")]
+    docs = spark.createDataFrame([(*r, "__places", 1, "h1") for r in rows], "doc_id long, text string, source string, __places string, __TEXT int, h1 string")
+    want = sorted([(0, "wide")] * 2 + [(i, f"own {i}") for i in range(1, 12)] + [(5, "unique first\nunique second"), (-1, "without an id")])
+    got = linededup.clean(docs)
+    assert got.columns == docs.columns
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
+def test_line_dedup_shares_frequent_lines_and_joins_the_others(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    rng = random.Random(6)
+    rows = [(i, "\n".join(f"line {int(rng.random() ** 2 * 12)}" if rng.random() < 0.7 else f"own {i} {k}" for k in range(6)), f"s{i % 17}") for i in range(200)]
+    sites, first = defaultdict(set), {}
+    for i, t, s in rows:
+        for pos, x in enumerate(t.split("\n")):
+            sites[x].add(s)
+            first.setdefault(x, (i, pos))
+    want = {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if len(sites[x]) < 10 or first[x] == (i, pos)) for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sum(len(x) >= 10 for x in sites.values()) > 6
+    assert {r["doc_id"]: r["text"] for r in linededup.clean(docs).collect()} == want
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d", 1, 2, "x"), (2, "a b c d", 1, 2, "x"), (3, "other words stand here", 1, 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, t_h int, component string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == [1, 3]
+    assert secret_scan.redact(docs.withColumn("spans", F.lit("y"))).count() == 3
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
