@@ -1,16 +1,19 @@
 """Language identification by bit-sliced Bloom filters of character n-grams (op10).
 
 Training takes a bounded sample of labelled rows (``fit_rows`` per language in
-expectation, chosen by a hash of the id), counts its n-grams with a Spark
-aggregation and gives each n-gram the set of languages that use it at no less than
-``share`` of the rate of its most frequent language. All languages share one array
-of slots; a slot holds one bit per language, so the AND of an n-gram's slots is
-the set of all languages containing it. A text's hits are counted per language,
-every count is corrected for that language's measured false-positive rate, and
-the largest decides.
+expectation, chosen by a hash of the id), four fifths of which teach: a Spark
+aggregation finds every n-gram of each language, and every language that has an n-gram is a member of
+it, however rare it is there. Of a language with more than ``max_grams`` n-grams the most
+frequent teach. All languages share one array of slots; a slot holds one bit per language, as many bytes as they
+need, so the AND of an n-gram's slots is the set of all languages containing it.
+A text's hits are counted per language, every count is corrected for that
+language's measured false-positive rate, and the largest decides.
+
+The last fifth of the sample sets a least score for each language, ``MARGIN`` times the
+``LOW`` quantile of its scores: ``keep`` takes a text below it for none of the learned languages.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0. Ties go
-to the language that sorts first. Rows with a null language or id teach nothing.
+to the language that sorts first, and so does a text that shares nothing with any language, with score 0. Rows with a null language or id teach nothing.
 With no training rows every text is ``und``. Texts of any length are read whole.
 Repeated rows count as often as they occur. Columns other than those named are
 ignored.
@@ -25,9 +28,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 N, HASHES, UND = 4, 3, "und"
+LOW, MARGIN, TEACH = 0.01, 0.5, 0.8
 SPACE = np.uint32(32)
 
 
@@ -67,64 +74,87 @@ def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    filters: np.ndarray  # one word per slot, one bit per language
+    filters: np.ndarray  # one row of bytes per slot, one bit per language
     false_positive: np.ndarray
+    least: np.ndarray  # per language, the score below which a text is in none
 
     def classify(self, text: str | None) -> tuple[str, float]:
+        best, score = self.best(text)
+        return (UND, 0.0) if best is None else (self.languages[best], score)
+
+    def best(self, text: str | None) -> tuple[int | None, float]:
+        """The language's number, None for a text without letters, and the score."""
         h = grams(text or "")
         if not len(h) or not self.languages:
-            return UND, 0.0
-        found = None
-        for place in slots(h, len(self.filters)):
-            found = self.filters[place] if found is None else found & self.filters[place]
-        hits = np.array([np.count_nonzero(found & found.dtype.type(1 << i)) for i in range(len(self.languages))], float)
+            return None, 0.0
+        hits = np.zeros(len(self.languages))
+        for i in range(0, len(h), 1 << 16):
+            a, *others = slots(h[i : i + (1 << 16)], len(self.filters))
+            found = self.filters[a]
+            for place in others:
+                found &= self.filters[place]
+            if found.shape[1] == 1:
+                hits += [np.count_nonzero(found & np.uint8(1 << k)) for k in range(len(hits))]
+            else:
+                hits += np.unpackbits(found, axis=1, count=len(hits), bitorder="little").sum(0)
         share = np.clip((hits / len(h) - self.false_positive) / (1 - self.false_positive), 0, 1)
         best = int(np.argmax(share))
-        return self.languages[best], float(share[best])
+        return best, float(share[best])
 
+    def knows(self, text: str | None) -> bool:
+        best, score = self.best(text)
+        return best is not None and score > 0 and score >= self.least[best]
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = 2000, max_grams: int = 400_000, share: float = 0.25) -> Model:
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = 2500, max_grams: int = 1_000_000) -> Model:
     """Fit on about ``fit_rows`` rows per language.
 
     What reaches the driver is bounded by the parameters: one row per language and
-    ``max_grams`` n-grams, the most frequent ones.
+    ``max_grams`` n-grams of each.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("key is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
     if not languages:
-        return Model([], np.zeros(1, np.uint8), np.zeros(0))
+        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), np.zeros(0))
     index = {x: i for i, x in enumerate(languages)}
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.element_at(F.create_map(*[F.lit(y) for x in languages for y in (x, min(1.0, fit_rows / counts[x]))]), F.col("lang"))
-    sample = rows.where(part < rate).select("text", "lang")
+    rates = rows.sparkSession.createDataFrame([(x, i, min(1.0, fit_rows / counts[x])) for x, i in index.items()], "known string, number int, rate double")
+    sample = rows.join(F.broadcast(rates), F.col("lang") == F.col("known")).where(part < F.col("rate")).select("text", "number", (part >= TEACH * F.col("rate")).alias("aside"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[int, list[np.ndarray]] = {}
-            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(index[x], []).append(grams(t))
+            for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(i, []).append(grams(t))
             for i, found in by.items():
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i, np.int32)), pa.array(n)], ["gram", "lang", "n"])
 
-    seen = sample.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    per = seen.groupBy("gram").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))])
-    top = per.where("total > 1").orderBy(F.desc("total"), "gram").limit(max_grams).toPandas()
-    n = top[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
-    rates = n / np.maximum(n.sum(0), 1)
-    member = (rates > 0) & (rates >= share * rates.max(1, keepdims=True))
-    word = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, len(top)) * 8))))
-    filters = np.zeros(size, word)
-    h = top["gram"].to_numpy(np.int64).view(np.uint64)
-    for i in range(len(languages)):
-        for place in slots(h[member[:, i]], size):
-            filters[place] |= word(1 << i)
-    fill = np.array([np.count_nonzero(filters & word(1 << i)) / size for i in range(len(languages))])
-    return Model(languages, filters, fill**HASHES)
+    seen = materialize(sample.where("not aside").select("text", "number").mapInArrow(count, "gram long, lang int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if (seen.groupBy("lang").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0) > max_grams:
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+        seen = seen.withColumn("rank", rank).where(F.col("rank") <= max_grams)
+    top = seen.select("lang", "gram").toPandas()
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, top["gram"].nunique()) * 8))))
+    filters = np.zeros((size, -(-len(languages) // 8)), np.uint8)
+    for i, own in top.groupby("lang")["gram"]:
+        for place in slots(own.to_numpy(np.int64).view(np.uint64), size):
+            filters[place, i // 8] |= np.uint8(1 << i % 8)
+    fill = np.array([np.count_nonzero(filters[:, i // 8] & np.uint8(1 << i % 8)) / size for i in range(len(languages))])
+    model = Model(languages, filters, fill**HASHES, np.zeros(len(languages)))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.best(t) for t in batch.column(0).to_pylist()]
+            right = [s if b == i else None for (b, s), i in zip(found, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(right, pa.float64())], ["number", "score"])
+
+    scored = sample.where("aside").select("text", "number").mapInArrow(score, "number int, score double").where("score is not null")
+    for r in scored.groupBy("number").agg(F.percentile_approx("score", LOW, 10_000).alias("low")).collect():
+        model.least[r["number"]] = MARGIN * r["low"]
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -133,7 +163,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.classify(t.as_py()) for t in batch.column(1)]
+            out = [shared.value.classify(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -151,14 +181,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose language is found with a score above least."""
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are in one of the learned languages."""
     schema, where = docs.schema, docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.classify(t.as_py()) for t in batch.column(where)]
-            yield batch.filter(pa.array([x != UND and s > least for x, s in found], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.knows(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

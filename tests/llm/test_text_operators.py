@@ -337,6 +337,45 @@ def test_language_filters(spark):
     assert langid.identify(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_language_equals_exact_sets_of_grams(spark):
+    """Brute force: the share of a text's n-grams in the exact set of each language, without filters."""
+    rng = random.Random(4)
+    stems = {"aa": ["ba", "lo", "mi", "ta", "re"], "bb": ["str", "ich", "üb", "keit", "re"], "cc": ["re", "no", "sí", "ta", "ña"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[k]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 30))), k) for i, k in ((i, "abc"[i % 3] * 2) for i in range(300))]
+    rows += rows[:3] + [(900, "tata " * 5000, "aa"), (901, "", "bb"), (902, None, "bb"), (903, "一二三", None), (None, "lomi", "aa")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        t = re.sub(r"[^\w]+|[\d_]+", " ", f" {(text or '').lower()} ")
+        return [t[i : i + 4] for i in range(max(1, len(t) - 3))] if re.search(r"[^\W\d_]", t) else []
+
+    hashes = {r["doc_id"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("h")).collect()}
+    known = defaultdict(set)
+    for i, t, k in rows:
+        if i is not None and k and t is not None and zlib.crc32(str(i).encode()) % 5 and hashes[i] < langid.TEACH:
+            known[k] |= set(grams(t))
+    for r in got.collect():
+        own = grams(next(t for i, t, _ in rows if i == r["doc_id"]))
+        share = {k: sum(g in known[k] for g in own) / len(own) for k in sorted(known)} if own else {}
+        best = max(share, key=share.get) if share else "und"
+        second = sorted(share.values())[-2:] if share else [0, 1]
+        assert r["lang_pred"] == best or second[1] - second[0] < 0.02, r
+        assert abs(r["score"] - share.get(r["lang_pred"], 0)) < 0.03
+
+
+def test_seventy_languages_and_texts_in_none(spark):
+    rng = random.Random(1)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 9)]
+    rows = [(i, " ".join("".join(rng.choice(alphabet[9 * (i % 70) : 9 * (i % 70) + 9]) for _ in range(4)) for _ in range(30)), f"l{i % 70:02}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 70:02}" for r in got]) > 0.99
+    model = langid.train(docs)
+    strange = [(0, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)), 1), (1, rows[0][1], 1), (2, None, 1), (3, "...", 1), (4, rows[0][1] + " abc", 1)]
+    kept = langid.keep(spark.createDataFrame(strange, "doc_id long, text string, score int"), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == ["doc_id", "text", "score"]
+
+
 def test_bloom_filters_return_every_member_language():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
