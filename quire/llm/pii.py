@@ -1,23 +1,26 @@
 """PII surrogates by DataFrame functions only (op5).
 
-Entities are found by one alternation of patterns. Every distinct entity of the
-corpus gets a keyed surrogate: a SHA-256 stream over (key, kind, canonical form,
-attempt) fills the entity's own format, so digits stay digits, letters keep case
-and script, octets stay octets, a card number with a valid check digit gets a
-valid one, an e-mail stays an e-mail (its domain has a surrogate of its own, below
-a reserved name), and a titled name gets a given name of the title's gender in
-the name's script. Entities whose surrogate is taken, or is some real
-entity, are hashed again with the next attempt until all are distinct; the
-first two attempts keep the length, later ones add letters or digits where the
-format is too small to hold all entities.
-
-Equal canonical forms (case folded) share a surrogate in the whole corpus. A text is
-cut at its entities and joined again with the surrogates in their places; every other
-character is kept.
-
-Edge cases: a null text stays null. Texts without entities are returned as they are.
-Repeated rows get equal results. Extra columns are dropped; rows that repeat a
-doc_id with other texts are told apart by a hash of the text.
+Entities are found by one alternation of patterns, evaluated once over every text: e-mail,
+IPv4, international and common national phone numbers, US social security numbers,
+payment cards, and personal names, which are known by a title (``TITLES``) or by a
+common given name (``GIVEN``) before a capitalised word. Names without either, street addresses and national
+numbers without separators are not found.
+
+An entity is made of parts, and a part has a kind and a canonical form in which its spellings
+agree: digits for phones, cards and SSNs, case folded local part and domain of an
+e-mail, given name and surname of a person. Every distinct part of the corpus gets one
+keyed surrogate: a SHA-256 stream over (key, kind, canonical form, attempt) fills the
+form, so a valid card number gets a valid one, a given name one of its gender, a
+surname one in its script, a domain one below a reserved name. A surrogate that
+another part of its kind has, or that is some real part, is replaced by that of the next attempt; later
+attempts add syllables or digits, so that the space grows much faster than what is left and the
+attempts end. A surrogate is then written in the format of each mention: its
+separators, its capitals. So "Mr. John Smith", "Mr Smith" and "SMITH" behind a title share
+a surname, and "+1 555 123 4567" and "+1-555-123-4567" a number.
+
+Edge cases: a null text stays null. Texts without entities are returned as they are
+and never shuffled. Repeated rows get equal results. Extra columns are dropped; rows that repeat a
+doc_id with other texts are told apart by a hash of the text. Everything between entities is kept.
 """
 
 from __future__ import annotations
@@ -25,43 +28,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, shared_dir
+from .common import keyed_join, materialize
 
-# Titles that tell gender, and names to choose from, by script.
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
-MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин")
-NAMES = {
-    ("f", "latin"): ("Alma", "Bella", "Clara", "Dora", "Elsa", "Frida", "Greta", "Hanna", "Ida", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"),
-    ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Max", "Nils", "Otto", "Paul"),
+# Titles by gender, given names by gender and script, sounds of made names by script.
+TITLES = {
+    "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"),
+    "n": ("Dr", "Prof", "Professor", "Доктор"),
+}
+GIVEN = {
+    ("f", "latin"): ("Alma", "Alice", "Anna", "Bella", "Carmen", "Clara", "Dora", "Elena", "Elisabeth", "Elsa", "Emma", "Frida", "Greta", "Hanna", "Ida", "Ingrid", "Jane", "Julia", "Karin", "Klara", "Laura", "Lena", "Lucia", "Maria", "Marie", "Mary", "Monika", "Nora", "Olga", "Paula", "Sarah", "Sofia", "Susan", "Teresa"),
+    ("m", "latin"): ("Adam", "Albert", "Bruno", "Carl", "Carlos", "David", "Emil", "Felix", "Georg", "George", "Hans", "Hugo", "Ivan", "Jack", "James", "Jean", "John", "Jonas", "José", "Juan", "Karl", "Klaus", "Leon", "Luis", "Max", "Michael", "Nils", "Otto", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William"),
     ("f", "cyrillic"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Лидия", "Мария", "Нина"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Олег", "Павел"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Μαρία", "Σοφία"),
+    ("m", "greek"): ("Γιώργος", "Κώστας", "Νίκος", "Πέτρος"),
 }
+SOUNDS = {"latin": ("b d f g k l m n p r s t v z", "a e i o u"), "cyrillic": ("б в г д ж з к л м н п р с т", "а е и о у"), "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ", "α ε ι ο")}
+ENDINGS = {
+    ("f", "latin"): "na la ra sa", ("m", "latin"): "n r s rt", ("n", "latin"): "ni lo ri", ("s", "latin"): "ler mann ton sen dal wick",
+    ("f", "cyrillic"): "на ла ра", ("m", "cyrillic"): "н р слав", ("n", "cyrillic"): "ко ло", ("s", "cyrillic"): "нов ров мов лев",
+    ("f", "greek"): "να λη ρα", ("m", "greek"): "νος ρης λος", ("n", "greek"): "νι λο", ("s", "greek"): "κης δης νος",
+}
+ALPHABETS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "а-я": "абвгдежзиклмнопрстуфхцчшщэюя", "А-Я": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"}
+
 _LOCAL = r"[\p{L}\p{N}._%+-]"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_ALONE, _ENDS = r"(?<![0-9.,/+-])", r"(?![.,-]?[0-9])"
+_WORD = r"\p{Lu}\p{L}*(?:['’-]\p{Lu}\p{L}*)*"
+_TITLE = r"(?:M\.|(?:" + "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper())) + r")\b\.?)"
+_NATIONAL = (
+    r"(?<![0-9])\([0-9]{2,5}\)[ ./-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    _ALONE + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}" + _ENDS,
+    _ALONE + r"0[0-9]{2,4}[ /-][0-9]{5,8}" + _ENDS,
+    _ALONE + r"0[0-9](?:[ .-][0-9]{2}){4}" + _ENDS,
+)
 KINDS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "ipv4": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "name": r"\b(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9+])\+(?=(?:[ ./()-]{0,2}[0-9]){7})[0-9]{1,3}(?:[ ./-]?\([0-9]{1,4}\))?(?:[ ./-]?[0-9]{1,4}){2,6}(?![0-9])|" + "|".join(_NATIONAL),
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:{_TITLE} {_WORD}(?: {_WORD})?|(?:" + "|".join(n for group in GIVEN.values() for n in group) + rf") {_WORD})",
 }
-PATTERN = "(?U)" + "|".join(f"(?:{p})" for p in KINDS.values())
+# One look at a character excludes most places before the costly alternatives.
+_NUMBERS = "|".join(KINDS[k] for k in ("ipv4", "ssn", "card", "phone"))
+PATTERN = rf"(?U)(?:{KINDS['email']})|(?=[0-9+(])(?:{_NUMBERS})|(?=\p{{Lu}}){KINDS['name']}"
+SPELLED, LAST = 2, 16  # attempts that keep the length of the form; the attempt that is not checked any more
 
 
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
-    for kind in ("card", "ssn", "phone", "ipv4", "email"):
+    for kind in ("phone", "card", "ssn", "ipv4", "email"):
         out = F.when(entity.rlike("(?U)^(?:" + KINDS[kind] + ")$"), kind).otherwise(out)
     return out
 
 
-def canonical(entity: Column) -> Column:
-    return F.lower(entity)
+def digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
+
+
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _feminine(word: Column) -> Column:
+    """Whether a Slavic surname has the feminine ending."""
+    return F.lower(word).rlike("(?:ов|ев|ёв|ин|ын)а$")
+
+
+def parts(entity: Column, kind: Column) -> Column:
+    """array of struct(lead, kind, name, piece): what stands before a part, its kind, canonical form and spelling."""
+
+    def part(lead: Column, kind: Column, name: Column, piece: Column) -> Column:
+        return F.struct(lead.alias("lead"), kind.alias("kind"), name.alias("name"), piece.alias("piece"))
+
+    none = F.lit("")
+    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    email = F.array(part(none, F.concat(F.lit("local@"), F.lower(domain)), F.lower(local), local), part(F.lit("@"), F.lit("domain"), F.lower(domain), domain))
+    plus = F.when(entity.startswith("+"), "+").otherwise("")
+    number = F.when(kind == "phone", F.concat(plus, digits(entity))).when(kind == "ipv4", entity).otherwise(digits(entity))
+    head = F.regexp_extract(entity, f"(?U)^({_TITLE} )?", 1)
+    words = F.split(F.regexp_replace(entity, f"(?U)^{_TITLE} ", ""), " ")
+    title, surname, given = F.regexp_replace(head, r"\.? $", ""), F.element_at(words, -1), F.element_at(words, 1)
 
+    def known(gender: str) -> Column:
+        return F.lower(given).isin([n.lower() for (g, _), names in GIVEN.items() if g == gender for n in names])
 
-def _stream(key: str, kind: Column, name: Column, attempt: Column) -> Column:
-    """128 hex digits that depend on all arguments."""
-    seed = F.concat_ws("\u001f", F.lit(key), kind, name, attempt.cast("string"))
+    women, men = ([x for t in TITLES[g] for x in (t, t.upper())] for g in "fm")
+    gender = F.when(title.isin(women), "f").when(title.isin(*men, "M"), "m").when(known("f"), "f").when(known("m"), "m").otherwise("n")
+    form = F.when(_feminine(surname), F.regexp_replace(F.lower(surname), "а$", "")).otherwise(F.lower(surname))
+    family = part(F.when(F.size(words) > 1, " ").otherwise(head), F.concat(F.lit("s:"), script_of(surname)), form, surname)
+    first = part(head, F.concat(gender, F.lit(":"), script_of(given)), F.lower(given), given)
+    person = F.when(F.size(words) > 1, F.array(first, family)).otherwise(F.array(family))
+    return F.when(kind == "email", email).when(kind == "name", person).otherwise(F.array(part(none, kind, number, entity)))
+
+
+def stream(key: str, attempt: int) -> Column:
+    """128 hex digits that depend on the key, a part's kind and name, and the attempt."""
+    seed = F.concat_ws("\u001f", F.lit(key), "kind", "name", F.lit(str(attempt)))
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\u001f2")), 256))
 
 
@@ -70,12 +135,12 @@ def _value(stream: Column, place: Column) -> Column:
     return F.conv(F.substring(stream, F.pmod(place * 4, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
 
 
-ALPHABETS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "а-я": "абвгдежзиклмнопрстуфхцчшщэюя", "А-Я": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"}
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _refill(text: Column, stream: Column, keep: int = 0) -> Column:
+def _refill(text: Column, stream: Column, keep: Column) -> Column:
     """text with new digits for digits and new letters of the same case and script for letters, but for its first keep characters."""
-    parts = F.filter(F.split(text, ""), lambda c: c != "")
 
     def new(c: Column, i: Column) -> Column:
         v = _value(stream, i)
@@ -85,85 +150,121 @@ def _refill(text: Column, stream: Column, keep: int = 0) -> Column:
         out = out.when(c.rlike(r"\p{Lu}"), F.substring(F.lit("ÁÉÍÓÚ"), v % 5 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substring(F.lit("áéíóú"), v % 5 + 1, F.lit(1)))
         return F.when(i < keep, c).otherwise(out.otherwise(c))
 
-    return F.array_join(F.transform(parts, new), "")
+    return F.array_join(F.transform(_chars(text), new), "")
 
 
-def _luhn(digits: Column) -> Column:
+def _luhn(number: Column) -> Column:
     """Sum of the Luhn check over a string of digits."""
-    parts = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: F.when(i % 2 == 1, F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int") + 1)).otherwise(c.cast("int")))
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+    doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
+    terms = F.transform(F.reverse(_chars(number)), lambda c, i: F.when(i % 2 == 1, F.element_at(doubled, c.cast("int") + 1)).otherwise(c.cast("int")))
+    return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
+
+
+def _made(stream: Column, kind: Column, attempt: int) -> Column:
+    """A name of the kind's gender and script, of more syllables with each attempt."""
+    script = F.substring_index(kind, ":", -1)
+
+    def by_script(i: int) -> Column:
+        return F.when(script == "cyrillic", SOUNDS["cyrillic"][i]).when(script == "greek", SOUNDS["greek"][i]).otherwise(SOUNDS["latin"][i])
 
+    def one(options: Column, place: Column) -> Column:
+        letters = F.split(options, " ")
+        return F.element_at(letters, _value(stream, place) % F.size(letters) + 1)
 
-def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical entity."""
-    s = _stream(key, kind, name, attempt)
-    more = F.when(attempt >= 2, F.substring(F.translate(s, "0123456789", "ghijklmnop"), 60, 6)).otherwise("")
-    local, domain = F.substring_index(name, "@", 1), F.substring_index(name, "@", -1)
-    email = F.concat(_refill(local, s), more, F.lit("@"), F.translate(F.substring(F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit("domain"), domain), 256), 1, 10), "0123456789", "ghijklmnop"), F.lit(".example.com"))
+    ends = F.create_map(*[F.lit(x) for (gender, of), e in ENDINGS.items() for x in (f"{gender}:{of}", e)])[kind]
+    syllables = F.transform(F.sequence(F.lit(0), F.lit(min(13, 2 + attempt) - 1)), lambda i: F.concat(one(by_script(0), 2 * i), one(by_script(1), 2 * i + 1)))
+    out = F.concat(F.array_join(syllables, ""), one(ends, F.lit(29)))
+    if attempt == 0:
+        names = F.create_map(*[F.lit(x) for (gender, of), names in GIVEN.items() for x in (f"{gender}:{of}", " ".join(names).lower())])[kind]
+        out = F.coalesce(one(names, F.lit(30)), out)
+    return out
+
+
+def surrogate(s: Column, kind: Column, name: Column, attempt: int) -> Column:
+    """The surrogate of a canonical part, from its stream."""
+    extra = 3 * max(0, attempt - SPELLED + 1)
+    letters = F.translate(F.substring(s, 66, 2 * extra), "0123456789", "ghijklmnop") if extra else F.lit("")
+    more = F.regexp_replace(F.translate(F.substring(s, 66, extra), "abcdef", "012345"), "[^0-9]", "0") if extra else F.lit("")
     ipv4 = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (_value(s, i + 3) % 254 + 1).cast("string")), ".")
-    phone = _refill(name, s, 2)
-    card = _refill(name, s, 1)
-    digits = F.regexp_replace(name, "[^0-9]", "")
+    if attempt > 6:  # only when a large part of all addresses is taken
+        ipv4 = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.array(*[F.lit(i) for i in range(6)]), lambda i: F.substring(s, i * 4 + 1, F.lit(4))), ":"))
+    one = F.lit(1)
+    card = F.concat(_refill(name, s, one), more)
     body = F.regexp_replace(card, "[0-9]$", "")
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))), F.lit(10)), F.lit(10))
-    card = F.when(_luhn(digits) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(card)
-    title = F.regexp_extract(name, r"^(\S+)", 1)
-    woman = F.regexp_replace(title, r"\.$", "").isin([t.lower() for t in FEMALE_TITLES])
-    script = name.rlike(r" \p{IsCyrillic}")
-
-    def pick(gender: str, alphabet: str) -> Column:
-        names = NAMES[gender, alphabet]
-        return F.element_at(F.array(*[F.lit(n) for n in names]), _value(s, F.lit(7)) % len(names) + 1)
-
-    given = F.when(woman, F.when(script, pick("f", "cyrillic")).otherwise(pick("f", "latin"))).otherwise(F.when(script, pick("m", "cyrillic")).otherwise(pick("m", "latin")))
-    words = F.split(name, " ")
-    person = F.concat_ws(" ", F.initcap(title), given, F.initcap(F.concat(F.when(F.size(words) > 2, _refill(F.element_at(words, -1), s)), more)))
-    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _refill(name, s)).otherwise(person)
-
-
-def dictionary(found: DataFrame, key: str, attempts: int = 40) -> DataFrame:
-    """(kind, name, surrogate) of the distinct entities, all surrogates distinct and none a real entity."""
-    spark = found.sparkSession
-    real = materialize(found.select("kind", "name").distinct())
-    settled, pending, paths = None, real, []
-    for attempt in range(attempts):
-        tried = pending.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("name"), F.lit(attempt)))
-        tried = tried.withColumn("claim", canonical(F.col("surrogate")))
-        taken = real.select(F.col("kind").alias("k"), F.col("name").alias("c"))
+    check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+    card = F.when(_luhn(name) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(card)
+    domain = F.concat(F.translate(F.substring(s, 1, 10 + extra), "0123456789", "ghijklmnop"), F.lit(".example.com"))
+    return (
+        F.when(kind.startswith("local@"), F.concat(_refill(name, s, F.lit(0)), letters))
+        .when(kind == "domain", domain)
+        .when(kind == "ipv4", ipv4)
+        .when(kind == "phone", F.concat(_refill(name, s, F.when(name.startswith("+"), 2).otherwise(1)), more))
+        .when(kind == "card", card)
+        .when(kind == "ssn", F.concat(_refill(name, s, F.lit(0)), more))
+        .otherwise(_made(s, kind, attempt))
+    )
+
+
+def dictionary(real: DataFrame, key: str) -> DataFrame:
+    """(kind, name, n, surrogate) of the distinct parts of real (kind, name, n), all surrogates of a scope distinct and none a real part.
+
+    Given names of all genders are one scope. The attempts end: each has a space many times that of
+    the one before, and the last one, of 128 bits, is taken as it comes.
+    """
+    scope = F.when(F.col("kind").rlike("^[fmn]:"), "given").otherwise(F.col("kind"))
+    real = materialize(real.withColumn("scope", scope))
+    settled, pending = None, real
+    for attempt in range(LAST + 1):
+        tried = pending.withColumn("stream", stream(key, attempt)).withColumn("surrogate", surrogate(F.col("stream"), F.col("kind"), F.col("name"), attempt)).drop("stream")
+        taken = real.select(F.col("scope").alias("k"), F.col("name").alias("c"))
         if settled is not None:
-            taken = taken.union(settled.select("kind", "claim"))
-        first = tried.groupBy("kind", "claim").agg(F.min("name").alias("name"))
-        won = first.join(taken, (F.col("kind") == F.col("k")) & (F.col("claim") == F.col("c")), "left_anti")
-        won = won.select(F.col("kind").alias("wk"), F.col("name").alias("wn"))
-        path = shared_dir(spark)
-        tried = materialize(tried.join(won, (F.col("kind") == F.col("wk")) & (F.col("name") == F.col("wn")), "left").withColumn("won", F.col("wk").isNotNull()).drop("wk", "wn"), path)
-        paths.append(path)
-        now = tried.where("won").drop("won")
-        settled = now if settled is None else settled.union(now)
-        pending = tried.where("not won").select("kind", "name")
+            taken = taken.union(settled.select("scope", "surrogate"))
+        first = tried.groupBy("scope", "surrogate").agg(F.min(F.struct("kind", "name")).alias("one"))
+        won = first.join(taken, (F.col("scope") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left_anti").select(F.col("one.kind").alias("wk"), F.col("one.name").alias("wn"))
+        tried = materialize(tried.join(won, (F.col("kind") == F.col("wk")) & (F.col("name") == F.col("wn")), "left").withColumn("won", F.col("wk").isNotNull()).drop("wk", "wn"))
+        now = tried.where(F.col("won") | F.lit(attempt == LAST)).drop("won")
+        settled = now if settled is None else settled.unionByName(now)
+        pending = tried.where("not won").drop("won", "surrogate")
         if pending.isEmpty():
-            return settled.drop("claim")
-    for path in paths:
-        drop(spark, path)
-    raise RuntimeError("surrogates still collide")
-
-
-def mentions(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, h, at, kind, name, entity) of every entity of every text."""
-    found = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("at", "entity"))
-    return found.select("id", "h", "at", kind_of(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("name"), "entity")
+            break
+    return settled.drop("scope")
+
+
+def shown(piece: Column, kind: Column, new: Column) -> Column:
+    """A surrogate in the format of a mention: its separators, its capitals."""
+    figures, ready = digits(new), kind.isin("phone", "card", "ssn")
+    filled = F.transform(_chars(piece), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(figures, F.length(digits(F.substring(piece, F.lit(1), i + 1))), F.lit(1))).otherwise(c))
+    number = F.concat(F.array_join(filled, ""), F.substring(figures, F.length(digits(piece)) + 1, F.lit(200)))
+    cased = F.array_join(F.transform(_chars(new), lambda c, i: F.when(F.substring(piece, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    titled = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.lit(200)))
+    loud = (piece == F.upper(piece)) & piece.rlike(r"\p{L}") & (F.length(piece) > 1)
+    name = F.when(_feminine(piece) & (kind == "s:cyrillic"), F.concat(new, F.when(loud, "А").otherwise("а"))).otherwise(new)
+    name = F.when(loud, F.upper(name)).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.lit(200))))
+    return (
+        F.when(ready, number)
+        .when(kind.rlike("^[fmns]:"), name)
+        .when(loud, F.upper(new))
+        .when(kind.startswith("local@"), cased)
+        .when((kind == "domain") & piece.rlike(r"^\p{Lu}"), titled)
+        .otherwise(new)
+    )
 
 
 def pseudonymise(docs: DataFrame, secret: str = "quire", text: str = "text", key: str = "doc_id") -> DataFrame:
     """op5: (key, text with surrogates, n_entities) of every row."""
-    found = materialize(mentions(docs, text, key).distinct())
-    table = dictionary(found, secret).select(F.col("kind").alias("k"), F.col("name").alias("c"), "surrogate")
-    named = found.join(table, (F.col("kind") == F.col("k")) & (F.col("name") == F.col("c")))
-    # A surrogate is written in the capitals of the mention.
-    shown = F.when((F.col("entity") == F.upper("entity")) & F.col("entity").rlike(r"\p{L}"), F.upper("surrogate")).otherwise(F.col("surrogate"))
-    lists = named.groupBy("id", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x["s"]).alias("new")).withColumnsRenamed({"id": "l_id", "h": "l_h"})
-    rows = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("t_h"))
-    joined = rows.join(lists, F.col(key).eqNullSafe(F.col("l_id")) & (F.col("t_h") == F.col("l_h")), "left")
-    pieces = F.split(F.col(text), PATTERN, -1)
-    mixed = F.array_join(F.zip_with(pieces, "new", lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return joined.select(key, F.when(F.col("new").isNull(), F.col(text)).otherwise(mixed).alias(text), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_entities"))
+    marked = materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("h"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("found")))
+    plain, hits = marked.where(F.coalesce(F.size("found"), F.lit(0)) < 1), marked.where(F.size("found") > 0)
+    entities = hits.select("id", "h", "found").dropDuplicates(["id", "h"]).select("id", "h", F.posexplode("found").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
+    pieces = materialize(entities.select("id", "h", "at", F.posexplode(parts(F.col("entity"), F.col("kind"))).alias("p", "part")).select("id", "h", "at", "p", "part.*"))
+    table = materialize(dictionary(pieces.groupBy("kind", "name").agg(F.count("*").alias("n")), secret).select(F.col("kind").alias("k"), F.col("name").alias("c"), "n", "surrogate"))
+    named = keyed_join(pieces, table, (F.col("kind") == F.col("k")) & (F.col("name") == F.col("c")), "n")
+    new = F.concat("lead", shown(F.col("piece"), F.col("kind"), F.col("surrogate")))
+    lists = named.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("at", "p", new.alias("s")))).alias("new")).withColumnsRenamed({"id": "l_id", "h": "l_h"})
+    joined = hits.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h"))).withColumn("between", F.split("body", PATTERN, -1))
+    mixed = F.transform("new", lambda x: F.concat(F.when(x["p"] == 0, F.get("between", x["at"])).otherwise(""), x["s"]))
+    whole = F.concat(F.array_join(mixed, ""), F.element_at("between", -1))
+    out = plain.select(F.col("id").alias(key), F.col("body").alias(text), F.lit(0).cast("long").alias("n_entities"))
+    return out.union(joined.select("id", whole, F.size("found").cast("long")))
+
+
+__all__ = ["GIVEN", "KINDS", "TITLES", "dictionary", "parts", "pseudonymise", "shown", "surrogate"]
