@@ -1,19 +1,24 @@
 """Secret scanning with one combined deterministic automaton (op6).
 
-Each rule has a core, a regular expression that every match of the rule contains.
-All cores are parsed into one NFA, made deterministic by subset construction over
-byte classes and minimised by partition refinement; the result is one flat array
+All rules, whole, are parsed into one NFA, made deterministic by subset construction
+over byte classes and minimised by partition refinement; the result is one flat array
 of transitions. One pass over the bytes of a text advances one state and reports
-every (rule, position) at which a core ends. The automaton drops rule-free text;
-around each report the rule's own expression is resolved exactly, inside the
-stretch of characters that the rule can span at all, which gives leftmost,
-non-overlapping matches in the whole text.
+every (rule, position) at which a match of a rule can first end. A report is turned into a span by two
+small automata of its rule, made in the same way: the reversed one walks back to the leftmost
+start behind the rule's last span, the anchored one walks on to the longest end, which gives leftmost,
+non-overlapping matches in the whole text. Bytes outside spans are read once. The
+automata are built on the driver and shared.
+
+A report may come from a start inside the last span of its rule; then no start is found and
+the rule's own unanchored automaton goes on from that span's end to its next possible end, so
+no stretch is walked twice.
 
 Texts are scanned with one byte per code point (all rules are ASCII; others become
 '?'-like bytes outside every rule), so positions are code points.
 
 Edge cases: a null or empty text has no spans. Positions count code points, end
-exclusive. Overlapping spans of different kinds are all reported. Repeated rows
+exclusive. Overlapping spans of different kinds are all reported. A match whose
+secret is shorter than ``least`` is dropped, but what it covers is not searched again by its rule. Repeated rows
 give repeated results; extra columns are ignored.
 """
 
@@ -33,14 +38,15 @@ B64 = "A-Za-z0-9+/_.=-"
 
 @dataclass(frozen=True)
 class Rule:
-    """core: what the automaton looks for; exact: the whole rule; reach: characters that a match consists of."""
+    """pattern: the whole rule, of literals, sets, groups, alternatives and repeats; lead: the part of it before the secret, of which least characters are needed.
+
+    The first report of a match must come no later than that of any match that starts inside its shortest form.
+    """
 
     kind: str
-    core: str
-    exact: str
-    reach: str
+    pattern: str
     least: int = 0
-    group: int = 0
+    lead: str = ""
 
 
 def _any_case(word: str) -> str:
@@ -49,25 +55,25 @@ def _any_case(word: str) -> str:
 
 NAMES = "(?:" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey")) + ")"
 ASSIGN = NAMES + r"""["']?\x20*[:=]\x20*["']?"""
-_RUN = r"(?:[A-Za-z][A-Za-z-]*+: ?[A-Za-z0-9,-]++|[A-Za-z0-9+/=]++)"
 _GAP = r"(?:[\x20\t\r\n]|\\[rnt])"
-# From BEGIN to the matching END; without one over the long base64 lines that follow and the short one that ends them.
+_HEADER = r"[A-Za-z][A-Za-z-]*: ?[A-Za-z0-9,-]+"
+_LABEL = r"(?:[A-Z]+ ){0,2}PRIVATE KEY(?: BLOCK)?-----"
+# From BEGIN to END; without END over the base64 lines that follow and the padded one that may end them.
 PEM = (
-    r"-----BEGIN ([A-Z ]{0,16})PRIVATE KEY( BLOCK)?-----"
-    rf"(?:(?:{_GAP}++{_RUN})*+{_GAP}*+-----END \1PRIVATE KEY(?:\2)?-----"
-    rf"|(?:{_GAP}++[A-Za-z][A-Za-z-]*+: ?[A-Za-z0-9,-]++)*+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)++(?:(?:\r?\n|\\n)[A-Za-z0-9+/=]++(?![^\r\n\\\"']))?|)"
+    rf"-----BEGIN {_LABEL}(?:(?:{_GAP}+(?:{_HEADER}|[A-Za-z0-9+/=]+))*{_GAP}*-----END {_LABEL}"
+    rf"|(?:{_GAP}+{_HEADER})*(?:{_GAP}+[A-Za-z0-9+/]{{16}}[A-Za-z0-9+/=]*)+(?:{_GAP}+[A-Za-z0-9+/]+=+)?|)"
 )
 # The base rules, then token formats published by their issuers.
 RULES = (
-    Rule("assign", ASSIGN + f"[{B64}]{{8}}", ASSIGN + f"([{B64}]+)", r"""\x20:"'""" + B64, 8, 1),
-    Rule("access", "AKIA[A-Z0-9]{12}", "AKIA[A-Z0-9]+", "A-Z0-9", 16),
-    Rule("hex", "[0-9a-f]{32}", "[0-9a-f]+", "0-9a-f", 32),
-    Rule("github", "gh[pousr]_", "gh[pousr]_[A-Za-z0-9]+", "A-Za-z0-9_", 40),
-    Rule("slack", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]+", "A-Za-z0-9-", 15),
-    Rule("google", "AIza", "AIza[A-Za-z0-9_-]+", "A-Za-z0-9_-", 39),
-    Rule("stripe", "[rs]k_live_", "[rs]k_live_[A-Za-z0-9]+", "A-Za-z0-9_", 24),
-    Rule("jwt", "eyJ", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "A-Za-z0-9_.-", 40),
-    Rule("pem", "-----BEGIN ", PEM, r"A-Za-z0-9+/=,: \t\r\n\\-", 0),
+    Rule("assign", ASSIGN + f"[{B64}]+", 8, ASSIGN),
+    Rule("access", "AKIA[A-Z0-9]+", 16),
+    Rule("hex", "[0-9a-f]{32}[0-9a-f]*", 32),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", "AIza[A-Za-z0-9_-]+", 39),
+    Rule("stripe", "[rs]k_live_[A-Za-z0-9]+", 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("pem", PEM),
 )
 BASE = ("assign", "access", "hex")
 
@@ -75,7 +81,8 @@ BASE = ("assign", "access", "hex")
 class Nfa:
     """States with byte-set edges and empty edges, built by reading an expression left to right."""
 
-    def __init__(self) -> None:
+    def __init__(self, backwards: bool = False) -> None:
+        self.backwards = backwards
         self.edges: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
 
@@ -85,8 +92,8 @@ class Nfa:
         return len(self.edges) - 1
 
     def build(self, tree, start: int) -> int:
-        """Add the parsed expression behind start; the state at its end."""
-        for op, arg in tree:
+        """Add the parsed expression behind start; the state at its end. Backwards, its parts come in reverse order."""
+        for op, arg in reversed(tree) if self.backwards else tree:
             name = str(op)
             if name == "MAX_REPEAT":
                 least, most, body = arg
@@ -132,12 +139,43 @@ class Nfa:
 
 
 class Automaton:
-    """The minimal deterministic automaton that reports where any core ends, for unanchored search."""
+    """The minimal deterministic automaton that reports where any pattern ends.
 
-    def __init__(self, cores: list[str]):
-        nfa = Nfa()
+    anchored: patterns start where the walk starts; otherwise anywhere behind it.
+    backwards: it reads the text from right to left.
+    """
+
+    def __init__(self, patterns: list[str], anchored: bool = False, backwards: bool = False):
+        nfa = Nfa(backwards)
+        root = nfa.state()
+        ends: dict[int, set[int]] = {}
+        for i, pattern in enumerate(patterns):
+            first = nfa.state()
+            nfa.empty[root].append(first)
+            ends.setdefault(nfa.build(re._parser.parse(pattern), first), set()).add(i)
+        self._determine(nfa, root, ends, anchored)
+
+    @classmethod
+    def first_ends(cls, parts: list[Automaton]) -> Automaton:
+        """Reports, for a match of each anchored part anywhere, the end of its shortest form: accepting states have no exits."""
+        nfa, ends = Nfa(), {}
         root = nfa.state()
-        ends = {nfa.build(re._parser.parse(core), root): i for i, core in enumerate(cores)}
+        for i, part in enumerate(parts):
+            spans = [frozenset(b for b in range(256) if part.classes[b] == c) for c in range(part.width)]
+            states = [nfa.state() for _ in range(part.states)]
+            nfa.empty[root].append(states[part.start // part.width])
+            for j, state in enumerate(states):
+                if j >= part.quiet:
+                    ends[state] = {i}
+                    continue
+                for c, to in enumerate(part.next[j * part.width : (j + 1) * part.width]):
+                    if to != part.dead:
+                        nfa.edges[state].append((spans[c], states[to // part.width]))
+        out = cls.__new__(cls)
+        out._determine(nfa, root, ends, False)
+        return out
+
+    def _determine(self, nfa: Nfa, root: int, ends: dict[int, set[int]], anchored: bool) -> None:
         sets = {s for edges in nfa.edges for s, _ in edges}
         kinds: dict[tuple, int] = {}
         self.classes = bytes(kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256))
@@ -152,20 +190,25 @@ class Automaton:
                         stack.append(t)
             return frozenset(states)
 
+        reached = [[closed({t}) for _, t in edges] for edges in nfa.edges]
+        passes = [[[bs for bs, _ in edges][k] for k in range(len(edges))] for edges in nfa.edges]
         start = closed({root})
+        again = frozenset() if anchored else start
         number, order, table = {start: 0}, [start], []
         for states in order:
+            moves = [(bs, to) for s in states for bs, to in zip(passes[s], reached[s])]
             row = []
             for c in range(len(example)):
-                to = closed({t for s in states for bs, t in nfa.edges[s] if example[c] in bs} | {root})
+                to = again.union(*[t for bs, t in moves if example[c] in bs])
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
                 row.append(number[to])
             table.append(row)
-        accepts = [frozenset(ends[s] for s in states if s in ends) for states in order]
+        accepts = [frozenset(i for s in states for i in ends.get(s, ())) for states in order]
         self.width = len(example)
         self._minimise(table, accepts)
+        self.dead = next((i * self.width for i in range(self.quiet) if set(self.next[i * self.width : (i + 1) * self.width]) == {i * self.width}), -1)
 
     def _minimise(self, table: list[list[int]], accepts: list[frozenset[int]]) -> None:
         """Moore's refinement: split blocks until equal states go to equal blocks."""
@@ -188,7 +231,7 @@ class Automaton:
         self.start = place[block[0]] * self.width
 
     def scan(self, data: bytes) -> list[tuple[int, int]]:
-        """(rule, position after its last byte), in one pass over the bytes."""
+        """(pattern, position after its last byte), in one pass over the bytes."""
         out, state, step, loud = [], self.start, self.next, self.quiet * self.width
         for i, c in enumerate(data.translate(self.classes), 1):
             state = step[state + c]
@@ -196,49 +239,83 @@ class Automaton:
                 out += [(r, i) for r in self.reports[state // self.width]]
         return out
 
+    def longest(self, data: bytes, at: int, to: int) -> int:
+        """The farthest end of a match that starts at a place, walking towards another; -1 without one."""
+        state, step, loud, classes, dead = self.start, self.next, self.quiet * self.width, self.classes, self.dead
+        found, way = (at if state >= loud else -1), (1 if to >= at else -1)
+        for i in range(at, to, way):
+            state = step[state + classes[data[i if way > 0 else i - 1]]]
+            if state >= loud:
+                found = i + way
+            elif state == dead:
+                break
+        return found
+
+    def first(self, data: bytes, at: int) -> int:
+        """The first end of a match behind a place; beyond the text without one."""
+        state, step, loud, classes = self.start, self.next, self.quiet * self.width, self.classes
+        for i in range(at, len(data)):
+            state = step[state + classes[data[i]]]
+            if state >= loud:
+                return i + 1
+        return len(data) + 1
+
+
+class Scanner:
+    """The combined automaton and the small ones of each rule."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.kinds = [r.kind for r in rules]
+        self.least = [r.least for r in rules]
+        self.back = [Automaton([r.pattern], anchored=True, backwards=True) for r in rules]
+        self.on = [Automaton([r.pattern], anchored=True) for r in rules]
+        self.all = Automaton.first_ends(self.on)
+        self.next = [Automaton([r.pattern]) for r in rules]
+        self.lead = [Automaton([r.lead], anchored=True) if r.lead else None for r in rules]
+
+    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(start, rule number, end) of every match, sorted."""
+        if not text:
+            return []
+        data, spans = text.encode("latin-1", "replace"), []
+        done, wait = [0] * len(self.kinds), [0] * len(self.kinds)
+        a = self.all
+        state, step, loud, width, reports = a.start, a.next, a.quiet * a.width, a.width, a.reports
+        for i, c in enumerate(data.translate(a.classes), 1):
+            state = step[state + c]
+            if state >= loud:
+                for r in reports[state // width]:
+                    if i > wait[r]:
+                        start = self.back[r].longest(data, i, done[r])
+                        if start < 0:
+                            wait[r] = self.next[r].first(data, done[r]) - 1
+                            continue
+                        done[r] = wait[r] = end = self.on[r].longest(data, start, len(data))
+                        secret = self.lead[r].longest(data, start, end) if self.lead[r] else start
+                        if end - secret >= self.least[r]:
+                            spans.append((start, r, end))
+        return sorted(spans)
+
 
 @lru_cache(maxsize=4)
-def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list, list]:
-    automaton = Automaton([r.core for r in rules])
-    exact = [re.compile(r.exact.encode()) for r in rules]
-    outside = [re.compile(f"[^{r.reach}]".encode()) for r in rules]
-    return automaton, exact, outside
+def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
+    return Scanner(rules)
 
 
 def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule number, end) of every match, sorted."""
-    if not text:
-        return []
-    automaton, exact, outside = compiled(rules)
-    data = text.encode("latin-1", "replace")
-    spans, done = [], [0] * len(rules)
-    for r, at in automaton.scan(data):
-        if at <= done[r]:  # inside the stretch that was resolved last
-            continue
-        low, floor, reach = at - 1, done[r], _members(rules[r].reach)
-        while low > floor and data[low - 1] in reach:
-            low -= 1
-        m = outside[r].search(data, at)
-        high = m.start() if m else len(data)
-        done[r] = high
-        for m in exact[r].finditer(data, low, high):
-            if m.end(rules[r].group) - m.start(rules[r].group) >= rules[r].least:
-                spans.append((m.start(), r, m.end()))
-    return sorted(spans)
-
-
-@lru_cache(maxsize=64)
-def _members(reach: str) -> frozenset[int]:
-    return frozenset(b for b in range(256) if re.match(f"[{reach}]".encode(), bytes([b])))
+    return scanner(rules).find(text)
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, spans array<struct<kind,start,end>>) of every row."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(scanner(rules))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            out = [[{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in find(t.as_py(), rules)] for t in batch.column(1)]
+            out = [[{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in shared.value.find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["key", "spans"])
 
     of = docs.schema[key].dataType.simpleString()
@@ -249,9 +326,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
     """Every column of docs, each text with its secrets replaced by a mark; overlapping spans are replaced once."""
     schema = docs.schema
     where = schema.names.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(scanner(rules))
 
     def clean(value: str | None) -> str | None:
-        spans = find(value, rules)
+        spans = shared.value.find(value)
         if not spans:
             return value
         out, at = [], 0
@@ -263,7 +341,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pa.array([clean(t.as_py()) for t in batch.column(where)], pa.string())
+            column = pa.array([clean(t) for t in batch.column(where).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([column if i == where else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)

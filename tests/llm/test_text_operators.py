@@ -280,6 +280,25 @@ def test_automaton_is_minimal_and_matches_every_end():
     assert len(set(rows)) == a.states
 
 
+def test_spans_of_every_rule_are_leftmost_and_longest():
+    """Against the same rules as expressions: first with a start, then the farthest end that any prefix allows."""
+    scanner = secret_scan.scanner()
+    rng = random.Random(9)
+    pieces = ["ghp_", "gho_", "a1B2" * 5, "xoxb-", "AIza", "sk_live_", "eyJ", "eyJa1.eyJb2.", ".", "-", "x" * 40, " ", "token=", "password", ": ", "AKIA", "Z9" * 8, "0123456789abcdef" * 2, "=", "'", '"', "é", "secret = token", "\n"]
+    seen = set()
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        want = []
+        for r, rule in enumerate(secret_scan.RULES[:-1]):  # these rules are greedy, so the first match is the longest
+            lead = re.compile(rule.lead) if rule.lead else None
+            for m in re.finditer(rule.pattern, text):
+                if m.end() - (lead.match(text, m.start()).end() if lead else m.start()) >= rule.least:
+                    want.append((m.start(), r, m.end()))
+        assert scanner.find(text) == sorted(want), text
+        seen |= {r for _, r, _ in want}
+    assert len(seen) == len(secret_scan.RULES) - 1
+
+
 def test_pii_surrogates(spark):
     texts = [
         "Mail ann.lee@corp.com or ANN.LEE@CORP.COM, call +1 (555) 123-4567.",
