@@ -1,20 +1,20 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products (op9).
 
-Centroids are fitted on a bounded sample (``fit_rows`` distinct vectors chosen by
-hash). Every distinct vector has its nearest centroid's cell as home and visits
+Centroids are fitted on a bounded sample (``FIT_ROWS`` distinct vectors a cell, chosen by
+hash), for 1, 4, 16 cells and so on; a label takes the number that its own size asks
+for. Every distinct vector has its nearest centroid's cell as home and visits
 other cells. A vector within angle t of y can have cell c as home only if y lies
 within t of the half-space that c wins against y's home h, that is
 y.(h - c) <= sin(t) |h - c|; these cells are open to y. Two linked vectors have each
 other's home open, so it is enough that the one with the higher home visits the
-lower: with ``visits=None``, as the query runs, y visits all open cells below its
-home and no link can be lost. A number keeps only the nearest open cells, above or
-below, and may lose links.
-
-The home members of a (label, cell) and its visitors are dealt into blocks of about
-``BLOCK`` rows; every two home blocks and every home and visitor block are one group:
-one double-precision matrix product, from which only counts and a spanning star of
-each connected part leave. Visitors are not compared with each other, so no pair is
-compared twice. Equal vectors are one member with a weight, so copies are never
+lower: y visits all open cells below its home, no link can be lost and every pair is compared in one cell.
+
+A (label, cell) is one matrix product in double precision while it has at most ``BLOCK``
+members at home and as many visitors. A larger one, which only many vectors close to each other or more than
+BLOCK * ``MAX_CELLS`` of one label make, is dealt into blocks: every two home blocks and every home and visitor
+block are one group. Close vectors are links that have to be counted, so
+that work is as large as what it finds. Only counts and a spanning star of
+each connected part leave a group. Equal vectors are one member with a weight, so copies are never
 paired.
 
 Edge cases: a null label, or a vector that is null, empty, zero or holds null or
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, keyed_join, materialize
 
-BLOCK, CELL, FIT_ROWS, MAX_CELLS = 1024, 1024, 20_000, 1024
+BLOCK, CELL, FIT_ROWS, MAX_CELLS = 2048, 1024, 16, 4096
 
 
 def usable(vec: str) -> F.Column:
@@ -48,52 +48,53 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def fit(distinct: DataFrame, cells: int, rounds: int = 8, fit_rows: int = FIT_ROWS) -> dict[int, np.ndarray]:
-    """Centroids per vector length by spherical k-means over a sample; the driver sees at most fit_rows vectors."""
-    sample = distinct.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(fit_rows).select(F.transform("vec", lambda x: x.cast("double")).alias("vec")).toPandas()["vec"]
+def fit(distinct: DataFrame, most: int, rounds: int = 8) -> dict[tuple[int, int], np.ndarray]:
+    """Centroids by (vector length, number of cells), for 1, 4, 16 cells and so on up to most.
+
+    Spherical k-means over a sample of ``FIT_ROWS`` vectors for each cell; the driver sees at
+    most FIT_ROWS * MAX_CELLS of them.
+    """
+    sample = distinct.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(max(2000, FIT_ROWS * most)).select(F.transform("vec", lambda x: x.cast("double")).alias("vec")).toArrow()["vec"]
+    by: dict[int, list] = {}
+    for v in sample:
+        by.setdefault(len(v.values), []).append(v.values.to_numpy())
     out = {}
-    for size in sorted({len(v) for v in sample}):
-        x = unit(np.array([v for v in sample if len(v) == size], float))
-        c = x[:: max(1, len(x) // cells)][:cells]
-        for _ in range(rounds):
-            near = (x @ c.T).argmax(1)
-            total = np.zeros_like(c)
-            np.add.at(total, near, x)
-            n = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(n > 1e-9, total / np.maximum(n, 1e-9), c)
-        out[size] = c
+    for size, rows in by.items():
+        x, cells = unit(np.array(rows)), 1
+        while cells <= most:
+            c = x[:: max(1, len(x) // cells)][:cells]
+            for _ in range(rounds):
+                near = (x @ c.T).argmax(1)
+                total = np.zeros_like(c)
+                np.add.at(total, near, x)
+                n = np.linalg.norm(total, axis=1, keepdims=True)
+                c = np.where(n > 1e-9, total / np.maximum(n, 1e-9), c)
+            out[size, cells] = c
+            cells *= 4
     return out
 
 
-def homes_and_visits(x: np.ndarray, c: np.ndarray, cosine: float, visits: int | None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home cell of each unit vector and the cells that it is compared in, home first."""
-    score = x @ c.T
-    home = score.argmax(1)
-    apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-    best = score[np.arange(len(x)), home][:, None]
-    may = best - score <= np.sqrt(max(0.0, 1 - cosine**2)) * apart[home] + 1e-9
-    out = []
-    for i in range(len(x)):
-        cells = np.flatnonzero(may[i] if visits is not None else may[i, : home[i]])
-        cells = cells[np.argsort(-score[i, cells], kind="stable")]
-        cells = np.concatenate([[home[i]], cells[cells != home[i]]])
-        out.append(cells if visits is None else cells[: visits + 1])
-    return home, out
+def homes_and_visits(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home cell of each unit vector, and the cells that it is compared in: its home, then the open ones below."""
+    apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    homes, out = [], []
+    for i in range(0, len(x), 512):
+        score = x[i : i + 512] @ c.T
+        home = score.argmax(1)
+        best = score[np.arange(len(home)), home][:, None]
+        may = best - score <= np.sqrt(max(0.0, 1 - cosine**2)) * apart[home] + 1e-9
+        homes.append(home)
+        out += [np.concatenate([[h], np.flatnonzero(row[:h])]) for h, row in zip(home, may)]
+    return np.concatenate(homes), out
 
 
-def compare(a: pd.DataFrame, b: pd.DataFrame, cell: int, cosine: float, same: bool) -> pd.DataFrame:
+def compare(a: pd.DataFrame, b: pd.DataFrame, cosine: float, same: bool) -> pd.DataFrame:
     """Counts and star edges of the links between two blocks of one cell."""
     x, y = unit(np.array(a["vec"].tolist(), float)), unit(np.array(b["vec"].tolist(), float))
-    ha, hb = a["home"].to_numpy(), b["home"].to_numpy()
-    va, vb = a["visits"].tolist(), b["visits"].tolist()
     hit = x @ y.T >= cosine
     if same:
         np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)
-    if len(i) and (hb != cell).any():
-        # A pair is counted in the home cell of one side; if each visits the other's home, in the lower of the two.
-        both = np.array([_counts_here(cell, ha[p], hb[q], va[p], vb[q]) for p, q in zip(i, j)])
-        i, j = i[both], j[both]
     rid, rjd, wa, wb = a["rid"].to_numpy(), b["rid"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
     count_a = np.bincount(i, weights=wb[j], minlength=len(a)).astype(np.int64)
     parts = [pd.DataFrame({"rid": rid, "other": pd.array([None] * len(a), "Int64"), "links": count_a})[count_a > 0]]
@@ -106,14 +107,6 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, cell: int, cosine: float, same: bo
     return pd.concat(parts)
 
 
-def _counts_here(cell: int, hx: int, hy: int, vx, vy) -> bool:
-    if hx == hy:
-        return hx == cell
-    if hx == cell:
-        return cell < hy or hy not in vx
-    return hy == cell and (cell < hx or hx not in vy)
-
-
 def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every node to the smallest of its connected part, for the parts of an edge list in memory."""
     nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -131,53 +124,55 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = None, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
+def link(vectors: DataFrame, cosine: float = 0.98, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
     """(rid, label, vec, n, links, component): distinct vectors, how many rows each stands for, their links and component."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("rid"), F.col(label).alias("label"), F.col(vec).alias("vec")).where(usable("vec") & F.col("label").isNotNull() & F.col("rid").isNotNull())
     distinct = materialize(rows.groupBy("label", "vec").agg(F.min("rid").alias("rid"), F.count("*").alias("n")))
-    size = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 0
-    cells = int(min(MAX_CELLS, max(1, -(-size // CELL))))
-    centroids = spark.sparkContext.broadcast(fit(distinct, cells))  # at most MAX_CELLS a vector length
+    # A label's own size gives its number of cells, 1, 4, 16 and so on, of CELL vectors or fewer while that is possible.
+    power = F.greatest(F.lit(0.0), F.ceil(F.log(4.0, F.col("size") / CELL)))
+    sizes = materialize(distinct.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("size")).withColumn("cells", F.least(F.lit(MAX_CELLS), F.pow(F.lit(4.0), power)).cast("int")))
+    most = sizes.agg(F.max("cells")).first()[0] or 1
+    centroids = spark.sparkContext.broadcast(fit(distinct, most))  # at most 4/3 MAX_CELLS a vector length
+    sized = keyed_join(distinct, sizes, F.col("label") == F.col("of"), "size")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = batch.column(1).to_pylist()
-            lengths = np.array([len(v) for v in vecs])
+            lengths, cells = np.array([len(v) for v in vecs]), batch.column(4).to_numpy()
             out = []
-            for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                c = centroids.value.get(int(d))
-                if c is None:
+            for d, k in {*zip(lengths.tolist(), cells.tolist())}:
+                at = np.flatnonzero((lengths == d) & (cells == k))
+                c = centroids.value.get((d, k))
+                if c is None:  # a length that the sample has missed
                     c = np.ones((1, d)) / np.sqrt(d)
-                home, cells_of = homes_and_visits(unit(np.array([vecs[i] for i in at], float)), c, cosine, visits)
-                out += [(i, d, int(h), x.tolist()) for i, h, x in zip(at, home, cells_of)]
+                home, visits = homes_and_visits(unit(np.array([vecs[i] for i in at], float)), c, cosine)
+                out += [(i, d, int(h), v.tolist()) for i, h, v in zip(at, home, visits)]
             out.sort()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), batch.column(3), pa.array([int(o[1]) for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32()))], ["label", "rid", "vec", "n", "dim", "home", "visits"])
 
     kind = distinct.schema["label"].dataType.simpleString()
     vtype = distinct.schema["vec"].dataType.simpleString()
     rtype = distinct.schema["rid"].dataType.simpleString()
-    placed = distinct.select("label", "vec", "rid", "n").mapInArrow(place, f"label {kind}, rid {rtype}, vec {vtype}, n long, dim int, home int, visits array<int>")
-    members = placed.withColumn("cell", F.explode("visits"))
+    placed = sized.select("label", "vec", "rid", "n", "cells").mapInArrow(place, f"label {kind}, rid {rtype}, vec {vtype}, n long, dim int, home int, visits array<int>")
+    members = placed.withColumn("cell", F.explode("visits")).withColumn("guest", F.col("home") != F.col("cell")).drop("visits", "home")
     group = ["label", "dim", "cell"]
-    at_home = F.col("home") == F.col("cell")
-    blocks = [F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((at_home, "own"), (~at_home, "guests"))]
+    blocks = [F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((~F.col("guest"), "own"), (F.col("guest"), "guests"))]
     sizes = members.groupBy(*group).agg(*blocks).select(*[F.col(g).alias("g_" + g) for g in group], "own", "guests").where("own > 0")
     on = [F.col(g) == F.col("g_" + g) for g in group]
-    # Home blocks are numbered first, then those of the visitors, which meet home blocks only.
-    block = F.when(at_home, F.pmod(F.xxhash64("rid", "label"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rid", "label"), F.col("guests")))
+    # Home blocks are numbered first, then those of the guests, which meet home blocks only.
+    block = F.when(F.col("guest"), F.col("own") + F.pmod(F.xxhash64("rid", "label"), F.col("guests"))).otherwise(F.pmod(F.xxhash64("rid", "label"), F.col("own")))
     dealt = members.join(sizes, on).withColumn("block", block.cast("int"))
-    others = F.sequence(F.lit(0), F.col("own") - 1 + F.when(at_home, F.col("guests")).otherwise(0))
-    pairs = dealt.withColumn("with", F.explode(others)).select("label", "dim", "cell", "rid", "vec", "n", "home", "visits", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
+    others = F.sequence(F.lit(0), F.col("own") - 1 + F.when(F.col("guest"), 0).otherwise(F.col("guests")))
+    pairs = dealt.withColumn("with", F.explode(others)).select("label", "dim", "cell", "rid", "vec", "n", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, b1, b2 = int(pdf["cell"].iloc[0]), int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
+        b1, b2 = int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
         a = pdf[pdf["block"] == b1]
         b = pdf[pdf["block"] == b2]
         if not len(a) or not len(b):
             return pd.DataFrame({"rid": [], "other": [], "links": []})
-        return compare(a, b, cell, cosine, b1 == b2)
+        return compare(a, b, cosine, b1 == b2)
 
     found = materialize(pairs.groupBy(*group, "b1", "b2").applyInPandas(run, f"rid {rtype}, other {rtype}, links long"))
     counts = found.where("other is null").groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "c_rid")
@@ -186,9 +181,9 @@ def link(vectors: DataFrame, cosine: float = 0.98, visits: int | None = None, ve
     return out.select("rid", "label", "vec", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rid").alias("component"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, visits: int | None = None, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
     """op9: (key, n_links, component_id, kept) of every row."""
-    classes = link(vectors, cosine, visits, vec, key, label).select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"), "links", "component")
+    classes = link(vectors, cosine, vec, key, label).select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"), "links", "component")
     rows = vectors.select(F.col(key), F.col(label).alias("r_label"), F.col(vec).alias("r_vec"))
     out = rows.join(classes, (F.col("r_label") == F.col("c_label")) & (F.col("r_vec") == F.col("c_vec")) & F.col(key).isNotNull(), "left")
     component = F.coalesce("component", key)

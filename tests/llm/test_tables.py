@@ -7,7 +7,6 @@ import json
 import random
 
 import numpy as np
-import pytest
 
 from quire.llm import common, embdedup, mtree, warc
 
@@ -64,12 +63,11 @@ def test_top_k_with_few_candidates_and_none(spark):
     assert mtree.top_k(data.limit(0), data.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("visits", [None, 8])
-def test_embedding_links_equal_brute_force(spark, monkeypatch, visits):
+def test_embedding_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embdedup, "CELL", 40)
     monkeypatch.setattr(embdedup, "BLOCK", 32)
     rows = some_vectors()[:-1]
-    got = {r["vec_id"]: r for r in embdedup.near_duplicates(vectors_of(spark, rows), visits=visits).collect()}
+    got = {r["vec_id"]: r for r in embdedup.near_duplicates(vectors_of(spark, rows)).collect()}
     assert len(got) == len(rows)
     valid = [(i, np.array(v, float), lab) for i, v, lab, *_ in rows if i is not None and lab is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     links, parent = dict.fromkeys(got, 0), {i: i for i in got}
