@@ -1,20 +1,22 @@
 """Deterministic sharded WARC writer and reader (op7).
 
-Records are range-sorted by page id. The cut points are quantiles of a sample that a
+Records are range-sorted by page id. The cut points are every 32nd id of a sample that a
 hash of the id chooses, so the same rows give the same shards and the same bytes on
 every run. A task writes its shards in order, one gzip member per record, and rolls
 to a new file once ``roll_bytes`` of compressed output are reached. Headers and
 digests are made from the payload. Every file is written under a temporary name
-and renamed when complete; the task reports it, and the driver, once all tasks are
-done, renames a manifest into place. Readers open only what the manifest lists, so
-files of failed or repeated attempts are never seen.
+and renamed when complete; the task reports it, and the manifest, a table of these reports that
+Spark writes under a temporary name, is renamed into place once all tasks are
+done. Readers open only what the manifest lists, so
+files of failed or repeated attempts are never seen. The driver holds one id a shard, nothing else.
 
 Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the largest
 page id is a response and the others are revisits that refer to it. Only ids
 and digests are grouped; payloads are shuffled once, by range.
 
 Edge cases: a null or empty payload is an empty payload (all empty ones are equal). A
-null url becomes ``about:blank``. A row whose page id is null, or equals the response's, is a response. Repeated
+null url becomes ``about:blank``. A row whose page id is null, or equals the response's, is a response; rows
+without an id are spread over shards of their own. Repeated
 rows are written as often as they occur. An empty table has an empty manifest.
 Extra columns are ignored.
 """
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import re
 import uuid
 import zlib
@@ -33,14 +34,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REPORT = "file string, records long, bytes long, sha256 string"
+PER_SHARD = 32  # sampled ids
 
 
 def sha1(data: bytes) -> str:
@@ -77,63 +80,82 @@ def open_store(uri: str):
 
 
 def revisits(pages: DataFrame, min_bytes: int, payload: str, key: str) -> DataFrame:
-    """(page, refers) of every row that revisits another."""
+    """(page, digest, refers) of every row that revisits another; digest is the payload's SHA-1 in hex."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     ids = pages.select(F.col(key).alias("page"), F.sha1(body).alias("digest"), F.length(body).alias("size")).where(F.col("page").isNotNull() & (F.col("size") >= min_bytes))
     last = ids.groupBy("digest").agg(F.max("page").alias("refers"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "refers")
-    return ids.join(last, F.col("digest") == F.col("d")).where("page <> refers").select("page", "refers").distinct()
+    return ids.join(last, F.col("digest") == F.col("d")).where("page <> refers").select("page", "digest", "refers").distinct()
 
 
-def cuts(pages: DataFrame, key: str, shards: int, rows: int) -> list:
-    """Quantiles of a sample of about 32 ids a shard, chosen by a hash of the id."""
+def cuts(pages: DataFrame, key: str, shards: int, rows: int) -> list[int]:
+    """The first ids of all shards but one: every PER_SHARD-th id of a sample in order, about one a shard.
+
+    The places of sampled ids come from the sizes of sorted parts, so no task and not the driver holds the sample.
+    """
     if shards < 2:
         return []
-    every = max(1, rows // (32 * shards))
-    ids = pages.select(F.col(key).alias("page")).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0))
-    sample = sorted(r["page"] for r in ids.distinct().collect())
-    return [sample[len(sample) * i // shards] for i in range(1, shards)] if sample else []
-
-
-def write(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url", min_bytes: int = 0, shard_bytes: int = 256 << 20, roll_bytes: int = 128 << 20, level: int = 6) -> DataFrame:
+    every = max(1, rows // (PER_SHARD * shards))
+    ids = pages.select(F.col(key).cast("long").alias("page")).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).distinct()
+    parts = max(1, min(shards, 256))
+    ordered = materialize(ids.repartitionByRange(parts, "page").select("page", F.spark_partition_id().alias("part")))
+    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most 256
+    before, at = [], 0
+    for part in range(parts):
+        before.append(at)
+        at += sizes.get(part, 0)
+    place = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("part") + 1) + F.row_number().over(W.partitionBy("part").orderBy("page")) - 1
+    found = ordered.withColumn("place", place).where((F.col("place") > 0) & (F.col("place") % PER_SHARD == 0))
+    return sorted(found.select("page").toArrow()["page"].to_pylist())
+
+
+def write(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url", min_bytes: int = 0, shard_bytes: int = 256 << 20, roll_bytes: int = 16 << 20, level: int = 6) -> DataFrame:
     """Write the archive; the manifest's rows (file, records, bytes, sha256)."""
     spark = pages.sparkSession
-    stat = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(payload)).alias("b")).first()
+    stat = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(payload)).alias("b"), F.sum(F.when(F.col(key).isNull(), F.octet_length(payload))).alias("u")).first()
     shards = max(1, -(-(stat["b"] or 0) // shard_bytes))
     bounds = np.array(cuts(pages, key, shards, stat["n"]), np.int64)
+    unnamed = max(1, -(-(stat["u"] or 0) // shard_bytes))
 
     @F.pandas_udf("int")
     def shard(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.fillna(-(1 << 62)).to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), side="right").astype(np.int32))
 
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.lit(1).alias("kind"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), F.lit(None).cast("long").alias("refers"))
-    notes = revisits(pages, min_bytes, payload, key).select(F.col("page").cast("long"), F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("refers").cast("long"))
-    everything = rows.union(notes).withColumn("shard", shard("page"))
-    ordered = everything.repartition(max(shards, 2), "shard").sortWithinPartitions(F.col("shard"), F.col("page").asc_nulls_first(), "kind", "url", "payload")
+    body = F.coalesce(F.col(payload), F.lit(""))
+    # Rows without an id have shards below zero. Shards are dealt by range, so a task gets one of them or neighbours.
+    part = F.when(F.col("page").isNull(), -1 - F.pmod(F.xxhash64("url", "payload"), F.lit(unnamed)).cast("int")).otherwise(shard(F.coalesce("page", F.lit(0))))
+    rows = pages.select(F.col(key).cast("long").alias("page"), F.lit(1).alias("kind"), F.col(url).alias("url"), body.alias("payload"), F.lit(None).cast("long").alias("refers"))
+    notes = revisits(pages, min_bytes, payload, key).select(F.col("page").cast("long"), F.lit(0), "digest", F.lit(None).cast("string"), F.col("refers").cast("long"))
+    everything = rows.union(notes).withColumn("shard", part)
+    ordered = everything.repartitionByRange(len(bounds) + 1 + unnamed, "shard").sortWithinPartitions("shard", F.col("page").asc_nulls_first(), "kind", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        done, out, now, note = [], None, None, (None, None)
+        done, out, now, noted, notes = [], None, None, None, {}
         for batch in batches:
-            for page, kind, uri, body, refers, part in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, kind, uri, data, refers, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or part != now or out.size >= roll_bytes:
                     done += [out.close()] if out else []
                     out = Roll(store, root, part, 0 if out is None or part != now else out.number + 1)
                     now = part
                 if kind == 0:
-                    note = (page, refers)
+                    noted, notes = page, {**(notes if noted == page else {}), uri: refers}
                 else:
-                    out.add(member(record(page, uri, body.encode("utf-8", "replace"), note[1] if page is not None and note[0] == page else None), level))
+                    data = data.encode("utf-8", "replace")
+                    again = notes.get(hashlib.sha1(data).hexdigest()) if page is not None and noted == page else None
+                    out.add(member(record(page, uri, data, again), level))
         done += [out.close()] if out else []
         yield pa.RecordBatch.from_pylist([d for d in done if d], schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    manifest = sorted((r.asDict() for r in ordered.mapInArrow(run, REPORT).collect()), key=lambda r: r["file"])  # one row a file
-    body = "".join(json.dumps(r, sort_keys=True) + "\n" for r in manifest).encode()
-    with store.open_output_stream(f"{root}/manifest.json.tmp") as f:
-        f.write(body)
-    store.move(f"{root}/manifest.json.tmp", f"{root}/manifest.json")
-    return spark.createDataFrame(manifest or [], REPORT) if manifest else spark.createDataFrame([], REPORT)
+    ordered.mapInArrow(run, REPORT).write.parquet(f"{folder}/manifest.tmp")
+    store.move(f"{root}/manifest.tmp", f"{root}/manifest")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file of a complete archive."""
+    return spark.read.schema(REPORT).parquet(f"{folder}/manifest")
 
 
 class Roll:
@@ -141,7 +163,7 @@ class Roll:
 
     def __init__(self, store, root: str, part: int, number: int):
         self.store, self.number, self.size, self.records = store, number, 0, 0
-        self.name = f"part-{part:06d}-{number:04d}.warc.gz"
+        self.name = f"{'part' if part >= 0 else 'unnamed'}-{part if part >= 0 else -part - 1:06d}-{number:04d}.warc.gz"
         self.target, self.own = f"{root}/{self.name}", f"{root}/.{self.name}.{uuid.uuid4().hex}.tmp"
         self.sink, self.sha = store.open_output_stream(self.own, compression=None), hashlib.sha256()
 
@@ -190,12 +212,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     Digests are recomputed: of the block always, of the payload where it is stored.
     """
-    store, root = open_store(folder)
-    with store.open_input_stream(f"{root}/manifest.json") as f:
-        files = [json.loads(x)["file"] for x in f.read().decode().splitlines()]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    if not files:
-        return spark.createDataFrame([], schema)
+    files = manifest(spark, folder).select("file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = open_store(folder)
@@ -212,7 +230,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files)).mapInArrow(run, schema)
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def check(head: dict, block: bytes) -> dict:
@@ -227,11 +245,11 @@ def check(head: dict, block: bytes) -> dict:
     return {"page_id": number("WARC-Page-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number("WARC-Refers-To-Page-ID"), "url": head["WARC-Target-URI"]}
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, shard_bytes: int = 16 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, shard_bytes: int = 16 << 20, roll_bytes: int = 2 << 20) -> DataFrame:
     """op7: write the archive to the shared folder, read it back."""
     folder = shared_dir(pages.sparkSession)
-    write(pages, folder, min_bytes=min_bytes, shard_bytes=shard_bytes)
+    write(pages, folder, min_bytes=min_bytes, shard_bytes=shard_bytes, roll_bytes=roll_bytes)
     return read(pages.sparkSession, folder).drop("url")
 
 
-__all__ = ["read", "round_trip", "write", "record", "parse"]
+__all__ = ["manifest", "parse", "read", "record", "round_trip", "write"]

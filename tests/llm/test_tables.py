@@ -3,7 +3,6 @@
 import base64
 import gzip
 import hashlib
-import json
 import random
 
 import numpy as np
@@ -115,7 +114,7 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((i, len(body(t)), base64.b32encode(hashlib.sha1(body(t)).digest()).decode(), "revisit" if again else "response", first if again else None))
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
-    manifest = [json.loads(x) for x in open(f"{tmp_path}/a/manifest.json")]
+    manifest = sorted((r.asDict() for r in warc.manifest(spark, folder).collect()), key=lambda m: m["file"])
     assert len(manifest) > 2 and sum(m["records"] for m in manifest) == len(rows)
     order = []
     for m in manifest:
@@ -124,7 +123,17 @@ def test_warc_round_trip(spark, tmp_path):
         order += [int(line.split(b": ")[1]) for line in gzip.decompress(data).split(b"\r\n") if line.startswith(b"WARC-Page-ID")]
     assert order == sorted(order)
     warc.write(pages.repartition(7), f"file://{tmp_path}/b", shard_bytes=30_000, roll_bytes=4_000)
-    assert open(f"{tmp_path}/b/manifest.json").read() == open(f"{tmp_path}/a/manifest.json").read()
+    assert sorted((r.asDict() for r in warc.manifest(spark, f"file://{tmp_path}/b").collect()), key=lambda m: m["file"]) == manifest
+    assert max(int(m["file"].split("-")[2][:4]) for m in manifest) > 0  # a shard that rolled
+
+
+def test_warc_repeated_ids_and_many_rows_without_one(spark, tmp_path):
+    rows = [(7, "u", "first"), (7, "u", "second"), (7, "u", "first"), (9, "u", "first"), *[(None, f"n{i}", f"text {i % 50} " * 40) for i in range(300)]]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, shard int, refers long")
+    warc.write(pages, f"file://{tmp_path}/a", shard_bytes=20_000, roll_bytes=1_000)
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in got if r["page_id"]) == sorted([(7, "response", 0, 6), (7, "revisit", 9, 5), (7, "revisit", 9, 5), (9, "response", 0, 5)])
+    assert sum(r["page_id"] is None for r in got) == 300 and all(r["record_type"] == "response" for r in got if r["page_id"] is None)
 
 
 def test_warc_minimum_size_and_empty_table(spark, tmp_path):
