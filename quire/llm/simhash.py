@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FREQUENT, bytes_of, components, fresh, materialize
+from . import neardup
+from .common import FREQUENT, SEED, bytes_of, components, materialize, survivors
 
 MAX_BITS, SEGMENT_BITS, BUCKET = 2, 32, 64
-SEED = 42
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -51,12 +51,12 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
     """(key, fp) of every row; fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
+            fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -114,27 +114,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of docs for each component of classes (h, component), h being xxhash64 of the text.
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row of docs, all columns, for each component: of fingerprints within MAX_BITS, or of texts of a Jaccard similarity of their shingles.
 
-    The smallest id stays, rows without one come last, then the text hash decides. Texts
-    are shuffled once; only rows that repeat both id and text are grouped again.
+    Fingerprints of 64 bits cannot decide a similarity of 0.8: such texts differ in about ten bits, and balls of that size hold a
+    fixed share of all unlike texts. A given similarity is therefore found by bands of hashed minima (neardup) and verified.
     """
-    k, h, again = fresh(docs, "k", "h", "again")
-    places = docs.select(F.xxhash64(text).alias("t_h"), F.col(key).isNull().alias("none"), F.col(key).alias("k")).groupBy("t_h", "none", "k").agg((F.count("*") > 1).alias("again"))
-    least = places.groupBy("t_h").agg(F.min(F.struct("none", "k", "again")).alias("first"))
-    one = least.join(classes, F.col("t_h") == F.col("h")).groupBy("component").agg(F.min(F.struct("first.none", "first.k", "t_h", "first.again")).alias("one"))
-    one = materialize(one.select(F.col("one.k").alias(k), F.col("one.t_h").alias(h), F.col("one.again").alias(again)))
-
-    def rows(of: DataFrame) -> DataFrame:
-        return docs.join(of, docs[key].eqNullSafe(of[k]) & (F.xxhash64(docs[text]) == of[h]), "left_semi")
-
-    single, repeated = one.where(~F.col(again)), one.where(F.col(again))
-    return rows(single) if repeated.isEmpty() else rows(single).unionByName(rows(repeated).dropDuplicates([key, text]))
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of docs for each component of fingerprints."""
-    prints = materialize(fingerprints(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")), "text", "h").distinct())
+    if similarity is not None:
+        return survivors(docs, neardup.classes(docs, text, size, similarity), text, key)
+    prints = materialize(fingerprints(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")), "text", "h", size).distinct())
     found = components(links(prints.select("fp").distinct()))
     return survivors(docs, prints.join(found, F.col("fp") == F.col("node"), "left").select("h", F.coalesce("component", "fp").alias("component")), text, key)

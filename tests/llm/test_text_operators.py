@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, linededup, neardup, packing, pii, secret_scan, simhash
+from quire.llm import bpe, langid, linededup, packing, pii, secret_scan, simhash
 from quire.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, h1 int"
@@ -153,7 +153,7 @@ def test_keep_one_with_clashing_columns(spark):
     rows = [(1, "a b c d", 1, 2, "x"), (2, "a b c d", 1, 2, "x"), (3, "other words stand here", 1, 2, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, k int, t_h int, component string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3]
-    assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, size=5, similarity=0.8).collect()) == [1, 3]
     assert secret_scan.redact(docs.withColumn("spans", F.lit("y"))).count() == 3
 
 
