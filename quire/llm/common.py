@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,23 @@ def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", key: str
     return rows(single) if repeated.isEmpty() else rows(single).unionByName(rows(repeated).dropDuplicates([key, text]))
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node to the smallest of its connected part, for the parts of an edge list in memory."""
+    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = where[: len(u)], where[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]
+
+
 def bytes_of(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty and unpaired surrogates become '?'."""
     return (text or "").encode("utf-8", "replace")

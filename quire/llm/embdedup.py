@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed_join, materialize
+from .common import components, keyed_join, materialize, stars
 
 BLOCK, CELL, FIT_ROWS, MAX_CELLS = 2048, 1024, 16, 4096
 
@@ -102,28 +102,11 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, cosine: float, same: bool) -> pd.D
         count_b = np.bincount(j, weights=wa[i], minlength=len(b)).astype(np.int64)
         parts.append(pd.DataFrame({"rid": rjd, "other": pd.array([None] * len(b), "Int64"), "links": count_b})[count_b > 0])
     if len(i):
-        u, v = _stars(rid[i], rjd[j])
+        u, v = stars(rid[i], rjd[j])
         parts.append(pd.DataFrame({"rid": u, "other": pd.array(v, "Int64"), "links": 0}))
     return pd.concat(parts)
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from every node to the smallest of its connected part, for the parts of an edge list in memory."""
-    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = where[: len(u)], where[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
-
-
 def link(vectors: DataFrame, cosine: float = 0.98, vec: str = "embedding", key: str = "vec_id", label: str = "label") -> DataFrame:
     """(rid, label, vec, n, links, component): distinct vectors, how many rows each stands for, their links and component."""
     spark = vectors.sparkSession
