@@ -141,7 +141,7 @@ def beam(rows: list, mode: str) -> list[tuple[str, float, bool]]:
 def detect_mode(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, mode, confidence): the first of eight visible paragraphs that ends like a kind of document."""
     t = P.compact(F.col("text"))
-    n = F.count(F.when(t.rlike("^(" + "|".join(sorted(K.MEETING)) + ")[:：]"), 1)).over(W.partitionBy("doc_id"))
+    n = F.count(F.when(t.rlike("^(" + "|".join(sorted(K.MEETING_LABELS)) + ")[:：]"), 1)).over(W.partitionBy("doc_id"))
     visible = paragraphs.where(P.visible_length(F.col("text")) > 0).withColumn("place", F.row_number().over(in_order())).withColumn("meta", n).where("place <= 8")
     mode = F.lit(None).cast("string")
     sure = F.lit(None).cast("double")

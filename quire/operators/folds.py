@@ -201,8 +201,8 @@ def legacy_text_chain(spark, sf_dir):
 @query()
 def canonical_tape(spark, sf_dir):
     """Canonical text of every document with totals of its boundary maps."""
-    t = table(spark, sf_dir, "documents").select("doc_id", K.tape_of("text").alias("t"))
-    return t.select("doc_id", F.sha2("t.canonical", 256).alias("canonical_sha256"), F.size("t.raw_to_canonical").alias("raw_boundaries"), F.element_at("t.raw_to_canonical", -1).alias("utf16"), F.size("t.warnings").alias("warnings"))
+    t = table(spark, sf_dir, "documents").select("doc_id", "text", K.tape_of("text").alias("t"))
+    return t.select("doc_id", F.sha2("t.canonical", 256).alias("canonical_sha256"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("raw_boundaries"), P.utf16_length(F.col("t.canonical")).alias("utf16"), F.size("t.warnings").alias("warnings"))
 
 
 @query()
