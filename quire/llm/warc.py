@@ -98,9 +98,9 @@ def cuts(pages: DataFrame, key: str, shards: int, rows: int) -> list[int]:
     ids = pages.select(F.col(key).cast("long").alias("page")).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).distinct()
     parts = max(1, min(shards, 256))
     ordered = materialize(ids.repartitionByRange(parts, "page").select("page", F.spark_partition_id().alias("part")))
-    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most 256
+    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a few hundred
     before, at = [], 0
-    for part in range(parts):
+    for part in range(max(sizes, default=0) + 1):
         before.append(at)
         at += sizes.get(part, 0)
     place = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("part") + 1) + F.row_number().over(W.partitionBy("part").orderBy("page")) - 1
