@@ -232,11 +232,11 @@ def host_main_story(spark, sf_dir):
     return c.select(F.col("conv_id").alias("snapshot_id"), F.col("turn").alias("host_index"), place.cast("bigint").alias("story_index"), F.sha2("text", 256).alias("digest"))
 
 
-@query("with recursive e as (select distinct l_partkey % 200 as a, l_suppkey as b from lineitem where l_linenumber = 1), r(n) as (select cast(0 as bigint) union select e.b from r join e on e.a = r.n) select n as part from r")
+@query("with recursive e as (select distinct l_partkey as a, l_suppkey as b from lineitem), r(n) as (select cast(1 as bigint) union select e.b from r join e on e.a = r.n) select n as part from r")
 def package_reachability(spark, sf_dir):
     """Parts that relationships reach from the root, level by level."""
-    edges = stored(table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 200).alias("a"), F.col("l_suppkey").alias("b")).distinct())
-    found = front = spark.createDataFrame([(0,)], "part bigint")
+    edges = stored(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
+    found = front = spark.createDataFrame([(1,)], "part bigint")
     while True:  # a round for each level; only what is new is followed
         front = stored(edges.join(front, edges.a == front.part).select(F.col("b").alias("part")).distinct().join(found, "part", "left_anti"))
         if front.isEmpty():
@@ -259,16 +259,15 @@ def segment_format_weights(spark, sf_dir):
     return f.groupBy("doc_id").agg(F.max_by("font", F.struct("w", -F.col("first"), -F.col("font"))).alias("font"), F.sum("w").alias("total"), F.sum("b").alias("bold_weight"), (F.count("*") > 1).alias("mixed_font"))
 
 
-@query("with r as (select l_orderkey as doc_id, l_linenumber as n, cast(l_quantity as bigint) as q from lineitem), s as (select doc_id, n, coalesce(sum(q) over (partition by doc_id order by n, q rows between unbounded preceding and 1 preceding), 0)::bigint as a, (sum(q) over (partition by doc_id order by n, q rows unbounded preceding))::bigint as b from r), g as (select o_orderkey as doc_id, k, k * 40 as a, k * 40 + 40 as b from orders, (select unnest([0, 1, 2, 3]) as k)) select s.doc_id, g.k::integer as segment, count(*) as runs, sum(least(s.b, g.b) - greatest(s.a, g.a))::bigint as overlap from s join g on s.doc_id = g.doc_id and s.a < g.b and s.b > g.a group by 1, 2")
+@query("with r as (select l_orderkey as doc_id, l_linenumber as n, cast(l_quantity as bigint) as q from lineitem), s as (select doc_id, n, coalesce(sum(q) over (partition by doc_id order by n, q rows between unbounded preceding and 1 preceding), 0)::bigint as a, (sum(q) over (partition by doc_id order by n, q rows unbounded preceding))::bigint as b from r), k as (select doc_id, unnest(range(0, cast(ceil(max(b) / 40.0) as bigint))) as k from s group by doc_id), g as (select doc_id, k, k * 40 as a, k * 40 + 40 as b from k) select s.doc_id, g.k::integer as segment, count(*) as runs, sum(least(s.b, g.b) - greatest(s.a, g.a))::bigint as overlap from s join g on s.doc_id = g.doc_id and s.a < g.b and s.b > g.a group by 1, 2")
 def run_segment_overlap(spark, sf_dir):
     """Interval join of formatted runs with segments of a document: overlapping characters."""
     by = W.partitionBy("doc_id").orderBy("n", "q")
     r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("bigint").alias("q"))
     s = r.withColumn("b", F.sum("q").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("a", F.col("b") - F.col("q"))
     # Segments have equal width here, so each run names the segments it meets instead of a range join.
-    g = s.withColumn("segment", F.explode(F.sequence(F.floor(F.col("a") / 40), F.floor((F.col("b") - 1) / 40)))).where("segment < 4 and q > 0")
+    g = s.withColumn("segment", F.explode(F.sequence(F.floor(F.col("a") / 40), F.floor((F.col("b") - 1) / 40)))).where("q > 0")
     low, high = F.col("segment") * 40, F.col("segment") * 40 + 40
-    g = g.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi")
     return g.groupBy("doc_id", F.col("segment").cast("int").alias("segment")).agg(F.count("*").alias("runs"), F.sum(F.least("b", high) - F.greatest("a", low)).alias("overlap"))
 
 
@@ -276,8 +275,14 @@ def run_segment_overlap(spark, sf_dir):
 def effective_format(spark, sf_dir):
     """A format value from the nearest style of the basedOn chain that has one, else the default."""
     s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_nationkey")).alias("size"))
-    out = s.select("id", F.col("id").alias("at"), "size")
-    for _ in range(3):  # chains are at most three deep here; a deeper one repeats the step until no value is missing
-        up = s.select((F.col("id") + 1).alias("k"), F.col("id").alias("above"), F.col("size").alias("inherited"))
-        out = out.join(up, F.col("at") == F.col("k"), "left").select("id", F.col("above").alias("at"), F.coalesce("size", "inherited").alias("size"))
+    # (id, at, size): the ancestor reached so far and what was found up to it. A round doubles the reach: the
+    # ancestor's own row is joined. Rows with a value or without an ancestor are settled; a cycle ends with its length.
+    out = stored(s.select("id", (F.col("id") - 1).alias("at"), "size"))
+    for _ in range(64):
+        open_ = F.col("size").isNull() & F.col("at").isNotNull()
+        if out.where(open_).isEmpty():
+            break
+        up = out.select(F.col("id").alias("k"), F.col("at").alias("above"), F.col("size").alias("inherited"))
+        going = out.where(open_).join(up, F.col("at") == F.col("k"), "left")
+        out = stored(out.where(~open_).union(going.select("id", F.col("above").alias("at"), F.col("inherited").alias("size"))))
     return out.select(F.col("id").alias("style_id"), F.coalesce("size", F.lit(16)).alias("size"))

@@ -223,14 +223,15 @@ def dispatch_number_parts(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("doc_id"), p["issuer"].alias("issuer"), p["year"].alias("year"), p["number"].alias("number"))
 
 
-@query(f"{T}, c as (select doc_id, pos, u.type, u.score from t, (select unnest([{{'type': 'heading', 'k': 1}}, {{'type': 'body', 'k': 2}}, {{'type': 'title', 'k': 3}}]) as u) x, (select 1) y, lateral (select u.type as type, case u.type when 'heading' then case when level > 0 then 90 else 20 end when 'body' then case when level = 0 then 85 else 40 end else case when pos = 1 then 95 else 10 end end as score) u), r as (select *, row_number() over (partition by doc_id, pos order by score desc, type) as rank, max(score) over (partition by doc_id, pos) as best from c) select doc_id, pos, max(case when rank = 1 then type end) as type, (max(case when rank = 1 then score end) - max(case when rank = 2 then score end))::integer as margin, max(best)::integer as best from r group by 1, 2")
+@query(f"{T}, c as (select doc_id, pos, u.type, u.score from t, (select unnest([{{'type': 'heading', 'k': 1}}, {{'type': 'body', 'k': 2}}, {{'type': 'title', 'k': 3}}]) as u) x, (select 1) y, lateral (select u.type as type, case u.type when 'heading' then case when level > 0 then 90 else 20 end when 'body' then case when level = 0 then 85 else 40 end else case when pos = 1 then 95 else 10 end end as score) u), r as (select *, row_number() over (partition by doc_id, pos order by score desc, type) as rank, max(score) over (partition by doc_id, pos) as best from c) select doc_id, pos, max(case when rank = 1 then type end) as type, (max(case when rank = 1 then score end) - max(case when rank = 2 then score end))::integer as margin, max(best)::integer as best, round(1 / sum(exp((score - best) / 100.0)), 6)::double as confidence from r group by 1, 2")
 def candidate_softmax_margin(spark, sf_dir):
-    """Best candidate of each paragraph and its margin over the next other type."""
+    """Best candidate of each paragraph, its margin over the next other type, and its softmax over all candidates."""
     t = outline(spark, sf_dir)
     c = t.select("doc_id", "pos", F.inline(candidates())).select("doc_id", "pos", "type", "score")
     best = F.max_by("type", F.struct("score", F.translate("type", "bht", "321"))).alias("type")
     top = F.sort_array(F.collect_list("score"), asc=False)
-    return c.groupBy("doc_id", "pos").agg(best, (top[0] - top[1]).cast("int").alias("margin"), F.max("score").cast("int").alias("best"))
+    total = F.aggregate(top, F.lit(0.0), lambda sum_, x: sum_ + F.exp((x - top[0]) / F.lit(100.0)))
+    return c.groupBy("doc_id", "pos").agg(best, (top[0] - top[1]).cast("int").alias("margin"), F.max("score").cast("int").alias("best"), F.round(1 / total, 6).alias("confidence"))
 
 
 def candidates():
