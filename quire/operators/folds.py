@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from quire.functions import kernels as K
 from quire.functions import predicates as P
 from quire.operators.grouped import per_document
+from quire.operators.outline import counters
 from quire.plans.registry import query
-from quire.sources.tables import lines, outline, table, tasks
+from quire.sources.tables import OUTLINE_SQL, lines, outline, table, tasks
 
 
 def fold_sorted(df: DataFrame, key: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
@@ -87,7 +88,16 @@ def cooldown_allow(spark, sf_dir):
     return cooldown(tasks(spark, sf_dir), 21_600)
 
 
-@query()
+SLIDING_SQL = (
+    "with recursive t as (select event_id as seq, user_id as ip, cast(floor(epoch_us(ts) / 1000000) as bigint) as second from events), "
+    "n as (select *, row_number() over (partition by ip order by seq) as k from t), "
+    "r(ip, k, seq, second, live, allowed) as (select ip, k, seq, second, [second], true from n where k = 1 union all "
+    "select ip, k, seq, second, case when len(old) < 2 then list_append(old, second) else old end, len(old) < 2 from (select n.ip, n.k, n.seq, n.second, list_filter(r.live, lambda s: n.second - s < 86400) as old from r join n on n.ip = r.ip and n.k = r.k + 1)) "
+    "select ip, second, seq, allowed, case when allowed then 0 else greatest(1, 86400 - (second - live[1])) end::bigint as retry_after from r"
+)
+
+
+@query(SLIDING_SQL)
 def sliding_log_limit(spark, sf_dir):
     """Sliding-log limiter: two a day per client, with the seconds to wait."""
     return sliding_log(tasks(spark, sf_dir), 86_400, 2)
@@ -218,7 +228,9 @@ def protected_spans(spark, sf_dir):
     return s.select("doc_id", "s.start", "s.end", "s.kind")
 
 
-@query()
+@query(f"""with t as ({OUTLINE_SQL}), l as (select doc_id, pos, level, case when level = 1 then '第' || number || '章 ' || text else text end as line from t), o as (select *, (sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1)::integer as start from l),
+z as (select doc_id, (sum(length(line) + 1) - 1)::integer as size, min(case when level = 1 then start end) as first from o group by 1), c as (select doc_id, line as title, start from o where level = 1 union all select doc_id, case when first is null then '全文' else '前置内容' end, 0 from z where first is null or first > 0)
+select c.doc_id, (row_number() over (partition by c.doc_id order by c.start) - 1)::integer as chapter, c.title, c.start, coalesce(lead(c.start) over (partition by c.doc_id order by c.start), z.size)::integer as "end" from c join z on c.doc_id = z.doc_id""")
 def book_chapters(spark, sf_dir):
     """Chapters of derived books by heading lines."""
     t = outline(spark, sf_dir)
@@ -265,17 +277,9 @@ def tail_normalize(spark, sf_dir):
     return per_document(li.select("doc_id", "pos", kind.alias("type")), run, "doc_id bigint, pos int, type string, new_pos bigint")
 
 
-@query()
+@query(f"with t as ({OUTLINE_SQL}), p as (select t.*, (select max(q.pos) from t q where q.doc_id = t.doc_id and q.pos < t.pos and q.level > 0 and q.level < t.level) as parent from t) select doc_id, pos, level, number, case when level > 0 then row_number() over (partition by doc_id, level, parent order by pos) end::integer as repaired from p")
 def heading_gap_repair(spark, sf_dir):
     """Numbers that skip or repeat in their family are set to the next one; deeper levels start anew below a shallower heading."""
-
-    def run(rows: list) -> list[tuple]:
-        seen, out = [0] * 5, []
-        for r in rows:
-            if r.level:
-                seen[r.level] += 1
-                seen[r.level + 1 :] = [0] * (4 - r.level)
-            out.append((*r, seen[r.level] if r.level else None))
-        return out
-
-    return per_document(outline(spark, sf_dir).select("doc_id", "pos", "level", "number"), run, "doc_id bigint, pos int, level int, number int, repaired int")
+    c = counters(outline(spark, sf_dir))
+    repaired = F.coalesce(*[F.when(F.col("level") == k, F.col(x)) for k, x in enumerate("abcd", 1)])
+    return c.select("doc_id", "pos", "level", "number", repaired.cast("int").alias("repaired"))

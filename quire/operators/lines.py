@@ -122,15 +122,6 @@ def body_region_carry(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", (F.max(body.cast("int")).over(in_order()) == 1).alias("body_started"), F.coalesce(F.max(F.when(body, F.col("pos"))).over(in_doc()), F.lit(-1)).alias("last_body"))
 
 
-@query(f"{L}, s as (select doc_id, min(pos) as stop from l where length(text) >= 34 group by 1) select l.doc_id, l.pos, coalesce(s.stop, 999999)::integer as stop, case when s.stop is null then 'end' when s.stop >= 12 then 'cap' else 'body' end as reason from l left join s on l.doc_id = s.doc_id where l.pos < least(12, coalesce(s.stop, 999999))")
-def front_scan(spark, sf_dir):
-    """Lines of the front region: up to the first body line, at most twelve, with the reason to stop."""
-    l = lines(spark, sf_dir)  # noqa: E741
-    stop = F.min(F.when(F.length("text") >= 34, F.col("pos"))).over(in_doc())
-    l = l.withColumn("s", stop).where(F.col("pos") < F.least(F.lit(12), F.coalesce("s", F.lit(999999))))  # noqa: E741
-    return l.select("doc_id", "pos", F.coalesce("s", F.lit(999999)).alias("stop"), F.when(F.col("s").isNull(), "end").when(F.col("s") >= 12, "cap").otherwise("body").alias("reason"))
-
-
 @query("select doc_id, substr(text, 101, 200) as window_text, length(text) as total, greatest(0, least(200, length(text) - 100)) as n from documents")
 def content_window(spark, sf_dir):
     """A bounded window of a book's text."""
@@ -147,20 +138,6 @@ def paragraph_target(spark, sf_dir):
     return v.groupBy("doc_id").agg(F.max_by(F.struct("start", "ns", "ps"), "start").alias("r")).select("doc_id", F.col("r.start").alias("at"), F.col("r.ns").alias("next_start"), F.col("r.ps").alias("previous_start"))
 
 
-@query(f"{L}, o as (select doc_id, pos, text, {_START} as start from l), h as (select doc_id, pos, start, text from o where length(text) between 1 and 12), n as (select doc_id, count(*) as heads, min(start) as first_start from h group by 1), c as (select doc_id, start, text as title from h union all select d.doc_id, 0, case when n.doc_id is null then '全文' else '前置内容' end from documents d left join n on d.doc_id = n.doc_id where n.doc_id is null or (n.first_start > 0 and length(trim(substr(d.text, 1, n.first_start::bigint))) > 0)) select c.doc_id, (row_number() over (partition by c.doc_id order by c.start) - 1)::integer as chapter, c.title, c.start::bigint as start, coalesce(lead(c.start) over (partition by c.doc_id order by c.start), length(d.text))::bigint as stop from c join documents d on c.doc_id = d.doc_id")
-def chapter_split(spark, sf_dir):
-    """Chapters between heading lines (short lines here); text before the first is a chapter of its own, no heading gives one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("all"))
-    o = lines(spark, sf_dir).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    heads = o.where(F.length("text").between(1, 12)).select("doc_id", "start", F.col("text").alias("title"))
-    first = heads.groupBy("doc_id").agg(F.min("start").alias("first"))
-    before = d.join(first, "doc_id", "left").where(F.col("first").isNull() | ((F.col("first") > 0) & (F.length(F.trim(F.expr("substring(all, 1, cast(first as int))"))) > 0)))
-    extra = before.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.when(F.col("first").isNull(), "全文").otherwise("前置内容").alias("title"))
-    by = in_doc().orderBy("start")
-    c = heads.union(extra).join(d.select("doc_id", F.length("all").cast("bigint").alias("size")), "doc_id")
-    return c.select("doc_id", (F.row_number().over(by) - 1).alias("chapter"), "title", "start", F.coalesce(F.lead("start").over(by), F.col("size")).alias("stop"))
-
-
 @query(f"{L} select doc_id, pos, sha256(coalesce(lag(text) over w, '') || '|' || coalesce(lead(text) over w, '')) as fingerprint from l window w as (partition by doc_id order by pos)")
 def neighbour_fingerprint(spark, sf_dir):
     """Digest of the lines on both sides."""

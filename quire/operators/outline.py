@@ -94,11 +94,19 @@ def outline_quality(spark, sf_dir):
     return t.join(x, "doc_id", "left").select("doc_id", "paragraphs", "headings", "deepest", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("gaps", F.lit(0)).alias("gaps"))
 
 
-@query(f"{T}, i as (select *, sum(case when level > 0 and level < 3 then 1 else 0 end) over (partition by doc_id order by pos) as island from t) select doc_id, pos, (row_number() over (partition by doc_id, island order by pos) + 4)::bigint as ordinal from i where level >= 3")
+_LISTS = "n as (select doc_id, pos, level - 1 as ilvl, number % 2 as num_id, 1 + number % 2 * 4 as first from t where level > 0)"
+
+
+@query(f"{T}, {_LISTS}, p as (select n.*, (select max(q.pos) from n q where q.doc_id = n.doc_id and q.num_id = n.num_id and q.pos < n.pos and q.ilvl < n.ilvl) as parent from n) select doc_id, pos, num_id, ilvl, (row_number() over (partition by doc_id, num_id, ilvl, parent order by pos) - 1 + first)::bigint as ordinal from p")
 def native_list_ordinals(spark, sf_dir):
-    """Ordinals of native lists that start at five and restart when a shallower level appears."""
-    i = outline(spark, sf_dir).withColumn("island", F.sum(F.col("level").isin(1, 2).cast("int")).over(upto())).where("level >= 3")
-    return i.select("doc_id", "pos", (F.row_number().over(W.partitionBy("doc_id", "island").orderBy("pos")) + 4).cast("bigint").alias("ordinal"))
+    """Ordinals of native lists: a counter for each list and level, from the list's start, anew below a shallower item of the same list."""
+    ilvl = F.col("level") - 1
+    n = outline(spark, sf_dir).where("level > 0").select("doc_id", "pos", ilvl.alias("ilvl"), (F.col("number") % 2).alias("num_id"), (1 + F.col("number") % 2 * 4).alias("first"))
+    own = W.partitionBy("doc_id", "num_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    parents = [F.sum((F.col("ilvl") < k).cast("int")).over(own) for k in range(1, 4)]
+    n = n.withColumn("island", F.coalesce(*[F.when(F.col("ilvl") == k, x) for k, x in zip(range(1, 4), parents)], F.lit(0)))
+    place = F.row_number().over(W.partitionBy("doc_id", "num_id", "ilvl", "island").orderBy("pos")) - 1
+    return n.select("doc_id", "pos", "num_id", "ilvl", (place + F.col("first")).cast("bigint").alias("ordinal"))
 
 
 @query(f"{T} select doc_id, pos, case when level = 1 and number > 1 and coalesce(lag(level) over w, 0) = 0 then 'parallel' when level > coalesce(lag(level) over w, 0) + 1 then 'jump' when coalesce(lag(level) over w, 0) = level then 'sibling' when level > 0 then 'step' else 'body' end as relation, lag(level) over w as before, lead(level) over w as after from t window w as (partition by doc_id order by pos)")
@@ -244,13 +252,13 @@ def candidates():
     )
 
 
-@query(f"{T} select doc_id, pos, case when level = 1 then 'number' when level = 0 then 'body' else 'heading' end as style, case when level = 1 then 3 when level = 0 then 1 else 2 end as rank, lead(level) over (partition by doc_id order by pos) is null as terminal, case when level > 0 and lead(level) over (partition by doc_id order by pos) > level + 1 then true else false end as keep_with_next from t")
+@query(f"{T} select doc_id, pos, case when level = 1 then 'number' when level = 0 then 'body' else 'heading' end as style, case when level = 1 then 3 when level = 0 then 1 else 2 end as rank, lead(level) over (partition by doc_id order by pos) is null as terminal from t")
 def render_decisions(spark, sf_dir):
-    """Style class, terminal paragraph and keep-with-next of every paragraph."""
+    """Style class and terminal paragraph of every paragraph."""
     level, after = F.col("level"), F.lead("level").over(in_order())
     style = F.when(level == 1, "number").when(level == 0, "body").otherwise("heading")
     rank = F.when(level == 1, 3).when(level == 0, 1).otherwise(2)
-    return outline(spark, sf_dir).select("doc_id", "pos", style.alias("style"), rank.alias("rank"), after.isNull().alias("terminal"), F.coalesce((level > 0) & (after > level + 1), F.lit(False)).alias("keep_with_next"))
+    return outline(spark, sf_dir).select("doc_id", "pos", style.alias("style"), rank.alias("rank"), after.isNull().alias("terminal"))
 
 
 @query("select l_orderkey as doc_id, l_linenumber as cell, case when regexp_matches(v, '^[0-9]+(\\.[0-9]+)?$') then 'right' when length(v) <= 3 then 'center' else 'left' end as align from (select distinct l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then cast(l_suppkey as varchar) when 1 then l_returnflag else 'cell ' || l_linestatus end as v from lineitem)")
@@ -261,11 +269,3 @@ def table_alignment(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v")).distinct()
     align = F.when(F.col("v").rlike(r"^[0-9]+(\.[0-9]+)?$"), "right").when(F.length("v") <= 3, "center").otherwise("left")
     return x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("cell"), align.alias("align"))
-
-
-@query(f"{T} select doc_id, pos, case when level = 1 and number > 4 then 'number_beyond_four' when level = 0 and lead(level) over w = 0 then 'body_run' when level > 0 and lead(level) over w = level then 'empty_section' end as suggestion, sha256(text) as before from t window w as (partition by doc_id order by pos) qualify suggestion is not null")
-def strict_suggestions(spark, sf_dir):
-    """The strict mode changes nothing and lists suggestions instead."""
-    level, after = F.col("level"), F.lead("level").over(in_order())
-    s = F.when((level == 1) & (F.col("number") > 4), "number_beyond_four").when((level == 0) & (after == 0), "body_run").when((level > 0) & (after == level), "empty_section")
-    return outline(spark, sf_dir).select("doc_id", "pos", s.alias("suggestion"), F.sha2("text", 256).alias("before")).where("suggestion is not null")
