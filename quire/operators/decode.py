@@ -24,7 +24,6 @@ SECTION = {"main_title": "header", "title_continuation": "header", "dispatch_num
 LEVEL = {"heading_1": 1, "heading_2": 2, "heading_3": 3, "heading_4": 4}
 SENSITIVE = {"main_title", "heading_1", "heading_2", "signature_org", "signature_date", "attachment_note"}
 MODES = (("meeting_minutes", ("会议纪要", "会议记录"), 0.72, 0.06, 0.99), ("report", ("报告",), 0.55, 0.07, 0.95), ("notice", ("通知",), 0.55, 0.07, 0.95), ("plan", ("实施方案", "工作方案"), 0.55, 0.07, 0.95))
-FIELDS = "array<struct<type:string,score:double,source:string,hard:boolean>>"
 
 
 def in_doc():
@@ -35,32 +34,61 @@ def in_order():
     return in_doc().orderBy("pos")
 
 
+def mode_facts(text: Column) -> list[Column]:
+    """What the kind of a document depends on: visible, meta (a meeting label), ending (place in MODES of the title ending)."""
+    c = P.compact(text)
+    endings = [F.when(c.rlike("(" + "|".join(m[1]) + ")$"), i) for i, m in enumerate(MODES)]
+    labels = "^(" + "|".join(K.MEETING_LABELS) + ")[:：]"
+    return [F.coalesce(P.visible_length(text) > 0, F.lit(False)).alias("visible"), c.rlike(labels).alias("meta"), F.when(F.length(c).between(4, 60), F.coalesce(*endings)).alias("ending")]
+
+
+def with_mode(facts: DataFrame) -> DataFrame:
+    """facts with mode and mode_confidence of their document: the first of eight visible paragraphs that ends like a kind of document, a meeting's first."""
+    placed = facts.withColumns({"place": F.sum(F.col("visible").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, 0)), "metas": F.count(F.when(F.col("visible") & F.col("meta"), 1)).over(in_doc())})
+    i, place = F.col("ending"), F.col("place")
+    of = lambda k: F.get(F.array(*[F.lit(m[k]) for m in MODES]), i)
+    weight = F.when(i == 0, F.col("metas")).when(place <= 5, 3).otherwise(2)
+    found = F.struct((F.when(i == 0, 0).otherwise(100) + place).alias("rank"), of(0).alias("mode"), F.least(of(4), of(2) + of(3) * weight).alias("sure"))
+    first = F.min(F.when(F.col("visible") & (place <= 8) & i.isNotNull(), found)).over(in_doc())
+    out = placed.withColumn("first", first).withColumns({"mode": F.coalesce("first.mode", F.lit("unknown")), "mode_confidence": F.coalesce("first.sure", F.lit(0.25))})
+    return out.drop("place", "metas", "first", "visible", "meta", "ending")
+
+
 def features(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, pos, text) with the facts that candidates and vetoes need."""
+    """(doc_id, pos) with the facts that candidates, vetoes and the mode need; only facts are shuffled, by document, never the text."""
     t = F.col("text")
-    out = paragraphs.withColumn("colon", K.colon_of("text")["kind"]).withColumn("n", F.length(P.compact(t)))
-    level = P.heading_level(t)
-    return out.select(
-        "doc_id", "pos", "text", "n", "colon", F.coalesce(level, F.lit(0)).alias("level"),
+    facts = paragraphs.select(
+        "doc_id", "pos", F.length(P.compact(t)).alias("n"), K.colon_of("text")["kind"].alias("colon"), F.coalesce(P.heading_level(t), F.lit(0)).alias("level"),
         P.dispatch_parts(t).isNotNull().alias("dispatch"), P.strict_date(t).alias("date"), P.signature_org(t).alias("org"),
         P.is_attachment_note(t).alias("note"), P.is_attachment_item(t).alias("item"), P.document_title(t).alias("title"), P.object_caption(t).alias("caption"),
-        P.body_like_candidate(t).alias("prose"), (F.row_number().over(in_order()) - 1).alias("rank"),
-        F.coalesce(F.lead(P.strict_date(t)).over(in_order()), F.lit(False)).alias("date_next"),
-        F.coalesce(F.max(P.body_like_candidate(t).cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)).alias("after_body"),
-        F.count(F.when(level.isNotNull(), 1)).over(W.partitionBy("doc_id", level)).alias("siblings"),
+        P.body_like_candidate(t).alias("prose"), *mode_facts(t),
     )
+    # One window per level instead of a partition of its own: all of them share the document's shuffle.
+    alike = [F.when(F.col("level") == k, F.count(F.when(F.col("level") == k, 1)).over(in_doc())) for k in LEVEL.values()]
+    out = facts.withColumns({
+        "rank": F.row_number().over(in_order()) - 1,
+        "date_next": F.coalesce(F.lead("date").over(in_order()), F.lit(False)),
+        "after_body": F.coalesce(F.max(F.col("prose").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)),
+        "siblings": F.coalesce(*alike, F.lit(0)),
+    })
+    return with_mode(out)
 
 
 def candidates() -> Column:
-    """All context-free proposals for one paragraph."""
+    """The context-free proposals for one paragraph, the strongest of each type, as struct(soft, cost, type, source); cost is the negative score."""
     c = F.col
 
-    def propose(when: Column, kind: str, score, source: str, hard: bool = False) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("type"), (score if isinstance(score, Column) else F.lit(float(score))).alias("score"), F.lit(source).alias("source"), F.lit(hard).alias("hard")))
+    def proposal(kind, score, source: str, hard: bool = False) -> Column:
+        return F.struct(F.lit(not hard).alias("soft"), (-(score if isinstance(score, Column) else F.lit(float(score)))).alias("cost"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), F.lit(source).alias("source"))
+
+    def propose(when: Column, kind, score, source: str, hard: bool = False) -> Column:
+        return F.when(when, proposal(kind, score, source, hard))
 
     numbered = F.least(F.lit(0.96), F.greatest(F.lit(0.35), 0.80 + F.when(c("siblings") >= 2, 0.18).otherwise(0.0) - F.when((c("siblings") < 2) & ~c("after_body") & (c("level") == 1), 0.22).otherwise(0.0)))
     title = F.least(F.lit(0.99), 0.12 + F.when(c("rank") == 0, 0.13).when(c("rank") < 5, 0.08).otherwise(0.0) + 0.24 + 0.16)
-    proposals = [
+    # Three providers propose body; the first that does is the strongest.
+    body = F.when(c("colon").isin("explanatory_body", "body_label") & c("after_body"), proposal("body", 0.98, "structural", True)).when(c("prose"), proposal("body", 0.82, "prose")).otherwise(proposal("body", 0.45, "lifecycle"))
+    return F.array_compact(F.array(
         propose(c("caption") & (c("n") <= 40), "caption", 1.0, "structural", True),
         propose(c("dispatch"), "dispatch_number", 1.0, "structural", True),
         propose(c("date") & c("after_body"), "signature_date", 0.97, "structural", True),
@@ -68,24 +96,21 @@ def candidates() -> Column:
         propose(c("org") & c("date_next"), "signature_org", 0.97, "structural", True),
         propose(c("colon") == "addressing", "addressing", 0.99, "structural", True),
         propose((c("colon").isin("recipient_candidate", "body_label")) & ~c("after_body") & (c("rank") < 12), "recipient", 0.95, "structural", True),
-        propose(c("colon").isin("explanatory_body", "body_label") & c("after_body"), "body", 0.98, "structural", True),
         propose(c("note"), "attachment_note", 0.98, "structural", True),
         propose(c("item"), "attachment_note_item", 0.60, "structural"),
         propose((c("colon") == "key_value"), "key_value", 0.92, "key_value"),
         propose(c("title") & ~c("after_body"), "main_title", title, "semantic"),
         propose((c("rank") > 0) & (c("rank") < 5) & ~c("after_body") & ~c("prose") & (c("level") == 0), "title_continuation", 0.50, "semantic"),
-        *[propose((c("level") == k), f"heading_{k}", numbered, "numbering") for k in range(1, 5)],
-        propose(c("prose"), "body", 0.82, "prose"),
-        propose(F.lit(True), "body", 0.45, "lifecycle"),
-    ]
-    return F.array_compact(F.array(*proposals))
+        propose(c("level") > 0, F.concat(F.lit("heading_"), c("level").cast("string")), numbered, "numbering"),
+        body,
+    ))
 
 
-def strongest() -> Column:
-    """The best candidate of each type by (hard, score, source), then all hard ones and the best soft ones, at most MOST."""
-    rows = F.array_sort(candidates(), lambda a, b: F.when(a["hard"] != b["hard"], F.when(a["hard"], -1).otherwise(1)).when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["type"] != b["type"], F.when(a["type"] < b["type"], -1).otherwise(1)).otherwise(0))
-    first = F.filter(rows, lambda x, i: F.array_position(F.transform(rows, lambda r: r["type"]), x["type"]) == i + 1)
-    return F.slice(first, 1, MOST)
+def with_candidates(facts: DataFrame) -> DataFrame:
+    """facts with candidates, best first by (hard, score, type): all hard ones, and soft ones up to MOST in all."""
+    ordered = facts.withColumn("ordered", F.array_sort(candidates()))
+    hard = F.size(F.filter("ordered", lambda x: ~x["soft"]))
+    return ordered.withColumn("candidates", F.slice("ordered", F.lit(1), F.greatest(hard, F.lit(MOST)))).drop("ordered")
 
 
 def vetoed(kind: str, row, before: str | None, titled: bool) -> bool:
@@ -118,40 +143,41 @@ def transition(before: str | None, kind: str, section: str | None, mode: str) ->
     return next((score for fits, score in rules if fits), 0.0)
 
 
-def beam(rows: list, mode: str) -> list[tuple[str, float, bool]]:
-    """(type, candidate score, whether all were vetoed) of the best path; ties go to type names in order."""
-    paths = [(0.0, (), (), False)]  # negative score, types, (score, conflict), title seen
+def beam(rows: list, mode: str, width: int = BEAM) -> list[tuple[str, float, bool]]:
+    """(type, candidate score, whether all were vetoed) of the best path; ties go to type names in order.
+
+    A path is a chain of back-pointers, so a long document costs its length. What may follow depends only on the
+    type before and on whether a title was seen: it is found once for each such state of a row.
+    """
+    ends = [(0.0, 0, None, False, None)]  # negative score, place among the paths by type names, type, title seen, (path before, score, conflict)
     for row in rows:
+        proposed = list(zip(row.types, (-x for x in row.costs), row.softs))
+        follow: dict = {}
         grown = []
-        for cost, types, scores, titled in paths:
-            before = types[-1] if types else None
-            fit = [c for c in row.candidates if not vetoed(c["type"], row, before, titled)]
-            fit = [c for c in fit if c["hard"]] or fit
-            section = SECTION.get(before, "body") if before else None
-            for c in fit:
-                gain = c["score"] + transition(before, c["type"], section, mode)
-                grown.append((cost - gain, (*types, c["type"]), (*scores, (c["score"], False)), titled or c["type"] == "main_title"))
+        for end in ends:
+            cost, place, before, titled, _ = end
+            if (before, titled) not in follow:
+                fit = [c for c in proposed if not vetoed(c[0], row, before, titled)]
+                section = SECTION.get(before, "body") if before else None
+                follow[before, titled] = [(kind, score, score + transition(before, kind, section, mode)) for kind, score, soft in fit if not soft or all(c[2] for c in fit)]
+            for kind, score, gain in follow[before, titled]:
+                grown.append((cost - gain, (place, kind), kind, titled or kind == "main_title", (end, score, False)))
         if not grown:
-            grown = [(cost, (*types, "body"), (*scores, (0.0, True)), titled) for cost, types, scores, titled in paths]
-        paths = sorted(grown, key=lambda p: (round(p[0], 9), p[1]))[:BEAM]
-    best = paths[0]
-    return [(t, s, conflict) for t, (s, conflict) in zip(best[1], best[2])]
+            grown = [(end[0], (end[1], "body"), "body", end[3], (end, 0.0, True)) for end in ends]
+        best = sorted(grown, key=lambda p: (round(p[0], 9), p[1]))[:width]
+        places = {names: i for i, names in enumerate(sorted(p[1] for p in best))}
+        ends = [(cost, places[names], kind, titled, back) for cost, names, kind, titled, back in best]
+    out, end = [], ends[0]
+    while end[4] is not None:
+        end, (kind, score, conflict) = end[4][0], (end[2], *end[4][1:])
+        out.append((kind, score, conflict))
+    return out[::-1]
 
 
 def detect_mode(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, mode, confidence): the first of eight visible paragraphs that ends like a kind of document."""
-    t = P.compact(F.col("text"))
-    n = F.count(F.when(t.rlike("^(" + "|".join(sorted(K.MEETING_LABELS)) + ")[:：]"), 1)).over(W.partitionBy("doc_id"))
-    visible = paragraphs.where(P.visible_length(F.col("text")) > 0).withColumn("place", F.row_number().over(in_order())).withColumn("meta", n).where("place <= 8")
-    mode = F.lit(None).cast("string")
-    sure = F.lit(None).cast("double")
-    for i, (name, endings, base, step, cap) in reversed(list(enumerate(MODES))):
-        ends = t.rlike("(" + "|".join(endings) + ")$") & F.length(t).between(4, 60)
-        mode = F.when(ends, name).otherwise(mode)
-        weight = F.col("meta") if i == 0 else F.when(F.col("place") <= 5, 3).otherwise(2)
-        sure = F.when(ends, F.least(F.lit(cap), F.lit(base) + F.lit(step) * weight)).otherwise(sure)
-    best = visible.groupBy("doc_id").agg(F.min_by(F.struct(mode.alias("mode"), sure.alias("confidence")), F.when(mode.isNotNull(), F.when(mode == "meeting_minutes", 0).otherwise(100) + F.col("place"))).alias("m"))
-    return best.select("doc_id", F.coalesce("m.mode", F.lit("unknown")).alias("mode"), F.coalesce("m.confidence", F.lit(0.25)).alias("confidence"))
+    """(doc_id, mode, confidence) of every document."""
+    m = with_mode(paragraphs.select("doc_id", "pos", *mode_facts(F.col("text"))))
+    return m.groupBy("doc_id").agg(F.any_value("mode").alias("mode"), F.any_value("mode_confidence").alias("confidence"))
 
 
 def decode(paragraphs: DataFrame) -> DataFrame:
@@ -159,16 +185,16 @@ def decode(paragraphs: DataFrame) -> DataFrame:
 
     A document is one group of its paragraphs; groups are as large as a document.
     """
-    f = features(paragraphs).withColumn("candidates", strongest()).join(detect_mode(paragraphs), "doc_id", "left")
-    keep = f.select("doc_id", "pos", "rank", "dispatch", "date", "note", "colon", "after_body", F.col("level").alias("shape"), "siblings", "candidates", F.coalesce("mode", F.lit("unknown")).alias("mode"))
+    part = lambda name: F.transform("candidates", lambda c: c[name])
+    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "colon", "after_body", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
 
     def run(rows: list) -> list[tuple]:
         out = []
         for row, (kind, score, conflict) in zip(rows, beam(rows, rows[0].mode)):
-            other = [c["score"] for c in row.candidates if c["type"] != kind]
-            own = next((c for c in row.candidates if c["type"] == kind), None)
+            other = [-x for t, x in zip(row.types, row.costs) if t != kind]
+            hard = any(t == kind and not soft for t, soft in zip(row.types, row.softs))
             margin = score - max(other) if other else None
-            strength = 1.0 if own is not None and own["hard"] else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
+            strength = 1.0 if hard else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
             out.append((row.doc_id, row.pos, kind, score, margin, *review(score, margin, strength, kind, conflict, row.shape)))
         return out
 
@@ -205,10 +231,10 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 @query()
-def core_classification(spark, sf_dir):
+def strongest_candidates(spark, sf_dir):
     """The best context-free candidate of every paragraph."""
-    f = features(documents(spark, sf_dir)).withColumn("best", strongest()[0])
-    return f.select("doc_id", "pos", "best.type", "best.score", "best.source", "best.hard")
+    f = with_candidates(features(documents(spark, sf_dir))).withColumn("best", F.get("candidates", F.lit(0)))
+    return f.select("doc_id", "pos", "best.type", (-F.col("best.cost")).alias("score"), "best.source", (~F.col("best.soft")).alias("hard"))
 
 
 @query()
@@ -232,9 +258,7 @@ def review_levels(spark, sf_dir):
 @query()
 def candidate_quality(spark, sf_dir):
     """How many candidates paragraphs have, which are hard, and their softmax confidence."""
-    f = features(documents(spark, sf_dir)).withColumn("c", strongest())
-    best = F.array_max(F.transform("c", lambda x: x["score"]))
-    total = F.aggregate(F.transform("c", lambda x: x["score"]), F.lit(0.0), lambda a, s: a + F.exp(s - best))
-    return f.groupBy(F.size("c").alias("candidates")).agg(F.count("*").alias("paragraphs"), F.count_if(F.exists("c", lambda x: x["hard"])).alias("with_hard"), F.round(F.avg(1.0 / total), 3).alias("softmax"))
-
-
+    f = with_candidates(features(documents(spark, sf_dir))).withColumn("c", F.transform("candidates", lambda x: -x["cost"]))
+    best = F.array_max("c")
+    total = F.aggregate("c", F.lit(0.0), lambda a, s: a + F.exp(s - best))
+    return f.groupBy(F.size("c").alias("candidates")).agg(F.count("*").alias("paragraphs"), F.count_if(F.exists("candidates", lambda x: ~x["soft"])).alias("with_hard"), F.round(F.avg(1.0 / total), 3).alias("softmax"))
