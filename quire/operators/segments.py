@@ -36,6 +36,7 @@ LINES = (
     "各位代表：", "现在报告工作", "同志们：", "时间：上午九时", "地点：会议室", "各部门要认真落实", "同志们！", "现在报告工作", "2024年3月5日", "附件：1.工作方案",
     "各部门要按时完成", "[1] 说明", "- 3 -", "某某市人民政府", "请各单位落实", "加强组织领导", "各单位抓好落实", "某某市教育局", "２０２４年", "在全市工作会议上的讲话", "各位代表：现在我代表市政府报告工作。",
     "一年来。", "一年来。各项工作取得新的成效。", "三、主要任务。各部门要认真落实。", "（二）重点任务。各部门要认真落实。", "某某市财政局2024年3月5日", "（二〇二四年三月×日）", "四、原因如下：认识不足，落实不够。各部门要认真落实。",
+    "各县区：", "抄送：某某市财政局", "特此报告。", "附件 二", "重点任务清单", "第三条 各部门应当遵守规定", "联系人：", "⑦补充说明",
 )
 
 LINES_SQL = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import decode, folds, headings, lines, operations, outline, packages, reader, segments  # noqa: F401  registers their queries
+from quire.operators import classify, decode, folds, headings, lines, operations, outline, packages, reader, segments  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
 from quire.streaming import tasks  # noqa: F401
 
