@@ -57,8 +57,8 @@ def with_mode(facts: DataFrame) -> DataFrame:
 def features(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, pos) with the facts that candidates, vetoes and the mode need; only facts are shuffled, by document, never the text."""
     t = F.col("text")
-    facts = paragraphs.select(
-        "doc_id", "pos", F.length(P.compact(t)).alias("n"), K.colon_of("text")["kind"].alias("colon"), F.coalesce(P.heading_level(t), F.lit(0)).alias("level"),
+    facts = K.with_colon(paragraphs, "text").select(
+        "doc_id", "pos", F.length(P.compact(t)).alias("n"), F.col("colon.kind").alias("colon"), F.coalesce(P.heading_level(t), F.lit(0)).alias("level"),
         P.dispatch_parts(t).isNotNull().alias("dispatch"), P.strict_date(t).alias("date"), P.signature_org(t).alias("org"),
         P.is_attachment_note(t).alias("note"), P.is_attachment_item(t).alias("item"), P.document_title(t).alias("title"), P.object_caption(t).alias("caption"),
         P.body_like_candidate(t).alias("prose"), *mode_facts(t),

@@ -190,7 +190,7 @@ def colon_kinds(spark, sf_dir):
         F.when(k == 0, F.concat(F.lit("责任单位：综合管理部门"), F.col("n").cast("string"))).when(k == 1, "各位代表、同志们：现在开始说明会议安排。").when(k == 2, "某某学院：")
         .when(k == 3, "本次抽查比例为1:2").when(k == 4, "时间：11:00").when(k == 5, "主要原因如下：第一阶段已经完成。").when(k == 6, "某某研究院：现将有关情况说明如下。").otherwise("时间11:00 标签：内容")
     )
-    return o.select("doc_id", text.alias("text")).select("doc_id", K.colon_of("text").alias("c")).select("doc_id", "c.*")
+    return K.with_colon(o.select("doc_id", text.alias("text")), "text").select("doc_id", "colon.*")
 
 
 @query()
