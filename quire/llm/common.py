@@ -32,14 +32,14 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Column, n: str, how: str =
 
     A small right side is broadcast. Of a larger one the keys that are most frequent
     on left are broadcast and the others shuffled, so no key of the shuffle is hot. Both sides must be stored
-    tables, as they are read more than once. how: inner or left_semi.
+    tables, as they are read more than once. how: inner, left or left_semi.
     """
     if right.count() <= most:
         return left.join(F.broadcast(right), on, how)
     edge = right.select(n).orderBy(F.desc(n)).limit(most).agg(F.min(n)).first()[0]
     hot, cold = right.where(F.col(n) > edge), right.where(F.col(n) <= edge)  # fewer than most rows are above the edge
     rest = left.join(F.broadcast(hot), on, "left_anti")
-    return left.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))
+    return left.join(F.broadcast(hot), on, "inner" if how == "left" else how).unionByName(rest.join(cold, on, how))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, langid, linededup, mtree, packing, pii, secret_scan, simhash, warc
+from . import audit, bpe, embdedup, langid, linededup, mixing, mtree, packing, periodic, pii, secret_scan, simhash, warc
 from .common import table
 
 
@@ -58,13 +58,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_simhash, op3_mtree_topk, op4_pack, op5_pii, op6_secrets, op7_warc, op8_bpe, op9_embedding_dedup, op10_language)
+    found = (op1_line_dedup, op2_simhash, op3_mtree_topk, op4_pack, op5_pii, op6_secrets, op7_warc, op8_bpe, op9_embedding_dedup, op10_language, op11_periodic_runs, op12_mix, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE, "op3_mtree_topk": ORACLE_TOPK, "op9_embedding_dedup": ORACLE_LINKS}
+    return {"op1_line_dedup": linededup.ORACLE, "op3_mtree_topk": ORACLE_TOPK, "op9_embedding_dedup": ORACLE_LINKS, "op12_mix": mixing.ORACLE, "op13_filter_audit": audit.ORACLE}
 
 
 ORACLE_TOPK = """
