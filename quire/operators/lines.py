@@ -236,18 +236,6 @@ def segment_format_weights(spark, sf_dir):
     return f.groupBy("doc_id").agg(F.max_by("font", F.struct("w", -F.col("first"), -F.col("font"))).alias("font"), F.sum("w").alias("total"), F.sum("b").alias("bold_weight"), (F.count("*") > 1).alias("mixed_font"))
 
 
-@query("with r as (select l_orderkey as doc_id, l_linenumber as n, cast(l_quantity as bigint) as q from lineitem), s as (select doc_id, n, coalesce(sum(q) over (partition by doc_id order by n, q rows between unbounded preceding and 1 preceding), 0)::bigint as a, (sum(q) over (partition by doc_id order by n, q rows unbounded preceding))::bigint as b from r), k as (select doc_id, unnest(range(0, cast(ceil(max(b) / 40.0) as bigint))) as k from s group by doc_id), g as (select doc_id, k, k * 40 as a, k * 40 + 40 as b from k) select s.doc_id, g.k::integer as segment, count(*) as runs, sum(least(s.b, g.b) - greatest(s.a, g.a))::bigint as overlap from s join g on s.doc_id = g.doc_id and s.a < g.b and s.b > g.a group by 1, 2")
-def run_segment_overlap(spark, sf_dir):
-    """Interval join of formatted runs with segments of a document: overlapping characters."""
-    by = W.partitionBy("doc_id").orderBy("n", "q")
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("bigint").alias("q"))
-    s = r.withColumn("b", F.sum("q").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("a", F.col("b") - F.col("q"))
-    # Segments have equal width here, so each run names the segments it meets instead of a range join.
-    g = s.withColumn("segment", F.explode(F.sequence(F.floor(F.col("a") / 40), F.floor((F.col("b") - 1) / 40)))).where("q > 0")
-    low, high = F.col("segment") * 40, F.col("segment") * 40 + 40
-    return g.groupBy("doc_id", F.col("segment").cast("int").alias("segment")).agg(F.count("*").alias("runs"), F.sum(F.least("b", high) - F.greatest("a", low)).alias("overlap"))
-
-
 @query("with s as (select c_mktsegment as style, c_custkey as id, (c_custkey - 1) as base, case when c_custkey % 4 = 0 then c_nationkey end as size from customer), b as (select s.id, coalesce(s.size, p1.size, p2.size, p3.size, 16)::integer as size from s left join s p1 on s.base = p1.id left join s p2 on p1.base = p2.id left join s p3 on p2.base = p3.id) select id as style_id, size from b")
 def effective_format(spark, sf_dir):
     """A format value from the nearest style of the basedOn chain that has one, else the default."""
