@@ -1,4 +1,4 @@
-"""Operators whose result depends on order: limiters, alignment, tails, repaired numbers, decoded types.
+"""Operators whose result depends on order: limiters, tails, repaired numbers, decoded types.
 
 A document or a key is sorted once and folded; folds over unbounded keys stream
 through a sorted partition with constant state instead of holding a group.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from quire.functions import predicates as P
 from quire.operators.grouped import per_document
 from quire.operators.outline import counters
 from quire.plans.registry import query
-from quire.sources.tables import OUTLINE_SQL, lines, outline, table, tasks
+from quire.sources.tables import OUTLINE_SQL, outline, table, tasks
 
 
 def fold_sorted(df: DataFrame, key: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
@@ -103,84 +102,6 @@ def sliding_log_limit(spark, sf_dir):
     return sliding_log(tasks(spark, sf_dir), 86_400, 2)
 
 
-def best_paths(score: np.ndarray) -> np.ndarray:
-    """best[i, j]: weight of the best order-preserving matching of the first i rows with the first j columns."""
-    best = np.zeros((score.shape[0] + 1, score.shape[1] + 1), np.int64)
-    for i, row in enumerate(score):
-        taken = np.where(row > 0, best[i, :-1] + row, 0)
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], taken))
-    return best
-
-
-def align(plan: list, host: list) -> list[tuple]:
-    """State of every plan paragraph: a host place is a candidate if some optimal matching uses it."""
-    grid = lambda name: np.array([[getattr(p, name) == getattr(h, name) for h in host] for p in plan], bool).reshape(len(plan), len(host))
-    score = np.where(grid("raw"), 100, np.where(grid("canonical"), 80, 0))
-    ahead, behind = best_paths(score), best_paths(score[::-1, ::-1])[::-1, ::-1]
-    on_path = (score > 0) & (ahead[:-1, :-1] + score + behind[1:, 1:] == ahead[-1, -1])
-    out = []
-    for p, row, points in zip(plan, on_path, score):
-        places = np.flatnonzero(row)
-        one = len(places) == 1
-        status = ("matched_unique" if points[places[0]] == 100 else "matched_review") if one else "ambiguous" if len(places) else "unmatched"
-        out.append((p.doc_id, p.pos, status, int(host[places[0]].pos) if one else None, len(places)))
-    return out
-
-
-def by_document(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """run(left rows, right rows) for every doc_id of the left table, both in order of pos."""
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-
-    def group(rows: list) -> list[tuple]:
-        a, b = [r for r in rows if r.side == 0], [r for r in rows if r.side == 1]
-        return run(a, b) if a else []
-
-    return per_document(both, group, schema, order=("side", "pos"))
-
-
-def alignment(plan: DataFrame, host: DataFrame) -> DataFrame:
-    """Order-preserving weighted alignment per document; both sides are (doc_id, pos, raw, canonical) with digests."""
-    return by_document(plan, host, align, "doc_id bigint, pos int, status string, host_pos bigint, candidates bigint")
-
-
-def _digests(df: DataFrame, text: str) -> DataFrame:
-    return df.select("doc_id", "pos", F.sha2(text, 256).alias("raw"), F.sha2(F.regexp_replace(F.trim(text), r"\s+", " "), 256).alias("canonical"))
-
-
-@query()
-def alignment_lcs(spark, sf_dir):
-    """Plan paragraphs aligned with a host copy that lost some lines and has other white space in others."""
-    t = lines(spark, sf_dir).where(F.trim("text") != "")
-    host = t.where("pos % 6 <> 4").withColumn("text", F.when(F.col("pos") % 5 == 2, F.concat("text", F.lit("  "))).otherwise(F.col("text")))
-    return alignment(_digests(t, "text"), _digests(host, "text"))
-
-
-@query()
-def binding_decisions(spark, sf_dir):
-    """Binding per block from its alignment: confirmed, review or unresolved, with confidence and evidence."""
-    a = alignment_lcs(spark, sf_dir)
-    level = F.when(F.col("status") == "matched_unique", "confirmed").when(F.col("status") == "matched_review", "review").otherwise("unresolved")
-    sure = F.when(level == "confirmed", 1.0).when(level == "review", 0.93).otherwise(0.0)
-    code = F.when(F.col("status") == "ambiguous", "SOURCE_OCCURRENCE_AMBIGUOUS").when(F.col("status") == "unmatched", "PHYSICAL_PARAGRAPH_UNMATCHED").when(F.col("status") == "matched_review", "RAW_TEXT_NORMALIZED")
-    return a.select("doc_id", "pos", level.alias("binding"), sure.alias("confidence"), "host_pos", code.alias("warning"))
-
-
-@query()
-def region_sequence_match(spark, sf_dir):
-    """Similarity of two versions of a document by longest matching blocks of paragraph digests."""
-    from difflib import SequenceMatcher
-
-    t = lines(spark, sf_dir).select("doc_id", "pos", F.sha2("text", 256).alias("h"))
-    other = t.where("pos % 7 <> 3")
-
-    def run(a: list, b: list) -> list[tuple]:
-        m = SequenceMatcher(None, [r.h for r in a], [r.h for r in b], autojunk=False)
-        blocks = [x for x in m.get_matching_blocks() if x.size]
-        return [(a[0].doc_id, len(blocks), sum(x.size for x in blocks), round(m.ratio(), 6))]
-
-    return by_document(t, other, run, "doc_id bigint, blocks bigint, matched bigint, ratio double")
-
-
 @query()
 def colon_kinds(spark, sf_dir):
     """What the first semantic colon makes of a paragraph."""
