@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import align, classify, decode, folds, headings, intervals, lines, operations, outline, packages, reader, segments, spans  # noqa: F401  registers their queries
+from quire.operators import align, classify, context, decode, folds, headings, intervals, lines, operations, outline, packages, reader, segments, spans  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
 from quire.streaming import tasks  # noqa: F401
 
