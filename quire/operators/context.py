@@ -52,17 +52,23 @@ def _role_name(text: Column, compact: Column) -> Column:
     return F.when(own != "", F.when(P.strip(role).rlike(ROLE_END), _strength(own))).otherwise(F.when(strong, "strong").otherwise(F.coalesce(*tails)))
 
 
-def facts(paragraphs: DataFrame) -> DataFrame:
-    """What a paragraph (doc_id, pos, text, centred, bold, size, style) says by itself."""
+def formatted(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs with the formats that they lack: not centred, not bold, no size, no style."""
+    default = {"centred": F.lit(False), "bold": F.lit(False), "size": F.lit(None).cast("int"), "style": F.lit(None).cast("string")}
+    return paragraphs.withColumns({"text": F.coalesce("text", F.lit("")), **{k: v for k, v in default.items() if k not in paragraphs.columns}})
+
+
+def facts(paragraphs: DataFrame, **more: Column) -> DataFrame:
+    """What a paragraph (doc_id, pos, text, centred, bold, size, style) says by itself; more: further facts of text and colon, by name."""
     t, c = P.strip(F.col("text")), F.col("c")
-    df = K.with_colon(paragraphs, "text").withColumn("c", F.regexp_replace(P.compact(F.col("text")), "[​‌‍⁠﻿]", "")).withColumn("n", F.length("c"))
+    df = K.with_colon(formatted(paragraphs), "text").withColumn("c", F.regexp_replace(P.compact(F.col("text")), "[​‌‍⁠﻿]", "")).withColumn("n", F.length("c"))
     kind, n = F.col("colon.kind"), F.col("n")
     style = F.lower(P.compact(F.coalesce("style", F.lit(""))))
     df = df.select(
         "doc_id", "pos", "c", "n", t.alias("t"), "centred", "bold", "size", style.isin(*TITLE_STYLES).alias("titled"), style.isin(*HEADING_STYLES).alias("headed"),
         P.dispatch_parts(F.col("text")).isNotNull().alias("dispatch"), is_date(F.col("text")).alias("date"), P.is_attachment_note(c).alias("note"), (kind == "key_value").alias("labelled"), (kind == "addressing").alias("addressed"),
         (kind.isin("recipient_candidate", "body_label") & ~P.is_attachment_note(c)).alias("recipient"), F.coalesce(P.heading_level(t), F.lit(0)).alias("level"), t.rlike("[。！？；]$").alias("ends"),
-        P.object_caption(F.col("text")).alias("caption"), c.rlike(MEETING).alias("meeting"), c.rlike(SPEECH).alias("speech"), P.document_title(F.col("text")).alias("shaped"), (c.rlike(HEAD_START) | is_date(F.col("text"))).alias("head_date"),
+        P.object_caption(F.col("text")).alias("caption"), c.rlike(MEETING).alias("meeting"), c.rlike(SPEECH).alias("speech"), P.document_title(F.col("text")).alias("shaped"), (c.rlike(HEAD_START) | is_date(F.col("text"))).alias("head_date"), *[v.alias(k) for k, v in more.items()],
     )
     marks = F.col("c").rlike("[：:；;]")
     df = df.withColumn("body", (F.col("c") != "") & ~F.col("dispatch") & ~F.col("date") & (F.col("recipient") | F.col("labelled") | ((F.col("level") == 0) & F.col("ends") & (((n >= 12) & ~F.col("centred")) | (n >= 34)))))

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import kernels as K
 from quire.functions import predicates as P
+from quire.operators import context as C
 from quire.operators.grouped import per_document
 from quire.plans.registry import query
 from quire.sources.tables import outline, table
 
 BEAM, MOST = 12, 8
 # Sections, and the level of heading types.
-SECTION = {"main_title": "header", "title_continuation": "header", "dispatch_number": "dispatch_meta", "signature_org": "signature", "signature_date": "signature", "attachment_note": "attachment_note", "attachment_note_item": "attachment_note"}
+SECTION = {"main_title": "header", "title_continuation": "header", "role_name": "header", "date_line": "header", "meeting_title_meta": "header", "dispatch_number": "dispatch_meta", "signature_org": "signature", "signature_date": "signature", "attachment_note": "attachment_note", "attachment_note_item": "attachment_note"}
 LEVEL = {"heading_1": 1, "heading_2": 2, "heading_3": 3, "heading_4": 4}
 SENSITIVE = {"main_title", "heading_1", "heading_2", "signature_org", "signature_date", "attachment_note"}
 MODES = (("meeting_minutes", ("会议纪要", "会议记录"), 0.72, 0.06, 0.99), ("report", ("报告",), 0.55, 0.07, 0.95), ("notice", ("通知",), 0.55, 0.07, 0.95), ("plan", ("实施方案", "工作方案"), 0.55, 0.07, 0.95))
@@ -55,23 +56,20 @@ def with_mode(facts: DataFrame) -> DataFrame:
 
 
 def features(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, pos) with the facts that candidates, vetoes and the mode need; only facts are shuffled, by document, never the text."""
+    """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context; only facts are shuffled, by document, never the text."""
     t = F.col("text")
-    facts = K.with_colon(paragraphs, "text").select(
-        "doc_id", "pos", F.length(P.compact(t)).alias("n"), F.col("colon.kind").alias("colon"), F.coalesce(P.heading_level(t), F.lit(0)).alias("level"),
-        P.dispatch_parts(t).isNotNull().alias("dispatch"), P.strict_date(t).alias("date"), P.signature_org(t).alias("org"),
-        P.is_attachment_note(t).alias("note"), P.is_attachment_item(t).alias("item"), P.document_title(t).alias("title"), P.object_caption(t).alias("caption"),
-        P.body_like_candidate(t).alias("prose"), *mode_facts(t),
-    )
+    visible, meta, ending = mode_facts(t)
+    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t))
+    known = C.with_context(own)
     # One window per level instead of a partition of its own: all of them share the document's shuffle.
     alike = [F.when(F.col("level") == k, F.count(F.when(F.col("level") == k, 1)).over(in_doc())) for k in LEVEL.values()]
-    out = facts.withColumns({
-        "rank": F.row_number().over(in_order()) - 1,
+    out = known.withColumns({
+        "rank": F.col("i"),
         "date_next": F.coalesce(F.lead("date").over(in_order()), F.lit(False)),
         "after_body": F.coalesce(F.max(F.col("prose").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)),
         "siblings": F.coalesce(*alike, F.lit(0)),
     })
-    return with_mode(out)
+    return with_mode(out.select("doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
 
 
 def candidates() -> Column:
@@ -85,22 +83,25 @@ def candidates() -> Column:
         return F.when(when, proposal(kind, score, source, hard))
 
     numbered = F.least(F.lit(0.96), F.greatest(F.lit(0.35), 0.80 + F.when(c("siblings") >= 2, 0.18).otherwise(0.0) - F.when((c("siblings") < 2) & ~c("after_body") & (c("level") == 1), 0.22).otherwise(0.0)))
-    title = F.least(F.lit(0.99), 0.12 + F.when(c("rank") == 0, 0.13).when(c("rank") < 5, 0.08).otherwise(0.0) + 0.24 + 0.16)
+    title = c("title_score") / 100
+    head = c("before_body")
     # Three providers propose body; the first that does is the strongest.
     body = F.when(c("colon").isin("explanatory_body", "body_label") & c("after_body"), proposal("body", 0.98, "structural", True)).when(c("prose"), proposal("body", 0.82, "prose")).otherwise(proposal("body", 0.45, "lifecycle"))
     return F.array_compact(F.array(
         propose(c("caption") & (c("n") <= 40), "caption", 1.0, "structural", True),
         propose(c("dispatch"), "dispatch_number", 1.0, "structural", True),
         propose(c("date") & c("after_body"), "signature_date", 0.97, "structural", True),
-        propose(c("date") & ~c("after_body"), "date_line", 0.97, "front"),
+        propose((c("date") & ~c("after_body")) | F.coalesce(head & (c("metadata") == "date_line"), F.lit(False)), "date_line", 0.97, "front"),
         propose(c("org") & c("date_next"), "signature_org", 0.97, "structural", True),
         propose(c("colon") == "addressing", "addressing", 0.99, "structural", True),
         propose((c("colon").isin("recipient_candidate", "body_label")) & ~c("after_body") & (c("rank") < 12), "recipient", 0.95, "structural", True),
         propose(c("note"), "attachment_note", 0.98, "structural", True),
         propose(c("item"), "attachment_note_item", 0.60, "structural"),
         propose((c("colon") == "key_value"), "key_value", 0.92, "key_value"),
-        propose(c("title") & ~c("after_body"), "main_title", title, "semantic"),
-        propose((c("rank") > 0) & (c("rank") < 5) & ~c("after_body") & ~c("prose") & (c("level") == 0), "title_continuation", 0.50, "semantic"),
+        propose(head & (c("metadata") == "role_name"), "role_name", 0.97, "front"),
+        propose(head & (c("metadata") == "meeting_title_meta"), "meeting_title_meta", 0.97, "front"),
+        propose(c("title_score") >= C.LEAST_TITLE, "main_title", title, "semantic"),
+        propose(c("front") & (c("title_score") >= C.LEAST_NEXT), "title_continuation", F.greatest(F.lit(0.86), F.least(F.lit(0.95), title + 0.20)), "semantic"),
         propose(c("level") > 0, F.concat(F.lit("heading_"), c("level").cast("string")), numbered, "numbering"),
         body,
     ))
@@ -115,28 +116,30 @@ def with_candidates(facts: DataFrame) -> DataFrame:
 
 def vetoed(kind: str, row, before: str | None, titled: bool) -> bool:
     """Structural facts that no score outweighs."""
-    if kind == "main_title" and (titled or row.after_body):
+    if kind in ("main_title", "title_continuation") and (not row.before_body or row.metadata or (kind == "main_title" and titled)):
         return True
     if row.dispatch and kind != "dispatch_number":
         return True
-    if kind == "title_continuation" and (row.date or row.colon in ("recipient_candidate", "body_label") or row.after_body):
-        return True
+    recipient = row.colon in ("recipient_candidate", "body_label")
+    if kind == "title_continuation":
+        return row.date or recipient or before not in ("main_title", "title_continuation")
     level = LEVEL.get(kind)
     if level is None:
         return False
-    if row.date or row.note or row.colon in ("recipient_candidate", "key_value", "explanatory_body"):
+    if row.date or row.note or row.page or recipient or row.colon in ("key_value", "explanatory_body"):
         return True
-    return (before in LEVEL and level > LEVEL[before] + 1) or before in ("attachment_note", "attachment_note_item")
+    return (before in LEVEL and level > LEVEL[before] + 1) or (before in ("attachment_note", "attachment_note_item") and row.shape > 0)
 
 
 def transition(before: str | None, kind: str, section: str | None, mode: str) -> float:
-    """The first rule that fits a pair of neighbouring types."""
+    """The first rule that fits a pair of neighbouring types. A main title is only proposed for its place in the front, so it pays nothing for a section before it."""
     now = SECTION.get(kind, "body")
     rules = (
         (before == "main_title" and kind == "title_continuation", 0.18),
         (before == "title_continuation" and kind == "dispatch_number", 0.30),
         (before in ("heading_1", "heading_2") and kind == "meeting_meta", 0.05),
         (section == "signature" and now == "body", -0.08),
+        (kind == "main_title", 0.0),
         (section in ("body", "signature", "attachment_note") and now in ("header", "dispatch_meta"), -0.40),
         (mode == "meeting_minutes" and kind == "meeting_meta", 0.04),
     )
@@ -186,7 +189,7 @@ def decode(paragraphs: DataFrame) -> DataFrame:
     A document is one group of its paragraphs; groups are as large as a document.
     """
     part = lambda name: F.transform("candidates", lambda c: c[name])
-    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "colon", "after_body", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
+    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "page", "colon", "before_body", "metadata", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
 
     def run(rows: list) -> list[tuple]:
         out = []

@@ -6,7 +6,7 @@ from collections import namedtuple
 
 from quire.operators import decode as D
 
-Row = namedtuple("Row", "types costs softs after_body dispatch date colon note")
+Row = namedtuple("Row", "types costs softs before_body dispatch date colon note page metadata shape")
 TYPES = ["main_title", "title_continuation", "dispatch_number", "heading_1", "heading_2", "heading_3", "body", "signature_date", "attachment_note", "meeting_meta"]
 
 
@@ -14,7 +14,7 @@ def document(rng, n):
     rows = []
     for _ in range(n):
         kinds = rng.sample(TYPES, rng.randint(1, 4))
-        rows.append(Row(kinds, [-rng.randint(1, 20) / 20 for _ in kinds], [rng.random() > 0.1 for _ in kinds], rng.random() < 0.2, rng.random() < 0.1, rng.random() < 0.1, rng.choice(["none", "key_value", "body_label"]), rng.random() < 0.1))
+        rows.append(Row(kinds, [-rng.randint(1, 20) / 20 for _ in kinds], [rng.random() > 0.1 for _ in kinds], rng.random() > 0.2, rng.random() < 0.1, rng.random() < 0.1, rng.choice(["none", "key_value", "body_label"]), rng.random() < 0.1, rng.random() < 0.1, rng.choice([None, None, "role_name"]), rng.choice([0, 1])))
     return rows
 
 
@@ -81,3 +81,28 @@ def test_review_levels():
     assert D.review(0.9, 0.5, 0.7, "heading_1", False, 0)[1] == "critical_review"
     assert D.review(0.9, 0.5, 0.93, "heading_1", False, 0)[1] == "info"
     assert D.review(0.0, None, 0.45, "body", True, 0)[1] == "critical_review"
+
+
+PLAIN = Row(["body"], [-0.5], [True], True, False, False, "none", False, False, None, 0)
+
+
+def test_every_veto_and_transition():
+    veto = lambda kind, before=None, titled=False, **facts: bool(D.vetoed(kind, PLAIN._replace(**facts), before, titled))
+    assert not veto("main_title") and veto("main_title", titled=True) and veto("main_title", before_body=False) and veto("main_title", metadata="date_line")
+    assert not veto("title_continuation", "main_title") and veto("title_continuation", "body") and veto("title_continuation", "main_title", date=True) and veto("title_continuation", "main_title", metadata="role_name")
+    assert veto("title_continuation", "main_title", colon="recipient_candidate") and veto("title_continuation", "main_title", before_body=False)
+    assert veto("body", dispatch=True) and not veto("dispatch_number", dispatch=True)
+    for facts in ({"date": True}, {"note": True}, {"page": True}, {"colon": "body_label"}, {"colon": "key_value"}, {"colon": "explanatory_body"}):
+        assert veto("heading_1", **facts) and not veto("body", **facts)
+    assert veto("heading_3", "heading_1") and not veto("heading_2", "heading_1") and not veto("heading_1", "heading_4")
+    assert veto("heading_1", "attachment_note", shape=1) and not veto("heading_1", "attachment_note") and veto("heading_2", "attachment_note_item", shape=2)
+    cost = lambda before, kind, mode="unknown": D.transition(before, kind, D.SECTION.get(before, "body") if before else None, mode)
+    assert cost("main_title", "title_continuation") == 0.18 and cost("title_continuation", "dispatch_number") == 0.30 and cost("heading_2", "meeting_meta") == 0.05
+    assert cost("signature_date", "body") == -0.08 and cost("body", "main_title") == 0.0 and cost("body", "role_name") == -0.40 and cost("body", "dispatch_number") == -0.40
+    assert cost("body", "meeting_meta", "meeting_minutes") == 0.04 and cost("body", "meeting_meta") == 0.0 and cost(None, "body") == 0.0
+
+
+def test_the_context_reaches_the_beam(spark):
+    texts = ["某某市人民政府", "关于开展专项工作的报告", "（2024年3月5日）", "市长  张某某", "各位代表：", "现在向大会报告工作，请予审议，并请各位提出意见。", "一、总体要求", "确保取得实效，完成各项目标任务。", "市长  张某某"]
+    got = D.decode(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")).collect()
+    assert [r.type for r in sorted(got, key=lambda r: r.pos)] == ["main_title", "title_continuation", "date_line", "role_name", "addressing", "body", "heading_1", "body", "body"]
