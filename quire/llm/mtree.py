@@ -17,9 +17,11 @@ one length, x' = (x, sqrt(M^2 - |x|^2)), and queries get a zero there. Bounds ca
 a slack for rounding and prune only what is strictly worse, so ties are kept;
 scores themselves are integers.
 
-Edge cases: vectors that are null, empty, hold null or non-finite components, or a
-component over ``LARGEST`` in size after scaling (its products leave 64 bits) take
-no part. Shorter vectors count as if zeros followed. Ties go to the smaller id. All rows with the query's own id are left out; a
+Scaled components are whole numbers of any size, held as doubles, which is exact. Products are summed in doubles, 64-bit integers or Python's
+integers, the first that is exact for the sizes at hand.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components take
+no part. A score that leaves 64 bits is given as the nearest long, and such scores are ties. Shorter vectors count as if zeros followed. Ties go to the smaller id. All rows with the query's own id are left out; a
 query row that repeats is asked once. Rows with a null id take no part. With
 fewer than k candidates all are returned. Extra columns are ignored.
 """
@@ -40,7 +42,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PAGE, FAN, SHARD, QUERIES, CELLS, SAMPLE = 256, 16, 8_192, 16_384, 1024, 20_000
-LARGEST = 1 << 27
 SLACK = 1e-9
 
 
@@ -163,24 +164,29 @@ class Tree:
 
 
 def _products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    if np.abs(points).max(initial=0) * max(1, np.abs(query).max(initial=0)) * points.shape[1] < 2**53:
-        return (points @ query.astype(float)).astype(np.int64)
-    return points.astype(np.int64) @ query.astype(np.int64)
+    """Exact integer inner products, as the nearest longs."""
+    most = np.abs(points).max(initial=0) * max(1.0, np.abs(query).max(initial=0)) * points.shape[1]
+    if most < 2**53:
+        return (points @ query).astype(np.int64)
+    if most < 2**62:
+        return points.astype(np.int64) @ query.astype(np.int64)
+    q = [int(x) for x in query]
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * y for x, y in zip(p, q)))) for p in points.tolist()], np.int64)
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+    out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
 def scaled(vectors: DataFrame, vec: str, key: str, scale: int = 1024) -> DataFrame:
-    """(id, v array<int>) of the rows that take part."""
+    """(id, v array<double>) of the rows that take part, in whole numbers."""
     x = F.transform(vec, lambda c: c.cast("double") * scale)
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST))
-    return vectors.where(F.col(key).isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(fine, F.lit(False))).select(F.col(key).alias("id"), F.transform(x, lambda c: F.floor(c).cast("int")).alias("v"))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double")).otherwise(c)  # noqa: E731  larger doubles are whole
+    return vectors.where(F.col(key).isNotNull() & F.coalesce(F.size(vec) > 0, F.lit(False)) & F.coalesce(fine, F.lit(False))).select(F.col(key).alias("id"), F.transform(x, whole).alias("v"))
 
 
 def index(rows: DataFrame, shard_rows: int = SHARD) -> DataFrame:
@@ -229,7 +235,7 @@ def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             far = np.sqrt(((x - wide[own]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(far), pa.array((x**2).sum(1))], ["id", "v", "cell", "far", "norm"])
 
-    return rows.mapInArrow(run, "id long, v array<int>, cell int, far double, norm double")
+    return rows.mapInArrow(run, "id long, v array<double>, cell int, far double, norm double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", key: str = "vec_id", shard_rows: int = SHARD) -> DataFrame:
@@ -262,8 +268,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embed
             vectors, ask, at, floor = batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy()
             q = _padded(vectors, c.shape[1])
             rest = np.array([sum(float(x) ** 2 for x in v) for v in vectors])
-            bound = q @ c.T + np.sqrt(rest)[:, None] * radius[None, :]
-            keep = bound * (1 + np.sign(bound) * SLACK) + 0.5 >= floor[:, None]
+            long = np.sqrt(rest)[:, None]
+            # Rounding grows with the lengths, not with the bound that is left of them.
+            keep = q @ c.T + long * radius[None, :] + SLACK * long * (np.sqrt((c**2).sum(1)) + radius)[None, :] + 0.5 >= floor[:, None]
             i, j = np.nonzero(keep)
             i, j = np.repeat(i, sizes[j]), np.repeat(j, sizes[j])
             part = np.concatenate([np.arange(n) for n in sizes[np.nonzero(keep)[1]]]) if len(i) else np.zeros(0, np.int64)
@@ -278,19 +285,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embed
                 tree = _restore(pages)
                 width = len(tree.root) - 1
                 for own, v, name, floor in zip(ask["id"].tolist(), ask["v"].tolist(), ask["ask"].tolist(), ask["floor"].tolist()):
-                    query = np.zeros(width, np.int64)
-                    query[: min(width, len(v))] = np.asarray(v[:width], np.int64)
+                    query = np.zeros(width)
+                    query[: min(width, len(v))] = v[:width]
                     hits, computed = tree.search(query, own, k, floor)
                     out += [(own, name, i, s, 0) for s, i in hits]
                     out.append((own, name, None, None, computed))
-            return pd.DataFrame(out, columns=["query_id", "ask", "found", "score", "computed"]).astype({"found": "Int64", "score": "Int64"})
+            columns = list(zip(*out)) or [()] * 5  # each as integers from the start: a null among them would make doubles of them
+            return pd.DataFrame({n: pd.array(x, "Int64") for n, x in zip(("query_id", "ask", "found", "score", "computed"), columns)})
 
         on = ["cell", "part", "block"]
         dealt = asks.withColumn("block", F.pmod(F.col("ask"), F.lit(blocks)).cast("int"))
         copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         return materialize(dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(run, "query_id long, ask long, found long, score long, computed long"))
 
-    place = "id long, v array<int>, ask long, cell int, part int, floor double"
+    place = "id long, v array<double>, ask long, cell int, part int, floor double"
     near = search(asked.mapInArrow(first, place))
     kth = near.where("found is not null").groupBy("query_id", "ask").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("q"), F.col("ask").alias("a"), "least")
     floored = asked.join(kth, (F.col("id") == F.col("q")) & (F.col("ask") == F.col("a")), "left").select("id", "v", "ask", "at", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("floor"))

@@ -56,6 +56,23 @@ def test_search_saves_distances_and_handles_equal_points():
     assert same.search(np.ones(4, np.int64), 1, 4)[0] == [(4, 0), (4, 2), (4, 3), (4, 4)]
 
 
+def test_top_k_of_components_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    size = np.float32(10.0) ** rng.integers(-3, 38, 300).astype(np.float32)
+    x = (rng.normal(size=(300, 3)).astype(np.float32) * size[:, None]).clip(-3e38, 3e38)
+    rows = [(i, [float(c) for c in v], 0, 1, "x") for i, v in enumerate(x)] + [(400, [200000.0, 1.0], 0, 1, "x"), (401, [1.0, 2.0], 0, 1, "x"), (500, [1.0, 1.0], 0, 1, "x")]
+    data = vectors_of(spark, rows)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(data, data.where("vec_id % 25 = 0"), shard_rows=100).collect())
+    whole = {i: [int(np.floor(1024 * c)) if abs(c) < 2**43 else int(1024 * c) for c in v] for i, v, *_ in rows}
+    want, far = [], 0
+    for q in (i for i in whole if i % 25 == 0):
+        exact = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        far += sum(abs(s) >> 63 > 0 for s in exact.values())
+        best = sorted((-max(-(1 << 63), min((1 << 63) - 1, s)), i) for i, s in exact.items())[:10]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want) and far > 500
+
+
 def test_top_k_with_few_candidates_and_none(spark):
     data = vectors_of(spark, [(0, [1.0, 2.0], 0, 1, "x"), (1, [3.0, 1.0], 0, 1, "x")])
     assert [(r["vec_id"], r["rank"]) for r in mtree.top_k(data, data.where("vec_id = 0")).collect()] == [(1, 1)]
