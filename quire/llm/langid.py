@@ -3,9 +3,10 @@
 Training takes a bounded sample of labelled rows (``fit_rows`` per language in
 expectation, chosen by a hash of the id), four fifths of which teach: a Spark
 aggregation finds every n-gram of each language, and every language that has an n-gram is a member of
-it, however rare it is there. Of a language with more than ``max_grams`` n-grams the most
-frequent teach. All languages share one array of slots; a slot holds one bit per language, as many bytes as they
-need, so the AND of an n-gram's slots is the set of all languages containing it.
+it, however rare it is there. All languages share one array of slots; a slot holds one bit per language, as many bytes as they
+need, so the AND of an n-gram's slots is the set of all languages containing it. There are eight slots for each n-gram, up to
+``max_slots``; beyond, all n-grams still teach, and more of them share slots. The tasks of a
+Spark aggregation fill the array in blocks of ``BLOCK`` slots; no n-grams reach the driver.
 A text's hits are counted per language, every count is corrected for that
 language's measured false-positive rate, and the largest decides.
 
@@ -26,15 +27,16 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 N, HASHES, UND = 4, 3, "und"
 LOW, MARGIN, TEACH = 0.01, 0.5, 0.8
+BLOCK = 4096
 SPACE = np.uint32(32)
 
 
@@ -106,11 +108,11 @@ class Model:
         return best is not None and score > 0 and score >= self.least[best]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = 2500, max_grams: int = 1_000_000) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = 2500, max_slots: int = 1 << 24) -> Model:
     """Fit on about ``fit_rows`` rows per language.
 
     What reaches the driver is bounded by the parameters: one row per language and
-    ``max_grams`` n-grams of each.
+    the filters, a bit per language in at most ``max_slots`` slots.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("key is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -122,25 +124,21 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rates = rows.sparkSession.createDataFrame([(x, i, min(1.0, fit_rows / counts[x])) for x, i in index.items()], "known string, number int, rate double")
     sample = rows.join(F.broadcast(rates), F.col("lang") == F.col("known")).where(part < F.col("rate")).select("text", "number", (part >= TEACH * F.col("rate")).alias("aside"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[int, list[np.ndarray]] = {}
             for t, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(i, []).append(grams(t))
-            for i, found in by.items():
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i, np.int32)), pa.array(n)], ["gram", "lang", "n"])
-
-    seen = materialize(sample.where("not aside").select("text", "number").mapInArrow(count, "gram long, lang int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    if (seen.groupBy("lang").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0) > max_grams:
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-        seen = seen.withColumn("rank", rank).where(F.col("rank") <= max_grams)
-    top = seen.select("lang", "gram").toPandas()
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, top["gram"].nunique()) * 8))))
+            for i, own in by.items():
+                h = np.unique(np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i, np.int32))], ["gram", "lang"])
+
+    seen = materialize(sample.where("not aside").select("text", "number").mapInArrow(found, "gram long, lang int").distinct())
+    size = min(max_slots, 1 << max(10, int(np.ceil(np.log2(max(1, seen.select(F.approx_count_distinct("gram", 0.01)).first()[0]) * 8)))))
     filters = np.zeros((size, -(-len(languages) // 8)), np.uint8)
-    for i, own in top.groupby("lang")["gram"]:
-        for place in slots(own.to_numpy(np.int64).view(np.uint64), size):
-            filters[place, i // 8] |= np.uint8(1 << i % 8)
+    for r in filled(seen, size, filters.shape[1]).collect():
+        own = np.frombuffer(r["bits"], np.uint8).reshape(-1, filters.shape[1])
+        filters[r["block"] * BLOCK : r["block"] * BLOCK + len(own)] = own
     fill = np.array([np.count_nonzero(filters[:, i // 8] & np.uint8(1 << i % 8)) / size for i in range(len(languages))])
     model = Model(languages, filters, fill**HASHES, np.zeros(len(languages)))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -157,9 +155,27 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return model
 
 
+def filled(seen: DataFrame, size: int, width: int) -> DataFrame:
+    """(block, bits): the filters' bytes in blocks of BLOCK slots, from n-grams (gram, lang). A task holds one block."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(slots(batch.column(0).to_numpy().view(np.uint64), size))
+            lang = np.tile(batch.column(1).to_numpy(), HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32)), pa.array(lang)], ["block", "at", "lang"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((min(BLOCK, size), width), np.uint8)
+        at, lang = pdf["at"].to_numpy(), pdf["lang"].to_numpy()
+        np.bitwise_or.at(out, (at, lang // 8), (1 << lang % 8).astype(np.uint8))
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [out.tobytes()]})
+
+    return seen.mapInArrow(places, "block int, at int, lang int").distinct().groupBy("block").applyInPandas(fill, "block int, bits binary")
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every row; score is the corrected share of the text's n-grams that the language knows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

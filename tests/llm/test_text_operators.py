@@ -442,6 +442,33 @@ def test_seventy_languages_and_texts_in_none(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == ["doc_id", "text", "score"]
 
 
+def test_filters_hold_every_gram_however_many(spark):
+    n, size = 2_000_000, 1 << 22
+    grams = spark.range(n).select(F.xxhash64("id").alias("gram"), (F.col("id") % 11).cast("int").alias("lang"))
+    filters = np.zeros((size, 2), np.uint8)
+    for r in langid.filled(grams, size, 2).collect():
+        filters[r["block"] * langid.BLOCK : (r["block"] + 1) * langid.BLOCK] = np.frombuffer(r["bits"], np.uint8).reshape(-1, 2)
+    h, lang = (np.array(x) for x in zip(*grams.where("id % 997 = 0").collect()))
+    for place in langid.slots(h.view(np.uint64) if h.dtype == np.int64 else h.astype(np.int64).view(np.uint64), size):
+        assert (filters[place, lang // 8] >> (lang % 8) & 1).all()
+    want = np.zeros((size, 2), np.uint8)
+    h, lang = (np.asarray(c) for c in grams.toArrow().columns)
+    for place in langid.slots(h.astype(np.int64).view(np.uint64), size):
+        np.bitwise_or.at(want, (place, lang // 8), (1 << lang % 8).astype(np.uint8))
+    assert (filters == want).all()
+
+
+def test_few_slots_teach_all_the_same(spark):
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(letters) for _ in range(7)) for _ in range(300)] for k, letters in (("aa", "abcdefg"), ("bb", "mnopqrs"))}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i in range(400) for k in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_slots=1 << 13)
+    assert len(model.filters) == 1 << 13
+    got = langid.predict(docs, model).collect()
+    assert all(r["lang_pred"] == ("aa", "bb")[r["doc_id"] % 2] for r in got)
+
+
 def test_bloom_filters_return_every_member_language():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
