@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from quire.functions import kernels as K
 from quire.functions import predicates as P
 from quire.operators.grouped import per_document
-from quire.operators.outline import counters
 from quire.plans.registry import query
 from quire.sources.tables import OUTLINE_SQL, outline, table, tasks
 
@@ -196,11 +195,3 @@ def tail_normalize(spark, sf_dir):
         return [(rows[i].doc_id, rows[i].pos, rows[i].type, n) for n, i in enumerate(tail([r.type for r in rows]), 1)]
 
     return per_document(li.select("doc_id", "pos", kind.alias("type")), run, "doc_id bigint, pos int, type string, new_pos bigint")
-
-
-@query(f"with t as ({OUTLINE_SQL}), p as (select t.*, (select max(q.pos) from t q where q.doc_id = t.doc_id and q.pos < t.pos and q.level > 0 and q.level < t.level) as parent from t) select doc_id, pos, level, number, case when level > 0 then row_number() over (partition by doc_id, level, parent order by pos) end::integer as repaired from p")
-def heading_gap_repair(spark, sf_dir):
-    """Numbers that skip or repeat in their family are set to the next one; deeper levels start anew below a shallower heading."""
-    c = counters(outline(spark, sf_dir))
-    repaired = F.coalesce(*[F.when(F.col("level") == k, F.col(x)) for k, x in enumerate("abcd", 1)])
-    return c.select("doc_id", "pos", "level", "number", repaired.cast("int").alias("repaired"))
