@@ -176,10 +176,6 @@ def legacy_chain(text: Column) -> Column:
     return chinese_punctuation(quotes(basic_text(text)))
 
 
-def text_digest(text: Column) -> Column:
-    return F.sha2(text, 256)
-
-
 def file_name(name: Column) -> Column:
     """A safe file name: path marks and control characters become underscores."""
     return F.regexp_replace(F.regexp_replace(name, r"[\\/:*?\"<>|\x00-\x1f]", "_"), r"^\.+", "")

@@ -102,11 +102,11 @@ def numbering_normalized(spark, sf_dir):
     return t.select("doc_id", "pos", F.when(sure, made).otherwise(F.col("text")).alias("text"), F.coalesce(sure & (made != F.col("text")), F.lit(False)).alias("changed"), reason.alias("reason"))
 
 
-@query(f"with {_NUMS}, s as (select unnest([{', '.join(repr(s) for s in STYLES)}]) as style) select n::integer as value, style, {_render_sql('n', 'cn', 'style')} as text from nums, s")
+@query(f"with {_NUMS}, s as (select unnest([{', '.join(repr(s) for s in STYLES)}]) as style) select o_orderkey as doc_id, n::integer as value, style, {_render_sql('n', 'cn', 'style')} as text from orders join nums on n = 1 + o_orderkey % 99, s")
 def numbering_rendered(spark, sf_dir):
-    """1 to 99 in every style."""
-    n = spark.range(1, 100).select(F.col("id").cast("int").alias("value"), F.explode(F.array(*[F.lit(s) for s in STYLES])).alias("style"))
-    return n.select("value", "style", rendered(F.col("value"), F.col("style")).alias("text"))
+    """Each order's number, from 1 to 99, in every style."""
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (1 + F.col("o_orderkey") % 99).cast("int").alias("value"), F.explode(F.array(*[F.lit(s) for s in STYLES])).alias("style"))
+    return n.select("doc_id", "value", "style", rendered(F.col("value"), F.col("style")).alias("text"))
 
 
 _QUOTED = "^\\s*[“”\"''‘’「『]\\s*(.*?)\\s*[”\"''’」』]?\\s*$"

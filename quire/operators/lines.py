@@ -53,8 +53,9 @@ def line_next_prev_hash(spark, sf_dir):
 @query(f"{L} select doc_id, pos, row_number() over (partition by doc_id, text order by pos) - 1 as occurrence, count(*) over (partition by doc_id, text) as times from l where trim(text) <> ''")
 def duplicate_occurrence_index(spark, sf_dir):
     """Which occurrence of an equal paragraph a line is, within its document."""
-    same = W.partitionBy("doc_id", "text")
-    return lines(spark, sf_dir).where(F.trim("text") != "").select("doc_id", "pos", (F.row_number().over(same.orderBy("pos")) - 1).cast("bigint").alias("occurrence"), F.count("*").over(same).alias("times"))
+    # Two hashes stand for the line, so that the shuffle carries no text.
+    same = W.partitionBy("doc_id", "h1", "h2")
+    return lines(spark, sf_dir).where(F.trim("text") != "").select("doc_id", "pos", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).select("doc_id", "pos", (F.row_number().over(same.orderBy("pos")) - 1).cast("bigint").alias("occurrence"), F.count("*").over(same).alias("times"))
 
 
 @query(f"{L}, s as (select doc_id, pos, seg, idx from (select doc_id, pos, unnest(string_split(text, '. ')) as seg, generate_subscripts(string_split(text, '. '), 1) - 1 as idx from l)) select doc_id, pos, idx::integer as segment_index, count(*) over (partition by doc_id, pos) as segment_count, length(seg)::bigint as n_chars, coalesce(sum(length(seg) + 2) over (partition by doc_id, pos order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as start from s")
@@ -115,13 +116,6 @@ def neighbour_features(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", F.lag(n).over(in_order()).alias("before"), F.lead(n).over(in_order()).alias("after"), F.size(F.collect_list("pos").over(in_order().rowsBetween(1, 8))).alias("ahead"), F.sum(n).over(in_order().rowsBetween(-12, 8)).alias("near"))
 
 
-@query(f"{L} select doc_id, pos, (max(case when length(text) >= 34 then 1 else 0 end) over (partition by doc_id order by pos)) = 1 as body_started, (coalesce(max(case when length(text) >= 34 then pos end) over (partition by doc_id), -1))::integer as last_body from l")
-def body_region_carry(spark, sf_dir):
-    """Whether body text has started by a line, and the document's last body line."""
-    body = F.length("text") >= 34
-    return lines(spark, sf_dir).select("doc_id", "pos", (F.max(body.cast("int")).over(in_order()) == 1).alias("body_started"), F.coalesce(F.max(F.when(body, F.col("pos"))).over(in_doc()), F.lit(-1)).alias("last_body"))
-
-
 @query("select doc_id, substr(text, 101, 200) as window_text, length(text) as total, greatest(0, least(200, length(text) - 100)) as n from documents")
 def content_window(spark, sf_dir):
     """A bounded window of a book's text."""
@@ -221,11 +215,13 @@ def package_reachability(spark, sf_dir):
         found = found.union(front)
 
 
-@query("select p_partkey as part, p_brand as name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)")
+@query("with r as (select l_orderkey as source, l_linenumber as id, case when l_partkey % 10 < 9 then l_partkey end as target from lineitem) select 'unreferenced' as kind, p_partkey as part, 0::bigint as relationships from part where not exists (select 1 from r where target = p_partkey) union all select 'without_target', source % 100, count(*) from r where target is null group by 2")
 def relationship_dangling(spark, sf_dir):
-    """Parts that no relationship refers to."""
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_partkey")
-    return table(spark, sf_dir, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("name"))
+    """Parts that no relationship refers to, and relationships without a target counted by their source; all relationships are looked at."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.when(F.col("l_partkey") % 10 < 9, F.col("l_partkey")).alias("target"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    unused = part.join(r.where("target is not null"), F.col("part") == F.col("target"), "left_anti").select(F.lit("unreferenced").alias("kind"), "part", F.lit(0).cast("bigint").alias("relationships"))
+    return unused.union(r.where("target is null").groupBy((F.col("source") % 100).alias("part")).agg(F.count("*").alias("relationships")).select(F.lit("without_target"), "part", "relationships"))
 
 
 @query("with r as (select l_orderkey as doc_id, l_linenumber as n, l_suppkey % 5 as font, cast(l_quantity as bigint) as weight, l_tax > 0.04 as bold from lineitem), f as (select doc_id, font, sum(weight)::bigint as w, min(n) as first from r group by 1, 2), t as (select doc_id, sum(weight)::bigint as total, (sum(case when bold then weight else 0 end))::bigint as bold_weight, count(distinct font) > 1 as mixed_font from r group by 1) select t.doc_id, arg_max(f.font, (f.w * 100 - f.first) * 10 - f.font) as font, t.total, t.bold_weight, t.mixed_font from t join f on t.doc_id = f.doc_id group by t.doc_id, t.total, t.bold_weight, t.mixed_font")

@@ -180,33 +180,35 @@ def tail_reorder(spark, sf_dir):
 _DIGIT = "['零','一','二','三','四','五','六','七','八','九']"
 
 
-@query(f"""
-with n as (select range as n from range(10000)), d as (select n, n // 1000 as q, n // 100 % 10 as h, n // 10 % 10 as t, n % 10 as u from n)
-select n::integer as n, case when n < 10 then {_DIGIT}[n + 1] else
+_CN_SQL = f"""case when n < 10 then {_DIGIT}[n + 1] else
   case when q > 0 then {_DIGIT}[q + 1] || '千' else '' end
   || case when h > 0 then {_DIGIT}[h + 1] || '百' else '' end
   || case when t > 0 then case when q > 0 and h = 0 then '零' else '' end || case when t = 1 and n < 100 then '十' else {_DIGIT}[t + 1] || '十' end else '' end
-  || case when u > 0 then case when n >= 100 and t = 0 then '零' else '' end || {_DIGIT}[u + 1] else '' end end as cn from d
-""")
+  || case when u > 0 then case when n >= 100 and t = 0 then '零' else '' end || {_DIGIT}[u + 1] else '' end end"""
+_PLACES = "select *, n // 1000 as q, n // 100 % 10 as h, n // 10 % 10 as t, n % 10 as u"
+
+
+@query(f"with n as (select o_orderkey as doc_id, (o_orderkey % 10000)::integer as n from orders), d as ({_PLACES} from n) select doc_id, n, {_CN_SQL} as cn from d")
 def chinese_integer_table(spark, sf_dir):
-    """0 to 9999 in Chinese numerals."""
-    return spark.range(10_000).select(F.col("id").cast("int").alias("n"), N.chinese_integer(F.col("id").cast("int")).alias("cn"))
+    """The last four digits of every order's number in Chinese numerals."""
+    n = (F.col("o_orderkey") % 10_000).cast("int")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), n.alias("n"), N.chinese_integer(n).alias("cn"))
 
 
-# Numerals and what each of the four readers makes of them.
-VARIANTS = (
-    ("十", 10, 10, 10, 10), ("二十五", 25, 25, 25, 25), ("一二", None, None, 12, 0), ("一百二十", 120, 10, 10, 10),
-    ("三百", 300, 300, None, 0), ("九", 9, 9, 9, 9), ("零", 0, 0, None, 0), ("15", 15, None, None, 15), ("测试", None, None, None, 0),
-)
-_NULL = "null"
+_TEN = "case when t > 0 then (case when n >= 100 or t = 1 then 1 else t end) * 10 + u end"
 
 
-@query("select * from (values " + ", ".join("('" + t + "', " + ", ".join(_NULL if x is None else str(x) for x in v) + ")" for t, *v in VARIANTS) + ") v(text, date_value, token_value, ordinal_value, attachment_value)")
+@query(f"""with n as (select o_orderkey as doc_id, (o_orderkey % 1000)::integer as n, o_custkey % 3 as form, o_custkey as c from orders), d as ({_PLACES} from n), x as (select *, case form when 0 then n::varchar when 1 then {_CN_SQL} else substr('零一二三四五六七八九', n % 10 + 1, 1) || substr('零一二三四五六七八九', h + 1, 1) end as text, {_TEN} as ten from d)
+select doc_id, text, case form when 2 then null else n end::integer as date_value,
+  case form when 0 then null when 2 then null else case when n = 10 then 10 when n < 10 then n else coalesce(ten, n) end end::integer as token_value,
+  case form when 0 then null when 2 then nullif(u * 10 + h, 0) else case when n < 10 then nullif(n, 0) else ten end end::integer as ordinal_value, case form when 0 then n when 2 then 0 else case when n < 10 then n else coalesce(ten, 0) end end::integer as attachment_value from x""")
 def chinese_to_int_variants(spark, sf_dir):
-    """The four readers of Chinese numerals on the forms where they differ."""
-    t = spark.createDataFrame([(v[0],) for v in VARIANTS], "text string")
-    x = F.col("text")
-    return t.select("text", N.date_number(x).alias("date_value"), N.token_number(x).cast("int").alias("token_value"), N.ordinal_number(x).cast("int").alias("ordinal_value"), N.attachment_number(x, F.lit(0)).cast("int").alias("attachment_value"))
+    """What the four readers of numerals make of Arabic numbers, Chinese numbers and rows of Chinese digits: beside 十 three of them see single characters only, 百 is unknown to two, rows of digits to three."""
+    n, form = (F.col("o_orderkey") % 1000).cast("int"), F.col("o_custkey") % 3
+    digit = lambda x: F.substring(F.lit(N.DIGITS), (x + 1).cast("int"), F.lit(1))
+    text = F.when(form == 0, n.cast("string")).when(form == 1, N.chinese_integer(n)).otherwise(F.concat(digit(n % 10), digit(F.floor(n / 100) % 10)))
+    t, x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), F.col("text")
+    return t.select("doc_id", "text", N.date_number(x).alias("date_value"), N.token_number(x).cast("int").alias("token_value"), N.ordinal_number(x).cast("int").alias("ordinal_value"), N.attachment_number(x, F.lit(0)).cast("int").alias("attachment_value"))
 
 
 _NUM = "['', '一','二','三','四','五','六','七','八','九','十','十一','十二','十三','十四','十五','十六','十七','十八','十九','二十','二十一','二十二','二十三','二十四','二十五','二十六','二十七','二十八','二十九','三十','三十一']"
@@ -231,27 +233,6 @@ def dispatch_number_parts(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("doc_id"), p["issuer"].alias("issuer"), p["year"].alias("year"), p["number"].alias("number"))
 
 
-@query(f"{T}, c as (select doc_id, pos, u.type, u.score from t, (select unnest([{{'type': 'heading', 'k': 1}}, {{'type': 'body', 'k': 2}}, {{'type': 'title', 'k': 3}}]) as u) x, (select 1) y, lateral (select u.type as type, case u.type when 'heading' then case when level > 0 then 90 else 20 end when 'body' then case when level = 0 then 85 else 40 end else case when pos = 1 then 95 else 10 end end as score) u), r as (select *, row_number() over (partition by doc_id, pos order by score desc, type) as rank, max(score) over (partition by doc_id, pos) as best from c) select doc_id, pos, max(case when rank = 1 then type end) as type, (max(case when rank = 1 then score end) - max(case when rank = 2 then score end))::integer as margin, max(best)::integer as best, round(1 / sum(exp((score - best) / 100.0)), 6)::double as confidence from r group by 1, 2")
-def candidate_softmax_margin(spark, sf_dir):
-    """Best candidate of each paragraph, its margin over the next other type, and its softmax over all candidates."""
-    t = outline(spark, sf_dir)
-    c = t.select("doc_id", "pos", F.inline(candidates())).select("doc_id", "pos", "type", "score")
-    best = F.max_by("type", F.struct("score", F.translate("type", "bht", "321"))).alias("type")
-    top = F.sort_array(F.collect_list("score"), asc=False)
-    total = F.aggregate(top, F.lit(0.0), lambda sum_, x: sum_ + F.exp((x - top[0]) / F.lit(100.0)))
-    return c.groupBy("doc_id", "pos").agg(best, (top[0] - top[1]).cast("int").alias("margin"), F.max("score").cast("int").alias("best"), F.round(1 / total, 6).alias("confidence"))
-
-
-def candidates():
-    """Scores, in hundredths, of the shapes that speak for each type."""
-    level, pos = F.col("level"), F.col("pos")
-    return F.array(
-        F.struct(F.lit("heading").alias("type"), F.when(level > 0, 90).otherwise(20).alias("score")),
-        F.struct(F.lit("body").alias("type"), F.when(level == 0, 85).otherwise(40).alias("score")),
-        F.struct(F.lit("title").alias("type"), F.when(pos == 1, 95).otherwise(10).alias("score")),
-    )
-
-
 @query(f"{T} select doc_id, pos, case when level = 1 then 'number' when level = 0 then 'body' else 'heading' end as style, case when level = 1 then 3 when level = 0 then 1 else 2 end as rank, lead(level) over (partition by doc_id order by pos) is null as terminal from t")
 def render_decisions(spark, sf_dir):
     """Style class and terminal paragraph of every paragraph."""

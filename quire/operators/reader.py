@@ -13,7 +13,7 @@ from quire.sources.phrases import PHRASES_SQL, phrases
 from quire.sources.tables import TASKS_SQL, table, tasks
 
 BOM = b"\xef\xbb\xbf"
-MOST_BYTES = 1000
+MOST_BYTES = 64 * 1024 * 1024
 
 
 def decode_bytes(raw: bytes | None) -> tuple[str | None, str | None, str | None]:
@@ -58,10 +58,15 @@ select doc_id, bytes::integer as bytes, case when k in (0, 5) and bytes > 0 then
     when k = 5 or (k < 2 and trim(text) = '') then 'READER_FILE_EMPTY' when doc_id % 11 = 0 then 'READER_IMPORT_FAILED' end as reason from f""")
 def text_imports(spark, sf_dir):
     """Encoding and length of every file, and the first reason for which it is not imported."""
-    f = files(spark, sf_dir).withColumn("d", decoded("raw")).withColumn("bytes", F.octet_length("raw"))
+    return imports(files(spark, sf_dir))
+
+
+def imports(found: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, bytes, encoding, chars, reason) of files (doc_id, name, raw); most: bytes that a file may have."""
+    f = found.withColumn("d", decoded("raw")).withColumn("bytes", F.octet_length("raw"))
     stem = F.trim(F.regexp_replace("name", r"\.[^.]*$", ""))
     reason = (
-        F.when(~F.lower("name").endswith(".txt"), "READER_FILE_TYPE_UNSUPPORTED").when(F.col("bytes") > MOST_BYTES, "READER_FILE_TOO_LARGE").when(F.col("d.error").isNotNull(), F.col("d.error"))
+        F.when(~F.lower("name").endswith(".txt"), "READER_FILE_TYPE_UNSUPPORTED").when(F.col("bytes") > most, "READER_FILE_TOO_LARGE").when(F.col("d.error").isNotNull(), F.col("d.error"))
         .when(~F.col("d.text").rlike(r"\S"), "READER_FILE_EMPTY").when(stem == "", "READER_IMPORT_FAILED")
     )
     return f.select("doc_id", "bytes", "d.encoding", F.length("d.text").alias("chars"), reason.alias("reason"))

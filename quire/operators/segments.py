@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import kernels as K
 from quire.functions import predicates as P
 from quire.plans.registry import query
+from quire.sources.phrases import PHRASES_SQL, phrases
 from quire.sources.tables import table
 
 # Shapes of lines that begin a segment.
@@ -226,3 +227,26 @@ def sequence_issues(spark, sf_dir):
     l = soft_lines(spark, sf_dir).select("doc_id", "nth", kind.alias("type")).withColumn("before", F.lag("type").over(W.partitionBy("doc_id").orderBy("nth")))
     code = F.when((F.col("type") == "meeting_meta") & (F.col("nth") == 0), "MEETING_META_AT_DOCUMENT_START").when(F.col("type").isin("dispatch_number", "title_continuation") & (F.col("before") == "body"), "HEAD_AFTER_BODY")
     return l.select("doc_id", "nth", "type", code.alias("code")).where("code is not null")
+
+
+_ALL_SQL = f"(select doc_id, nth as pos, text from {LINES_SQL} union all select doc_id, 100000 + pos, text from ({PHRASES_SQL}))"
+_CELLS = "list_filter(list_transform(regexp_split_to_array(text, '\\t+| {2,}|　+'), lambda c: trim(c)), lambda c: c <> '')"
+
+
+@query(f"""with a as (select *, regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g') as t, length(regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g')) as n, {_CELLS} as cells, regexp_matches(text, '[。！？；]') as sentence, length(regexp_extract(text, '^(.*?)[一二三四五六七八九十]+(?:是|要)', 1)) as lead,
+  regexp_matches(text, '^[一二三四五六七八九十百]+[、.．]') or regexp_matches(text, '^[（(][一二三四五六七八九十百]+[）)]') or regexp_matches(text, '^[0-9]+[.．]') or (regexp_matches(text, '^[（(][0-9]+[）)]') and not regexp_matches(text, '[:：]')) as heading from {_ALL_SQL})
+select doc_id, pos, n <= 30 and not regexp_matches(left(t, 10), '[。；：]') and (regexp_matches(t, '^[一二三四五六七八九十百]+[，,、\\s]') or regexp_matches(t, '^[）)][一二三四五六七八九十百]+') or (regexp_matches(t, '^[（(][一二三四五六七八九十百]+') and n <= 15)) as damaged,
+  case when starts_with(text, '比如：') then 0 when regexp_matches(text, '[一二三四五六七八九十]+(?:是|要)') then lead else -1 end::integer as lead, case when heading then false else (sentence and n >= 12) or (n >= 34 and sentence) end as body_like, regexp_matches(text, '\\p{{P}}\\s*$') as punctuated,
+  case when len(cells) >= 2 and len(list_filter(cells, lambda c: length(c) > 24)) = 0 and length(text) - length(regexp_replace(text, '[。；！？]', '', 'g')) <= 1 then len(cells) else 0 end::integer as columns from a""")
+def line_predicates(spark, sf_dir):
+    """Of every derived line: a heading whose number lost its mark, the place of a numbered lead, prose in context, a mark at the end, columns of a typed table."""
+    t = F.col("text")
+    lines = soft_lines(spark, sf_dir).select("doc_id", F.col("nth").alias("pos"), "text").unionByName(phrases(spark, sf_dir).select("doc_id", (F.col("pos") + 100_000).alias("pos"), "text"))
+    return lines.select("doc_id", "pos", P.damaged_heading(t).alias("damaged"), P.numbered_lead(t).alias("lead"), P.body_like_context(t, F.lit(False)).alias("body_like"), P.ends_with_punctuation(t).alias("punctuated"), P.column_count(t).alias("columns"))
+
+
+@query("select doc_id, regexp_replace(regexp_replace(lang || ':' || source || '/' || left(text, 40), '[\\\\/:*?\"<>|\\x00-\\x1f]', '_', 'g'), '^\\.+', '') as name, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[mail]', 'g'), '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}', '[host]', 'g')) as redacted_md5 from documents")
+def safe_names_and_logs(spark, sf_dir):
+    """A file name from the start of each document, and a digest of its text without addresses of mail and of hosts."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", P.file_name(F.concat("lang", F.lit(":"), "source", F.lit("/"), F.substring("text", 1, 40))).alias("name"), F.md5(P.redacted(F.col("text"))).alias("redacted_md5"))

@@ -342,3 +342,15 @@ def format_transitions(spark, sf_dir):
     p = p.withColumns({"differs": differs(text, runs, F.lit(0), F.col("at"), n), "bold_before": bold_share(text, runs, F.lit(0), F.col("at")), "bold_behind": bold_share(text, runs, F.col("at"), n)})
     lead = (F.col("at") > 1) & (seen(F.substr(text, F.col("at") + 1)) >= 5) & ~text.rlike(NUMBER) & (F.col("bold_before") >= 0.7) & (F.col("bold_behind") <= 0.3)
     return p.select("doc_id", "para", "at", "differs", "bold_before", "bold_behind", lead.alias("lead_bold"))
+
+
+_BEGINS = rf"regexp_matches(regexp_replace(text, '\s', '', 'g'), '{NUMBER}') or (length(regexp_replace(text, '\s', '', 'g')) >= 34 and regexp_matches(text, '[。！？]'))"
+
+
+@query(f"with par as (select doc_id, para, {_BEGINS} as begins from ({PARAGRAPHS})) select doc_id, para, bool_or(begins) over (partition by doc_id order by para) as body_started, coalesce(max(case when begins then para end) over (partition by doc_id), -1)::bigint as last_body from par")
+def body_region_carry(spark, sf_dir):
+    """Whether the body region has begun by a paragraph, with a number or with a long sentence, and the document's last paragraph that begins one."""
+    doc = W.partitionBy("doc_id")
+    p = paragraphs(spark, sf_dir).withColumn("begins", starts_body(F.col("text")))
+    upto = doc.orderBy("para").rowsBetween(W.unboundedPreceding, 0)
+    return p.select("doc_id", "para", F.max("begins").over(upto).alias("body_started"), F.coalesce(F.max(F.when(F.col("begins"), F.col("para"))).over(doc), F.lit(-1)).cast("bigint").alias("last_body"))
