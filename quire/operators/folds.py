@@ -130,9 +130,10 @@ def legacy_text_chain(spark, sf_dir):
 
 @query()
 def canonical_tape(spark, sf_dir):
-    """Canonical text of every document with totals of its boundary maps."""
+    """Canonical text of every document with totals of its boundary map, the number of the map's runs and a digest of them."""
     t = table(spark, sf_dir, "documents").select("doc_id", "text", K.tape_of("text").alias("t"))
-    return t.select("doc_id", F.sha2("t.canonical", 256).alias("canonical_sha256"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("raw_boundaries"), P.utf16_length(F.col("t.canonical")).alias("utf16"), F.size("t.warnings").alias("warnings"))
+    runs = F.array_join(F.transform("t.runs", lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("raw", "canonical", "utf16")])), ";")
+    return t.select("doc_id", F.sha2("t.canonical", 256).alias("canonical_sha256"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("raw_boundaries"), P.utf16_length(F.col("t.canonical")).alias("utf16"), F.size("t.warnings").alias("warnings"), F.size("t.runs").alias("runs"), F.sha2(runs, 256).alias("runs_sha256"))
 
 
 @query()
