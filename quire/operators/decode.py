@@ -7,6 +7,7 @@ depends on the types chosen before, vetoes and transitions, runs in the fold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,63 +60,143 @@ def features(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context; only facts are shuffled, by document, never the text."""
     t = F.col("text")
     visible, meta, ending = mode_facts(t)
-    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t))
+    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
+    glossary = (F.col("n") <= 20) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & F.col("compact").rlike("名词解释|注释")
+    short = F.col("shown") & (F.col("n") < 28) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & ~F.col("closed") & ~F.col("date") & ~F.col("recipient")
+    own = own.withColumns({"glossary": F.when(F.col("compact").isin("名词解释", "注释"), "exact").when(glossary, "like"), "short": short, "annual": F.col("compact").isin("一年来。", "五年来。")}).drop("compact", "closed")
     known = C.with_context(own)
+    carries = F.col("shown") & (F.col("level") == 0) & ((F.col("n") >= 34) | (F.col("ends") & (F.col("n") >= 12)))
     # One window per level instead of a partition of its own: all of them share the document's shuffle.
     alike = [F.when(F.col("level") == k, F.count(F.when(F.col("level") == k, 1)).over(in_doc())) for k in LEVEL.values()]
     out = known.withColumns({
         "rank": F.col("i"),
         "date_next": F.coalesce(F.lead("date").over(in_order()), F.lit(False)),
         "after_body": F.coalesce(F.max(F.col("prose").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)),
-        "siblings": F.coalesce(*alike, F.lit(0)),
+        "siblings": F.coalesce(*alike, F.lit(0)), "middle": F.coalesce(F.lead(carries).over(in_order()), F.lit(False)),
     })
-    return with_mode(out.select("doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
+    return with_mode(out.select("glossary", "short", "annual", "colons", "bold", "middle", "doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
 
 
-def candidates() -> Column:
-    """The context-free proposals for one paragraph, the strongest of each type, as struct(soft, cost, type, source); cost is the negative score."""
-    c = F.col
+PROVIDERS: dict[str, Callable[[], list[Column]]] = {}
 
-    def proposal(kind, score, source: str, hard: bool = False) -> Column:
-        return F.struct(F.lit(not hard).alias("soft"), (-(score if isinstance(score, Column) else F.lit(float(score)))).alias("cost"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), F.lit(source).alias("source"))
 
-    def propose(when: Column, kind, score, source: str, hard: bool = False) -> Column:
-        return F.when(when, proposal(kind, score, source, hard))
+def provider(function: Callable[[], list[Column]]) -> Callable[[], list[Column]]:
+    """Register a provider of candidates under its name: a function of no arguments that gives proposals over the columns of ``features``."""
+    PROVIDERS[function.__name__] = function
+    return function
 
-    numbered = F.least(F.lit(0.96), F.greatest(F.lit(0.35), 0.80 + F.when(c("siblings") >= 2, 0.18).otherwise(0.0) - F.when((c("siblings") < 2) & ~c("after_body") & (c("level") == 1), 0.22).otherwise(0.0)))
-    title = c("title_score") / 100
-    head = c("before_body")
-    # Three providers propose body; the first that does is the strongest.
-    body = F.when(c("colon").isin("explanatory_body", "body_label") & c("after_body"), proposal("body", 0.98, "structural", True)).when(c("prose"), proposal("body", 0.82, "prose")).otherwise(proposal("body", 0.45, "lifecycle"))
-    return F.array_compact(F.array(
+
+def proposal(kind, score, source: str, hard: bool | Column = False) -> Column:
+    """struct(soft, cost, type, source); cost is the negative score."""
+    hard = hard if isinstance(hard, Column) else F.lit(hard)
+    return F.struct((~hard).alias("soft"), (-(score if isinstance(score, Column) else F.lit(float(score)))).alias("cost"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), F.lit(source).alias("source"))
+
+
+def propose(when: Column, kind, score, source: str, hard: bool | Column = False) -> Column:
+    return F.when(when, proposal(kind, score, source, hard))
+
+
+c = F.col
+
+
+@provider
+def structural() -> list[Column]:
+    return [
         propose(c("caption") & (c("n") <= 40), "caption", 1.0, "structural", True),
         propose(c("dispatch"), "dispatch_number", 1.0, "structural", True),
         propose(c("date") & c("after_body"), "signature_date", 0.97, "structural", True),
-        propose((c("date") & ~c("after_body")) | F.coalesce(head & (c("metadata") == "date_line"), F.lit(False)), "date_line", 0.97, "front"),
         propose(c("org") & c("date_next"), "signature_org", 0.97, "structural", True),
         propose(c("colon") == "addressing", "addressing", 0.99, "structural", True),
-        propose((c("colon").isin("recipient_candidate", "body_label")) & ~c("after_body") & (c("rank") < 12), "recipient", 0.95, "structural", True),
+        propose(c("colon").isin("recipient_candidate", "body_label") & ~c("after_body") & (c("rank") < 12), "recipient", 0.95, "structural", True),
         propose(c("note"), "attachment_note", 0.98, "structural", True),
         propose(c("item"), "attachment_note_item", 0.60, "structural"),
-        propose((c("colon") == "key_value"), "key_value", 0.92, "key_value"),
-        propose(head & (c("metadata") == "role_name"), "role_name", 0.97, "front"),
-        propose(head & (c("metadata") == "meeting_title_meta"), "meeting_title_meta", 0.97, "front"),
+    ]
+
+
+@provider
+def front() -> list[Column]:
+    """Metadata of the head, by the document's context."""
+    head = lambda kind: F.coalesce(c("before_body") & (c("metadata") == kind), F.lit(False))
+    return [
+        propose((c("date") & ~c("after_body")) | head("date_line"), "date_line", 0.97, "front"),
+        propose(head("role_name"), "role_name", 0.97, "front"),
+        propose(head("meeting_title_meta"), "meeting_title_meta", 0.97, "front"),
+    ]
+
+
+@provider
+def key_value() -> list[Column]:
+    return [propose(c("colon") == "key_value", "key_value", 0.92, "key_value")]
+
+
+@provider
+def semantic() -> list[Column]:
+    """Titles by the score of the context."""
+    title = c("title_score") / 100
+    return [
         propose(c("title_score") >= C.LEAST_TITLE, "main_title", title, "semantic"),
         propose(c("front") & (c("title_score") >= C.LEAST_NEXT), "title_continuation", F.greatest(F.lit(0.86), F.least(F.lit(0.95), title + 0.20)), "semantic"),
-        propose(c("level") > 0, F.concat(F.lit("heading_"), c("level").cast("string")), numbered, "numbering"),
-        body,
-    ))
+    ]
+
+
+@provider
+def numbering() -> list[Column]:
+    sure = 0.80 + F.when(c("siblings") >= 2, 0.18).otherwise(0.0) - F.when((c("siblings") < 2) & ~c("after_body") & (c("level") == 1), 0.22).otherwise(0.0)
+    return [propose(c("level") > 0, F.concat(F.lit("heading_"), c("level").cast("string")), F.least(F.lit(0.96), F.greatest(F.lit(0.35), sure)), "numbering")]
+
+
+@provider
+def inline_heading() -> list[Column]:
+    """The lead of an annual review, which segmentation has cut off, is a heading in a report."""
+    return [propose(c("annual") & (c("mode") == "report"), "heading_1", 0.94, "inline-heading", True)]
+
+
+@provider
+def body_title() -> list[Column]:
+    """Short unnumbered headings of the body; what stands before them is looked at by the beam."""
+    score = 0.64 + F.when(c("mode") == "report", 0.08).otherwise(0.0) + F.when(c("bold"), 0.08).otherwise(0.0)
+    return [propose(c("short") & ~(c("front") & (c("title_score") >= C.LEAST_NEXT)), "title2", score, "body-title")]
+
+
+@provider
+def glossary() -> list[Column]:
+    """The heading of a glossary and its items; whether a glossary is open is a state of the beam."""
+    return [
+        propose(c("glossary").isNotNull(), "glossary_title", 0.96, "glossary", c("glossary") == "exact"),
+        propose((c("n") >= 4) & (c("colons") | (c("level") == 3)) & c("glossary").isNull(), "glossary_item", 0.96, "glossary", True),
+    ]
+
+
+@provider
+def prose() -> list[Column]:
+    """Three ways to propose body; the first that does is the strongest."""
+    return [F.when(c("colon").isin("explanatory_body", "body_label") & c("after_body"), proposal("body", 0.98, "structural", True)).when(c("prose"), proposal("body", 0.82, "prose")).otherwise(proposal("body", 0.45, "lifecycle"))]
 
 
 def with_candidates(facts: DataFrame) -> DataFrame:
-    """facts with candidates, best first by (hard, score, type): all hard ones, and soft ones up to MOST in all."""
-    ordered = facts.withColumn("ordered", F.array_sort(candidates()))
+    """facts with candidates, the strongest of each type, best first by (hard, score, type): all hard ones, and soft ones up to MOST in all."""
+    every = facts.withColumn("every", F.array_compact(F.array(*[x for of in PROVIDERS.values() for x in of()])))
+    # Sorted by (soft, cost, type, source), the first of a type is its strongest.
+    ranked = every.withColumn("ranked", F.array_sort("every"))
+    kinds = ranked.withColumn("kinds", F.transform("ranked", lambda x: x["type"]))
+    ordered = kinds.withColumn("ordered", F.filter("ranked", lambda x, i: F.array_position("kinds", x["type"]) == i + 1))
     hard = F.size(F.filter("ordered", lambda x: ~x["soft"]))
-    return ordered.withColumn("candidates", F.slice("ordered", F.lit(1), F.greatest(hard, F.lit(MOST)))).drop("ordered")
+    return ordered.withColumn("candidates", F.slice("ordered", F.lit(1), F.greatest(hard, F.lit(MOST)))).drop("every", "ranked", "kinds", "ordered")
 
 
-def vetoed(kind: str, row, before: str | None, titled: bool) -> bool:
-    """Structural facts that no score outweighs."""
+DEPENDENT = ("title_continuation", "title2", "glossary_title", "glossary_item")  # proposed only behind certain types
+
+
+def vetoed(kind: str, row, before: str | None, titled: bool, glossary: int = 0) -> bool:
+    """Structural facts that no score outweighs. glossary: 2 behind a title or item of one, 1 after one paragraph of body, else 0."""
+    opened = row.before_body and before in ("main_title", "title_continuation")
+    if kind == "glossary_item":
+        return not glossary
+    if kind == "glossary_title":
+        return not (before in LEVEL or before in ("body", "title2") or opened)
+    if kind == "title2":
+        inside = not row.before_body and (before in LEVEL or before in ("body", "addressing", "title2", "glossary_item"))
+        return not (opened or (inside and (row.bold or (before == "body" and row.middle))))
     if kind in ("main_title", "title_continuation") and (not row.before_body or row.metadata or (kind == "main_title" and titled)):
         return True
     if row.dispatch and kind != "dispatch_number":
@@ -146,30 +227,41 @@ def transition(before: str | None, kind: str, section: str | None, mode: str) ->
     return next((score for fits, score in rules if fits), 0.0)
 
 
+def between(kind: str, row, before: str | None) -> float:
+    """What a body title gains between two paragraphs of prose."""
+    return 0.10 if kind == "title2" and before == "body" and row.middle else 0.0
+
+
+def after(state: tuple[bool, int], kind: str) -> tuple[bool, int]:
+    """(title seen, glossary) behind a type; a glossary survives one paragraph of body and ends at the second."""
+    titled, glossary = state
+    return titled or kind == "main_title", 2 if kind in ("glossary_title", "glossary_item") else 1 if kind == "body" and glossary == 2 else 0
+
+
 def beam(rows: list, mode: str, width: int = BEAM) -> list[tuple[str, float, bool]]:
     """(type, candidate score, whether all were vetoed) of the best path; ties go to type names in order.
 
     A path is a chain of back-pointers, so a long document costs its length. What may follow depends only on the
-    type before and on whether a title was seen: it is found once for each such state of a row.
+    type before, on whether a title was seen and on an open glossary: it is found once for each such state of a row.
     """
-    ends = [(0.0, 0, None, False, None)]  # negative score, place among the paths by type names, type, title seen, (path before, score, conflict)
+    ends = [(0.0, 0, None, (False, 0), None)]  # negative score, place among the paths by type names, type, (title seen, glossary), (path before, score, conflict)
     for row in rows:
         proposed = list(zip(row.types, (-x for x in row.costs), row.softs))
         follow: dict = {}
         grown = []
         for end in ends:
-            cost, place, before, titled, _ = end
-            if (before, titled) not in follow:
-                fit = [c for c in proposed if not vetoed(c[0], row, before, titled)]
+            cost, place, before, state, _ = end
+            if (before, state) not in follow:
+                fit = [c for c in proposed if not vetoed(c[0], row, before, *state)]
                 section = SECTION.get(before, "body") if before else None
-                follow[before, titled] = [(kind, score, score + transition(before, kind, section, mode)) for kind, score, soft in fit if not soft or all(c[2] for c in fit)]
-            for kind, score, gain in follow[before, titled]:
-                grown.append((cost - gain, (place, kind), kind, titled or kind == "main_title", (end, score, False)))
+                follow[before, state] = [(kind, score, score + transition(before, kind, section, mode) + between(kind, row, before)) for kind, score, soft in fit if not soft or all(c[2] for c in fit)]
+            for kind, score, gain in follow[before, state]:
+                grown.append((cost - gain, (place, kind), kind, after(state, kind), (end, score, False)))
         if not grown:
-            grown = [(end[0], (end[1], "body"), "body", end[3], (end, 0.0, True)) for end in ends]
+            grown = [(end[0], (end[1], "body"), "body", after(end[3], "body"), (end, 0.0, True)) for end in ends]
         best = sorted(grown, key=lambda p: (round(p[0], 9), p[1]))[:width]
         places = {names: i for i, names in enumerate(sorted(p[1] for p in best))}
-        ends = [(cost, places[names], kind, titled, back) for cost, names, kind, titled, back in best]
+        ends = [(cost, places[names], kind, state, back) for cost, names, kind, state, back in best]
     out, end = [], ends[0]
     while end[4] is not None:
         end, (kind, score, conflict) = end[4][0], (end[2], *end[4][1:])
@@ -189,12 +281,13 @@ def decode(paragraphs: DataFrame) -> DataFrame:
     A document is one group of its paragraphs; groups are as large as a document.
     """
     part = lambda name: F.transform("candidates", lambda c: c[name])
-    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "page", "colon", "before_body", "metadata", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
+    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "page", "colon", "before_body", "metadata", "bold", "middle", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
 
     def run(rows: list) -> list[tuple]:
-        out = []
+        out, before, state = [], None, (False, 0)
         for row, (kind, score, conflict) in zip(rows, beam(rows, rows[0].mode)):
-            other = [-x for t, x in zip(row.types, row.costs) if t != kind]
+            other = [-x for t, x in zip(row.types, row.costs) if t != kind and not (t in DEPENDENT and vetoed(t, row, before, *state))]
+            before, state = kind, after(state, kind)
             hard = any(t == kind and not soft for t, soft in zip(row.types, row.softs))
             margin = score - max(other) if other else None
             strength = 1.0 if hard else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
@@ -233,10 +326,15 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return own.unionByName(outline(spark, sf_dir).select("doc_id", "pos", "text"))
 
 
+def free() -> Column:
+    """The candidates that do not depend on what stands before, best first."""
+    return F.filter("candidates", lambda x: ~x["type"].isin(*DEPENDENT))
+
+
 @query()
 def strongest_candidates(spark, sf_dir):
     """The best context-free candidate of every paragraph."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumn("best", F.get("candidates", F.lit(0)))
+    f = with_candidates(features(documents(spark, sf_dir))).withColumn("best", F.get(free(), F.lit(0)))
     return f.select("doc_id", "pos", "best.type", (-F.col("best.cost")).alias("score"), "best.source", (~F.col("best.soft")).alias("hard"))
 
 
@@ -261,7 +359,7 @@ def review_levels(spark, sf_dir):
 @query()
 def candidate_quality(spark, sf_dir):
     """How many candidates paragraphs have, which are hard, and their softmax confidence."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumn("c", F.transform("candidates", lambda x: -x["cost"]))
+    f = with_candidates(features(documents(spark, sf_dir))).withColumn("candidates", free()).withColumn("c", F.transform("candidates", lambda x: -x["cost"]))
     best = F.array_max("c")
     total = F.aggregate("c", F.lit(0.0), lambda a, s: a + F.exp(s - best))
     return f.groupBy(F.size("c").alias("candidates")).agg(F.count("*").alias("paragraphs"), F.count_if(F.exists("candidates", lambda x: ~x["soft"])).alias("with_hard"), F.round(F.avg(1.0 / total), 3).alias("softmax"))
@@ -270,7 +368,7 @@ def candidate_quality(spark, sf_dir):
 @query()
 def candidate_softmax_margin(spark, sf_dir):
     """Best candidate of each paragraph, its margin over the next other type, and its softmax among all candidates of the beam."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumns({"score": F.transform("candidates", lambda x: -x["cost"]), "first": F.array_min(F.transform("candidates", lambda x: F.struct(x["cost"].alias("cost"), x["type"].alias("type"))))})
+    f = with_candidates(features(documents(spark, sf_dir))).withColumn("candidates", free()).withColumns({"score": F.transform("candidates", lambda x: -x["cost"]), "first": F.array_min(F.transform("candidates", lambda x: F.struct(x["cost"].alias("cost"), x["type"].alias("type"))))})
     other = F.array_max(F.transform(F.filter("candidates", lambda x: x["type"] != F.col("first.type")), lambda x: -x["cost"]))
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x + F.col("first.cost")))
     return f.select("doc_id", "pos", F.col("first.type").alias("type"), (-F.col("first.cost") - other).alias("margin"), (-F.col("first.cost")).alias("best"), (1.0 / total).alias("confidence"))

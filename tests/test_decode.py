@@ -6,36 +6,42 @@ from collections import namedtuple
 
 from quire.operators import decode as D
 
-Row = namedtuple("Row", "types costs softs before_body dispatch date colon note page metadata shape")
-TYPES = ["main_title", "title_continuation", "dispatch_number", "heading_1", "heading_2", "heading_3", "body", "signature_date", "attachment_note", "meeting_meta"]
+Row = namedtuple("Row", "types costs softs before_body dispatch date colon note page metadata shape bold middle")
+TYPES = ["title2", "glossary_title", "glossary_item", "main_title", "title_continuation", "dispatch_number", "heading_1", "heading_2", "heading_3", "body", "signature_date", "attachment_note", "meeting_meta"]
 
 
 def document(rng, n):
     rows = []
     for _ in range(n):
         kinds = rng.sample(TYPES, rng.randint(1, 4))
-        rows.append(Row(kinds, [-rng.randint(1, 20) / 20 for _ in kinds], [rng.random() > 0.1 for _ in kinds], rng.random() > 0.2, rng.random() < 0.1, rng.random() < 0.1, rng.choice(["none", "key_value", "body_label"]), rng.random() < 0.1, rng.random() < 0.1, rng.choice([None, None, "role_name"]), rng.choice([0, 1])))
+        rows.append(Row(kinds, [-rng.randint(1, 20) / 20 for _ in kinds], [rng.random() > 0.1 for _ in kinds], rng.random() > 0.2, rng.random() < 0.1, rng.random() < 0.1, rng.choice(["none", "key_value", "body_label"]), rng.random() < 0.1, rng.random() < 0.1, rng.choice([None, None, "role_name"]), rng.choice([0, 1]), rng.random() < 0.5, rng.random() < 0.5))
     return rows
 
 
-def allowed(row, before, titled):
-    fit = [i for i, k in enumerate(row.types) if not D.vetoed(k, row, before, titled)]
+def open_glossary(names):
+    """2 right behind a glossary's title or item, 1 after one more paragraph of body."""
+    kinds = ("glossary_title", "glossary_item")
+    return 2 if names and names[-1] in kinds else 1 if len(names) > 1 and names[-1] == "body" and names[-2] in kinds else 0
+
+
+def allowed(row, names):
+    fit = [i for i, k in enumerate(row.types) if not D.vetoed(k, row, names[-1] if names else None, "main_title" in names, open_glossary(names))]
     return [i for i in fit if not row.softs[i]] or fit
 
 
 def gain(row, i, before, mode):
-    return -row.costs[i] + D.transition(before, row.types[i], D.SECTION.get(before, "body") if before else None, mode)
+    return -row.costs[i] + D.transition(before, row.types[i], D.SECTION.get(before, "body") if before else None, mode) + D.between(row.types[i], row, before)
 
 
 def test_a_wide_beam_finds_the_best_of_all_paths():
     rng = random.Random(1)
     met = 0
-    for _ in range(400):
+    for _ in range(800):
         rows, mode = document(rng, rng.randint(1, 5)), rng.choice(["unknown", "meeting_minutes"])
         best = None
         for choice in itertools.product(*(range(len(r.types)) for r in rows)):
             names = tuple(r.types[i] for r, i in zip(rows, choice))
-            if all(i in allowed(r, names[j - 1] if j else None, "main_title" in names[:j]) for j, (r, i) in enumerate(zip(rows, choice))):
+            if all(i in allowed(r, names[:j]) for j, (r, i) in enumerate(zip(rows, choice))):
                 score = sum(gain(r, i, names[j - 1] if j else None, mode) for j, (r, i) in enumerate(zip(rows, choice)))
                 best = min(best or (9e9, ()), (round(-score, 9), names))
         if best is not None and all(not c for *_, c in D.beam(rows, mode, 10**6)):
@@ -51,7 +57,7 @@ def test_equals_a_beam_of_whole_paths():
         rows = document(rng, rng.randint(1, 12))
         paths = [(0.0, (), ())]
         for r in rows:
-            grown = [(cost - gain(r, i, names[-1] if names else None, "unknown"), (*names, r.types[i]), (*marks, False)) for cost, names, marks in paths for i in allowed(r, names[-1] if names else None, "main_title" in names)]
+            grown = [(cost - gain(r, i, names[-1] if names else None, "unknown"), (*names, r.types[i]), (*marks, False)) for cost, names, marks in paths for i in allowed(r, names)]
             paths = sorted(grown or [(cost, (*names, "body"), (*marks, True)) for cost, names, marks in paths], key=lambda p: (round(p[0], 9), p[1]))[: D.BEAM]
         got = D.beam(rows, "unknown")
         assert (tuple(k for k, *_ in got), tuple(c for *_, c in got)) == paths[0][1:]
@@ -62,10 +68,11 @@ def test_equals_a_beam_of_whole_paths():
 def test_hard_candidates_are_never_cut(spark):
     rows = [(i, 0, text) for i, text in enumerate(["附件：1.方案", "各相关单位：", "2024年3月5日", "一、总体要求", "", None])]
     f = D.with_candidates(D.features(spark.createDataFrame(rows, "doc_id long, pos int, text string"))).collect()
-    best = {r.doc_id: [(c.type, c.soft, -c.cost) for c in r.candidates] for r in f}
+    best = {r.doc_id: [(c.type, c.soft, -c.cost) for c in r.candidates if c.type not in D.DEPENDENT] for r in f}
     assert best[0][0] == ("attachment_note", False, 0.98) and best[1][0] == ("recipient", False, 0.95)
     assert best[2][0] == ("date_line", True, 0.97) and best[3][0][0] == "heading_1"
     assert best[4] == [("body", True, 0.45)] and best[5] == [("body", True, 0.45)]
+    assert len({t for t, *_ in best[0]}) == len(best[0])
 
 
 def test_modes(spark):
@@ -83,7 +90,7 @@ def test_review_levels():
     assert D.review(0.0, None, 0.45, "body", True, 0)[1] == "critical_review"
 
 
-PLAIN = Row(["body"], [-0.5], [True], True, False, False, "none", False, False, None, 0)
+PLAIN = Row(["body"], [-0.5], [True], True, False, False, "none", False, False, None, 0, False, False)
 
 
 def test_every_veto_and_transition():
@@ -96,6 +103,10 @@ def test_every_veto_and_transition():
         assert veto("heading_1", **facts) and not veto("body", **facts)
     assert veto("heading_3", "heading_1") and not veto("heading_2", "heading_1") and not veto("heading_1", "heading_4")
     assert veto("heading_1", "attachment_note", shape=1) and not veto("heading_1", "attachment_note") and veto("heading_2", "attachment_note_item", shape=2)
+    assert veto("glossary_item") and not D.vetoed("glossary_item", PLAIN, "body", False, 1) and veto("glossary_title", "addressing") and not veto("glossary_title", "heading_1") and not veto("glossary_title", "main_title")
+    assert veto("title2", "body", before_body=False) and not veto("title2", "body", before_body=False, middle=True) and veto("title2", "heading_1", before_body=False, middle=True)
+    assert not veto("title2", "heading_1", before_body=False, bold=True) and not veto("title2", "main_title") and veto("title2", "signature_date", before_body=False, bold=True)
+    assert D.between("title2", PLAIN._replace(middle=True), "body") == 0.10 and D.between("title2", PLAIN, "body") == D.between("body", PLAIN._replace(middle=True), "body") == 0.0
     cost = lambda before, kind, mode="unknown": D.transition(before, kind, D.SECTION.get(before, "body") if before else None, mode)
     assert cost("main_title", "title_continuation") == 0.18 and cost("title_continuation", "dispatch_number") == 0.30 and cost("heading_2", "meeting_meta") == 0.05
     assert cost("signature_date", "body") == -0.08 and cost("body", "main_title") == 0.0 and cost("body", "role_name") == -0.40 and cost("body", "dispatch_number") == -0.40
@@ -106,3 +117,23 @@ def test_the_context_reaches_the_beam(spark):
     texts = ["某某市人民政府", "关于开展专项工作的报告", "（2024年3月5日）", "市长  张某某", "各位代表：", "现在向大会报告工作，请予审议，并请各位提出意见。", "一、总体要求", "确保取得实效，完成各项目标任务。", "市长  张某某"]
     got = D.decode(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")).collect()
     assert [r.type for r in sorted(got, key=lambda r: r.pos)] == ["main_title", "title_continuation", "date_line", "role_name", "addressing", "body", "heading_1", "body", "body"]
+
+
+def decoded(spark, texts):
+    got = D.decode(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")).collect()
+    return [r.type for r in sorted(got, key=lambda r: r.pos)]
+
+
+def test_a_glossary_survives_one_paragraph(spark):
+    body = "各部门要认真落实各项工作任务，按时完成。"
+    head = ["关于工作的报告", "一、总体要求", body, "名词解释"]
+    assert decoded(spark, [*head, "甲类：指第一种", body, "乙类：指第二种"])[3:] == ["glossary_title", "glossary_item", "body", "glossary_item"]
+    assert decoded(spark, [*head, "甲类：指第一种", body, body, "乙类：指第二种"])[3:] == ["glossary_title", "glossary_item", "body", "body", "body"]
+    assert decoded(spark, ["关于工作的报告", "一年来。", body]) == ["main_title", "heading_1", "body"]
+    assert decoded(spark, ["关于工作的通知", "一年来。", body])[1] != "heading_1"
+    assert decoded(spark, ["关于工作的报告", "一、总体要求", body, "几点体会", body])[3] == "title2"
+
+
+def test_a_provider_changes_candidates_without_the_beam(spark, monkeypatch):
+    monkeypatch.setitem(D.PROVIDERS, "poems", lambda: [D.propose(D.F.col("n") == 5, "verse", 0.99, "poems")])
+    assert decoded(spark, ["床前明月光", "疑是地上霜", "一、总体要求"]) == ["verse", "verse", "heading_1"]

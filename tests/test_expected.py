@@ -138,7 +138,7 @@ LINES = ["关于推进公共服务工作的通知", "内政发〔2026〕12号",
 
 def test_strongest_candidates(spark):
     f = decode.with_candidates(decode.features(spark.createDataFrame([(1, i, t) for i, t in enumerate(LINES)], "doc_id long, pos int, text string")))
-    got = {r["pos"]: r for r in f.select("pos", F.get("candidates", F.lit(0)).alias("c")).select("pos", "c.*").collect()}
+    got = {r["pos"]: r for r in f.select("pos", F.get(decode.free(), F.lit(0)).alias("c")).select("pos", "c.*").collect()}
     assert [(got[i]["type"], round(-got[i]["cost"], 9), got[i]["source"], not got[i]["soft"]) for i in range(len(LINES))] == [
         ("main_title", 0.99, "semantic", False), ("dispatch_number", 1.0, "structural", True), ("recipient", 0.95, "structural", True), ("body", 0.82, "prose", False), ("heading_1", 0.8, "numbering", False),
         ("caption", 1.0, "structural", True), ("attachment_note", 0.98, "structural", True), ("signature_org", 0.97, "structural", True), ("signature_date", 0.97, "structural", True),
@@ -146,7 +146,7 @@ def test_strongest_candidates(spark):
 
 
 def test_candidate_quality_and_softmax_from_the_candidates(spark):
-    f = decode.with_candidates(decode.features(decode.documents(spark, DATA))).select("doc_id", "pos", "candidates").collect()
+    f = decode.with_candidates(decode.features(decode.documents(spark, DATA))).select("doc_id", "pos", decode.free().alias("candidates")).collect()
     margins = {(r["doc_id"], r["pos"]): r for r in rows_of(spark, "candidate_softmax_margin")}
     by_size: dict = {}
     for r in f:
