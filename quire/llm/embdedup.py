@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, keyed_join, materialize, stars
 
-BLOCK, CELL, FIT_ROWS, MAX_CELLS = 2048, 1024, 16, 4096
+BLOCK, CELL, FIT_ROWS, MAX_CELLS, SLICE = 2048, 1024, 16, 4096, 1024
 
 
 def usable(vec: str) -> F.Column:
@@ -64,7 +64,8 @@ def fit(distinct: DataFrame, most: int, rounds: int = 8) -> dict[tuple[int, int]
         while cells <= most:
             c = x[:: max(1, len(x) // cells)][:cells]
             for _ in range(rounds):
-                near = (x @ c.T).argmax(1)
+                # In slices: the products of a whole sample with all centroids would fill the driver.
+                near = np.concatenate([(x[i : i + SLICE] @ c.T).argmax(1) for i in range(0, len(x), SLICE)])
                 total = np.zeros_like(c)
                 np.add.at(total, near, x)
                 n = np.linalg.norm(total, axis=1, keepdims=True)
@@ -74,9 +75,24 @@ def fit(distinct: DataFrame, most: int, rounds: int = 8) -> dict[tuple[int, int]
     return out
 
 
-def homes_and_visits(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home cell of each unit vector, and the cells that it is compared in: its home, then the open ones below."""
-    apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+class Cells:
+    """Centroids by (vector length, number of cells), and their distances, found once in each process that asks."""
+
+    def __init__(self, centroids: dict[tuple[int, int], np.ndarray]):
+        self.centroids, self.distances = centroids, {}
+
+    def get(self, size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """A length that the sample has missed has one centroid."""
+        c = self.centroids.get((size, cells))
+        if c is None:
+            c = np.ones((1, size)) / np.sqrt(size)
+        if (size, len(c)) not in self.distances:
+            self.distances[size, len(c)] = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        return c, self.distances[size, len(c)]
+
+
+def homes_and_visits(x: np.ndarray, c: np.ndarray, apart: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home cell of each unit vector, and the cells that it is compared in: its home, then the open ones below. apart: the centroids' distances."""
     homes, out = [], []
     for i in range(0, len(x), 512):
         score = x[i : i + 512] @ c.T
@@ -116,7 +132,7 @@ def link(vectors: DataFrame, cosine: float = 0.98, vec: str = "embedding", key:
     power = F.greatest(F.lit(0.0), F.ceil(F.log(4.0, F.col("size") / CELL)))
     sizes = materialize(distinct.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("size")).withColumn("cells", F.least(F.lit(MAX_CELLS), F.pow(F.lit(4.0), power)).cast("int")))
     most = sizes.agg(F.max("cells")).first()[0] or 1
-    centroids = spark.sparkContext.broadcast(fit(distinct, most))  # at most 4/3 MAX_CELLS a vector length
+    centroids = spark.sparkContext.broadcast(Cells(fit(distinct, most)))  # at most 4/3 MAX_CELLS a vector length
     sized = keyed_join(distinct, sizes, F.col("label") == F.col("of"), "size")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +142,7 @@ def link(vectors: DataFrame, cosine: float = 0.98, vec: str = "embedding", key:
             out = []
             for d, k in {*zip(lengths.tolist(), cells.tolist())}:
                 at = np.flatnonzero((lengths == d) & (cells == k))
-                c = centroids.value.get((d, k))
-                if c is None:  # a length that the sample has missed
-                    c = np.ones((1, d)) / np.sqrt(d)
-                home, visits = homes_and_visits(unit(np.array([vecs[i] for i in at], float)), c, cosine)
+                home, visits = homes_and_visits(unit(np.array([vecs[i] for i in at], float)), *centroids.value.get(d, k), cosine)
                 out += [(i, d, int(h), v.tolist()) for i, h, v in zip(at, home, visits)]
             out.sort()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), batch.column(3), pa.array([int(o[1]) for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.int32()))], ["label", "rid", "vec", "n", "dim", "home", "visits"])
