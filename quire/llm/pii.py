@@ -2,13 +2,15 @@
 
 Entities are found by one alternation of patterns, evaluated once over every text: e-mail,
 IPv4, international and common national phone numbers, US social security numbers,
-payment cards, and personal names, which are known by a title (``TITLES``) or by a
-common given name (``GIVEN``) before a capitalised word. Names without either, street addresses and national
+payment cards, and personal names, which are known by titles (``TITLES``) or by a
+common given name (``GIVEN``) and reach over all capitalised words, initials and particles (``PARTICLES``) that follow, up to
+a mark or a small letter. Names without either, street addresses and national
 numbers without separators are not found.
 
 An entity is made of parts, and a part has a kind and a canonical form in which its spellings
 agree: digits for phones, cards and SSNs, case folded local part and domain of an
-e-mail, given name and surname of a person. Every distinct part of the corpus gets one
+e-mail, given names and surnames of a person, those joined by a hyphen each by itself. A given name has one
+surrogate, whatever title stands before it: of the gender that all its mentions agree on. Every distinct part of the corpus gets one
 keyed surrogate: a SHA-256 stream over (key, kind, canonical form, attempt) fills the
 form, so a valid card number gets a valid one, a given name one of its gender, a
 surname one in its script, a domain one below a reserved name. A surrogate that
@@ -26,6 +28,7 @@ doc_id with other texts are told apart by a hash of the text. Everything between
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import keyed_join, materialize
@@ -44,6 +47,7 @@ GIVEN = {
     ("f", "greek"): ("Άννα", "Ελένη", "Μαρία", "Σοφία"),
     ("m", "greek"): ("Γιώργος", "Κώστας", "Νίκος", "Πέτρος"),
 }
+PARTICLES = "von van vom zu zur ter ten den der de del della di da das dos du la le bin ibn al".split()
 SOUNDS = {"latin": ("b d f g k l m n p r s t v z", "a e i o u"), "cyrillic": ("б в г д ж з к л м н п р с т", "а е и о у"), "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ", "α ε ι ο")}
 ENDINGS = {
     ("f", "latin"): "na la ra sa", ("m", "latin"): "n r s rt", ("n", "latin"): "ni lo ri", ("s", "latin"): "ler mann ton sen dal wick",
@@ -57,6 +61,9 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _ALONE, _ENDS = r"(?<![0-9.,/+-])", r"(?![.,-]?[0-9])"
 _WORD = r"\p{Lu}\p{L}*(?:['’-]\p{Lu}\p{L}*)*"
 _TITLE = r"(?:M\.|(?:" + "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper())) + r")\b\.?)"
+_ANY = rf"(?:\p{{Lu}}\.(?=[ -])|{_WORD})"  # an initial or a word
+_PARTICLES = "(?:(?:" + "|".join(PARTICLES) + ") )*"
+_PIECE = r"(?U)([ -]?(?:\p{Ll}\p{L}* )*)(\p{Lu}\.|\p{Lu}[\p{L}'’]*)"  # what stands before a piece of a name, and the piece
 _NATIONAL = (
     r"(?<![0-9])\([0-9]{2,5}\)[ ./-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     _ALONE + r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}" + _ENDS,
@@ -69,7 +76,7 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])\+(?=(?:[ ./()-]{0,2}[0-9]){7})[0-9]{1,3}(?:[ ./-]?\([0-9]{1,4}\))?(?:[ ./-]?[0-9]{1,4}){2,6}(?![0-9])|" + "|".join(_NATIONAL),
-    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:{_TITLE} {_WORD}(?: {_WORD})?|(?:" + "|".join(n for group in GIVEN.values() for n in group) + rf") {_WORD})",
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLE} )+{_PARTICLES}{_ANY}|(?:" + "|".join(n for group in GIVEN.values() for n in group) + rf") {_PARTICLES}{_ANY})(?: {_PARTICLES}{_ANY}){{0,4}}",
 }
 # One look at a character excludes most places before the costly alternatives.
 _NUMBERS = "|".join(KINDS[k] for k in ("ipv4", "ssn", "card", "phone"))
@@ -97,6 +104,10 @@ def _feminine(word: Column) -> Column:
     return F.lower(word).rlike("(?:ов|ев|ёв|ин|ын)а$")
 
 
+def _named(gender: str) -> list[str]:
+    return [n.lower() for (g, _), names in GIVEN.items() if g == gender for n in names]
+
+
 def parts(entity: Column, kind: Column) -> Column:
     """array of struct(lead, kind, name, piece): what stands before a part, its kind, canonical form and spelling."""
 
@@ -108,19 +119,27 @@ def parts(entity: Column, kind: Column) -> Column:
     email = F.array(part(none, F.concat(F.lit("local@"), F.lower(domain)), F.lower(local), local), part(F.lit("@"), F.lit("domain"), F.lower(domain), domain))
     plus = F.when(entity.startswith("+"), "+").otherwise("")
     number = F.when(kind == "phone", F.concat(plus, digits(entity))).when(kind == "ipv4", entity).otherwise(digits(entity))
-    head = F.regexp_extract(entity, f"(?U)^({_TITLE} )?", 1)
-    words = F.split(F.regexp_replace(entity, f"(?U)^{_TITLE} ", ""), " ")
-    title, surname, given = F.regexp_replace(head, r"\.? $", ""), F.element_at(words, -1), F.element_at(words, 1)
-
-    def known(gender: str) -> Column:
-        return F.lower(given).isin([n.lower() for (g, _), names in GIVEN.items() if g == gender for n in names])
-
-    women, men = ([x for t in TITLES[g] for x in (t, t.upper())] for g in "fm")
-    gender = F.when(title.isin(women), "f").when(title.isin(*men, "M"), "m").when(known("f"), "f").when(known("m"), "m").otherwise("n")
-    form = F.when(_feminine(surname), F.regexp_replace(F.lower(surname), "а$", "")).otherwise(F.lower(surname))
-    family = part(F.when(F.size(words) > 1, " ").otherwise(head), F.concat(F.lit("s:"), script_of(surname)), form, surname)
-    first = part(head, F.concat(gender, F.lit(":"), script_of(given)), F.lower(given), given)
-    person = F.when(F.size(words) > 1, F.array(first, family)).otherwise(F.array(family))
+    rest = F.regexp_replace(entity, f"(?U)^(?:{_TITLE} )+", "")
+    head = F.substr(entity, F.lit(1), F.length(entity) - F.length(rest))
+    women, men = ("(?U)(?:^|[ ])(?:" + "|".join(x for t in TITLES[g] for x in (t, t.upper())) + r")\.? " for g in "fm")
+    titled = F.when(head.rlike(women), "f").when(head.rlike(men) | head.rlike(r"(?:^| )M\. "), "m")
+    leads, pieces = (F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(i)) for i in (1, 2))
+    begun = lambda x: x.startswith(" ")
+    last = F.size(F.filter(leads, begun))
+
+    def person_part(piece: Column, k: Column) -> Column:
+        """Pieces of the last word are a surname, those of the first a given name; between them stand given names that are known or initials, and surnames."""
+        own = F.get(leads, k)
+        word = F.size(F.filter(F.slice(leads, F.lit(1), k + 1), begun))
+        known = F.when(F.lower(piece).isin(_named("f")), "f").when(F.lower(piece).isin(_named("m")), "m")
+        initial = piece.rlike(r"^\p{Lu}\.$")
+        given = (word < last) & ((word == 0) | known.isNotNull() | initial)
+        gender = F.when(initial, "n").otherwise(F.coalesce(titled, known, F.lit("n")))
+        form = F.when(_feminine(piece), F.regexp_replace(F.lower(piece), "а$", "")).otherwise(F.lower(piece))
+        kind = F.concat(F.when(given, gender).otherwise("s"), F.lit(":"), script_of(piece))
+        return part(F.when(k == 0, F.concat(head, own)).otherwise(own), kind, F.when(given, F.lower(piece)).otherwise(form), piece)
+
+    person = F.transform(pieces, person_part)
     return F.when(kind == "email", email).when(kind == "name", person).otherwise(F.array(part(none, kind, number, entity)))
 
 
@@ -242,6 +261,7 @@ def shown(piece: Column, kind: Column, new: Column) -> Column:
     name = F.when(loud, F.upper(name)).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.lit(200))))
     return (
         F.when(ready, number)
+        .when(piece.rlike(r"^\p{Lu}\.$") & kind.rlike("^[fmn]:"), F.concat(F.upper(F.substring(new, 1, 1)), F.lit(".")))
         .when(kind.rlike("^[fmns]:"), name)
         .when(loud, F.upper(new))
         .when(kind.startswith("local@"), cased)
@@ -250,13 +270,23 @@ def shown(piece: Column, kind: Column, new: Column) -> Column:
     )
 
 
+def settled_names(real: DataFrame, key: str) -> DataFrame:
+    """dictionary of real, in which a given name is one part whatever its titles: of the gender that its mentions agree on, else of neither."""
+    given, script = F.col("kind").rlike("^[fmn]:"), F.substring_index("kind", ":", -1)
+    told = lambda g: F.max(F.col("kind").startswith(f"{g}:")).over(W.partitionBy(given, script, "name"))
+    gender = F.when(told("f") & ~told("m"), "f").when(told("m") & ~told("f"), "m").otherwise("n")
+    one = materialize(real.withColumn("as", F.when(given, F.concat(gender, F.lit(":"), script)).otherwise(F.col("kind"))))
+    made = dictionary(one.groupBy(F.col("as").alias("kind"), "name").agg(F.sum("n").alias("n")), key).select(F.col("kind").alias("m_kind"), F.col("name").alias("m_name"), "surrogate")
+    return one.join(made, (F.col("as") == F.col("m_kind")) & (F.col("name") == F.col("m_name"))).select("kind", "name", "n", "surrogate")
+
+
 def pseudonymise(docs: DataFrame, secret: str = "quire", text: str = "text", key: str = "doc_id") -> DataFrame:
     """op5: (key, text with surrogates, n_entities) of every row."""
     marked = materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("h"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("found")))
     plain, hits = marked.where(F.coalesce(F.size("found"), F.lit(0)) < 1), marked.where(F.size("found") > 0)
     entities = hits.select("id", "h", "found").dropDuplicates(["id", "h"]).select("id", "h", F.posexplode("found").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
     pieces = materialize(entities.select("id", "h", "at", F.posexplode(parts(F.col("entity"), F.col("kind"))).alias("p", "part")).select("id", "h", "at", "p", "part.*"))
-    table = materialize(dictionary(pieces.groupBy("kind", "name").agg(F.count("*").alias("n")), secret).select(F.col("kind").alias("k"), F.col("name").alias("c"), "n", "surrogate"))
+    table = materialize(settled_names(pieces.groupBy("kind", "name").agg(F.count("*").alias("n")), secret).select(F.col("kind").alias("k"), F.col("name").alias("c"), "n", "surrogate"))
     named = keyed_join(pieces, table, (F.col("kind") == F.col("k")) & (F.col("name") == F.col("c")), "n")
     new = F.concat("lead", shown(F.col("piece"), F.col("kind"), F.col("surrogate")))
     lists = named.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("at", "p", new.alias("s")))).alias("new")).withColumnsRenamed({"id": "l_id", "h": "l_h"})

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -373,6 +374,48 @@ def test_pii_is_distinct_coreferent_and_keeps_formats(spark):
         assert len(set(made)) == len(made) == len(real) and not set(made) & real
 
 
+def test_pii_reaches_over_whole_names(spark):
+    texts = {
+        "Mr John Paul Smith": "Mr # # #", "Mr. J. Smith": "Mr. #. #", "Maria Garcia Lopez": "# # #", "Prof. Dr. Hans Meier": "Prof. Dr. # #", "Herr von Braun": "Herr von #", "Frau Müller-Lüdenscheidt": "Frau #-#",
+        "Dr Alex Stone": "Dr # #", "Mr Alex Stone": "Mr # #", "Mr Smith": "Mr #", "Mr Ludwig van der Rohe": "Mr # van der #", "Mme Jean-Pierre O'Neill": "Mme #-# #", "MR PAUL BRAUN": "MR # #", "Anna K. Stone": "# #. #", "Господин Иван Петров": "Господин # #",
+    }
+    rows = [(i, f"We met {t}, then left. Then {t} came") for i, t in enumerate(texts)] + [(100, "The Company met in Berlin. Paul said so.")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100]["text"] == rows[-1][1]
+    new = {}
+    for i, (name, form) in enumerate(texts.items()):
+        text = got[i]["text"]
+        found = re.fullmatch(r"We met (.+), then left\. Then (.+) came", text)
+        assert found and found[1] == found[2] and got[i]["n_entities"] == 2
+        shape = re.escape(form).replace("\\#", r"(\p{Lu}\p{L}*)")
+        pieces = regex.fullmatch(shape, found[1])
+        assert pieces, (name, found[1])
+        real = regex.fullmatch(shape.replace(r"\p{L}*", r"[\p{L}']*"), name).groups()
+        for old, made in zip(real, pieces.groups()):
+            assert len(old) == 1 or old.lower() != made.lower()
+            new.setdefault(old.lower(), set()).add(made.lower())
+    # One surrogate for each name, whatever title stands before it and whatever it is joined with; no original word is left.
+    assert all(len(x) == 1 for k, x in new.items() if len(k) > 1), new
+    assert new["stone"] != new["smith"] and len({min(x) for k, x in new.items() if len(k) > 1}) == sum(len(k) > 1 for k in new)
+
+
+def test_pii_leaves_no_word_of_generated_names(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    rows = []
+    for i in range(1500):
+        words = [word() for _ in range(rng.randint(1, 3))]
+        titles = " ".join(rng.sample(["Mr", "Dr.", "Prof.", "Frau"], rng.randint(1, 2)))
+        name = " ".join(rng.choice(["", "", "von ", "de la "]) + (w if rng.random() < 0.8 else f"{w}-{word()}") for w in words)
+        rows.append((i, f"{titles} {rng.choice(['', 'J. ', 'Maria '])}{name} wrote"))
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        old, new = (re.split(r"[ -]", t) for t in (rows[r["doc_id"]][1], r["text"]))
+        assert r["n_entities"] == 1 and len(old) == len(new)
+        kept = [a for a, b in zip(old, new) if a == b]
+        assert set(kept) <= {"Mr", "Dr.", "Prof.", "Frau", "von", "de", "la", "wrote", "J."}, (old, new)
+
+
 def test_pii_with_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "Mr Adler", "a"), (1, "Mr Baker", "b"), (1, "Mr Adler", "c"), (None, "Mr Adler", "d"), (None, None, "e")]
     got = [(r["doc_id"], r["text"]) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, found string")).collect()]
