@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import align, classify, context, contracts, decode, folds, headings, intervals, lines, normalization, operations, outline, packages, reader, rope, segments, spans  # noqa: F401  registers their queries
+from quire.operators import align, classify, context, contracts, decode, folds, headings, intervals, letterhead, lines, normalization, operations, outline, packages, reader, rope, segments, spans  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
 from quire.streaming import tasks  # noqa: F401
 
