@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.operators import align, classify, context, contracts, decode, folds, headings, intervals, letterhead, lines, normalization, operations, outline, packages, parts, reader, rope, segments, spans, structure  # noqa: F401  registers their queries
 from quire.plans.registry import ORACLES, QUERIES, Query
-from quire.streaming import tasks  # noqa: F401
+from quire.streaming import sessions, tasks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

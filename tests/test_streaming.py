@@ -1,8 +1,8 @@
 """Streams over several triggers: state lasts, late hours stay open, repeats are dropped."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-from quire.streaming import tasks
+from quire.streaming import sessions, tasks
 
 START = datetime(2026, 1, 1)
 
@@ -31,3 +31,15 @@ def test_repeats_are_delivered_once(spark, tmp_path):
     stream = log(spark, tmp_path, [[(1, 1, "view", 5), (2, 1, "view", 6)], [(3, 1, "view", 50), (4, 2, "view", 125)]])
     out = sorted(tuple(r) for r in tasks.drained(tasks.first_deliveries(stream)).collect())
     assert out == [(1, "view"), (2, "view")]
+
+
+def test_sessions_expire_by_timer(spark, tmp_path):
+    stream = log(spark, tmp_path, [[(1, 7, "view", 0), (2, 7, "view", 5), (3, 7, "view", 12), (4, 8, "view", 20)], [(5, 8, "view", 300)], [(6, 9, "view", 600), (7, 8, "view", 361)]])
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKS)
+    try:
+        out = sorted((r["ip"], (r["second"] - int(START.replace(tzinfo=timezone.utc).timestamp())) // 60, r["kind"]) for r in tasks.drained(sessions.sessions(stream, 3600, 600)).collect())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    # Client 7 never comes back: its timer ends the session. Client 8 is met after its expiry, and again a minute after the next.
+    assert out == [(7, 0, "login"), (7, 12, "refresh"), (7, 60, "expired"), (8, 20, "login"), (8, 80, "expired"), (8, 300, "login"), (8, 360, "expired"), (8, 361, "login"), (8, 421, "expired"), (9, 600, "login")]
