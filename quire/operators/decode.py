@@ -17,6 +17,7 @@ from quire.functions import kernels as K
 from quire.functions import predicates as P
 from quire.operators import context as C
 from quire.operators.grouped import per_document
+from quire.operators.segments import STYLES
 from quire.plans.registry import query
 from quire.sources.tables import outline, table
 
@@ -60,7 +61,7 @@ def features(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context; only facts are shuffled, by document, never the text."""
     t = F.col("text")
     visible, meta, ending = mode_facts(t)
-    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
+    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), styled=F.replace(F.lower(F.trim(F.coalesce("style", F.lit("")))), F.lit(" "), F.lit("")), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
     glossary = (F.col("n") <= 20) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & F.col("compact").rlike("名词解释|注释")
     short = F.col("shown") & (F.col("n") < 28) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & ~F.col("closed") & ~F.col("date") & ~F.col("recipient")
     own = own.withColumns({"glossary": F.when(F.col("compact").isin("名词解释", "注释"), "exact").when(glossary, "like"), "short": short, "annual": F.col("compact").isin("一年来。", "五年来。")}).drop("compact", "closed")
@@ -74,7 +75,7 @@ def features(paragraphs: DataFrame) -> DataFrame:
         "after_body": F.coalesce(F.max(F.col("prose").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)),
         "siblings": F.coalesce(*alike, F.lit(0)), "middle": F.coalesce(F.lead(carries).over(in_order()), F.lit(False)),
     })
-    return with_mode(out.select("glossary", "short", "annual", "colons", "bold", "middle", "doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
+    return with_mode(out.select("styled", "glossary", "short", "annual", "colons", "bold", "middle", "doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
 
 
 PROVIDERS: dict[str, Callable[[], list[Column]]] = {}
@@ -167,6 +168,13 @@ def glossary() -> list[Column]:
     ]
 
 
+@provider
+def style() -> list[Column]:
+    """Weak proposals from the name of a paragraph's style."""
+    kinds, scores = (F.create_map(*[F.lit(x) for s in STYLES for x in (s[0], s[i])])[c("styled")] for i in (1, 2))
+    return [propose(kinds.isNotNull(), kinds, scores, "style")]
+
+
 @provider
 def prose() -> list[Column]:
     """Three ways to propose body; the first that does is the strongest."""

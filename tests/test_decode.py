@@ -137,3 +137,10 @@ def test_a_glossary_survives_one_paragraph(spark):
 def test_a_provider_changes_candidates_without_the_beam(spark, monkeypatch):
     monkeypatch.setitem(D.PROVIDERS, "poems", lambda: [D.propose(D.F.col("n") == 5, "verse", 0.99, "poems")])
     assert decoded(spark, ["床前明月光", "疑是地上霜", "一、总体要求"]) == ["verse", "verse", "heading_1"]
+
+
+def test_a_style_decides_where_nothing_else_does(spark):
+    rows = [(1, 0, "甲乙丙", "Heading 2"), (1, 1, "甲乙丙丁", "Normal"), (1, 2, "一、总体要求", "Heading 4"), (1, 3, "甲", None)]
+    f = D.with_candidates(D.features(spark.createDataFrame(rows, "doc_id long, pos int, text string, style string"))).collect()
+    own = {r.pos: {x.type: -x.cost for x in r.candidates if x.source == "style"} for r in f}
+    assert own == {0: {"heading_2": 0.40}, 1: {}, 2: {"heading_4": 0.40}, 3: {}}  # body is proposed more strongly than by its style
