@@ -121,7 +121,7 @@ def punctuation_normalized(spark, sf_dir):
     return t.select("doc_id", "pos", K.punctuated(text).alias("p")).select("doc_id", "pos", "p.text", "p.edits")
 
 
-@query()
+@query(f"with t as ({OUTLINE_SQL}) select doc_id, pos, text || '（中文）说“好”,可以？' as text from t")
 def legacy_text_chain(spark, sf_dir):
     """The older chain of basic text, quotes and punctuation, all column expressions."""
     t = outline(spark, sf_dir)
@@ -186,7 +186,10 @@ def tail(types: list[str]) -> list[int]:
     return [*range(org), *rest, *moved, *range(end, len(types))]
 
 
-@query()
+@query(f"""with t as (select l_orderkey as doc_id, l_linenumber as pos, case when l_linenumber = 1 then 'body' else ['sign_org', 'sign_date', 'attachment_note', 'attachment_note_item'][min(l_partkey) % 4 + 1] end as type from lineitem group by 1, 2), o as (select *, row_number() over (partition by doc_id order by pos) as i, lead(type) over (partition by doc_id order by pos) as nxt, count(*) over (partition by doc_id) as n from t),
+d as (select doc_id, max(n) as n, max(i) filter (where type = 'sign_date') as d from o group by 1), a as (select d.*, (select min(i) from o where o.doc_id = d.doc_id and type = 'attachment_note' and i > d and (i - d <= {TAIL_GAP} or nxt = 'attachment_note_item')) as note, (select max(i) from o where o.doc_id = d.doc_id and type = 'sign_org' and i < d and i >= d - {ORG_REACH}) as org from d),
+e as (select *, coalesce((select min(i) from o where o.doc_id = a.doc_id and i > note and type <> 'attachment_note_item'), n + 1) as stop from a), m as (select o.*, org, stop, note, d, note is not null and org is not null and o.i >= org and o.i < stop as inside, note is not null and org is not null and ((o.i >= note and o.i < stop) or o.i in (org, d)) as moved from o join e using (doc_id)),
+r as (select *, row_number() over (partition by doc_id order by case when not inside then i when not moved then org when i >= note then org + 0.2 when i = org then org + 0.4 else org + 0.6 end, i) as new_pos from m) select doc_id, pos, type, new_pos from r""")
 def tail_normalize(spark, sf_dir):
     """Tails put in order; every other paragraph keeps its place."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg((F.min("l_partkey") % 4).alias("k"))
