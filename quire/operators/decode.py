@@ -380,3 +380,27 @@ def candidate_softmax_margin(spark, sf_dir):
     other = F.array_max(F.transform(F.filter("candidates", lambda x: x["type"] != F.col("first.type")), lambda x: -x["cost"]))
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x + F.col("first.cost")))
     return f.select("doc_id", "pos", F.col("first.type").alias("type"), (-F.col("first.cost") - other).alias("margin"), (-F.col("first.cost")).alias("best"), (1.0 / total).alias("confidence"))
+
+
+LOW = 0.60
+
+
+def summary(paragraphs: DataFrame) -> DataFrame:
+    """One row a document: its mode, how many paragraphs and candidates it has, what decided them, and how sure the decisions are."""
+    known = with_candidates(features(paragraphs)).select("doc_id", "mode", F.size("candidates").alias("n"), F.exists("candidates", lambda x: ~x["soft"]).alias("hard"), F.size(F.array_distinct(F.transform("candidates", lambda x: x["source"]))).alias("sources"))
+    a = known.groupBy("doc_id").agg(
+        F.any_value("mode").alias("mode"), F.count("*").alias("paragraphs"), F.sum("n").alias("candidates"), F.max("n").alias("most_candidates"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") == 2).alias("double"), F.count_if(F.col("n") > 2).alias("more"),
+        F.count_if("hard").alias("with_hard"), F.max("sources").alias("most_providers"),
+    )
+    level = lambda x: F.count_if(F.col("level") == x).alias(x)
+    b = decode(paragraphs).groupBy(F.col("doc_id").alias("d")).agg(
+        *[level(x) for x in ("confirmed", "info", "review", "critical_review")], F.count_if(F.col("level").isin("review", "critical_review")).alias("needs_review"), F.count_if(F.col("confidence") < LOW).alias("low_confidence"), F.count_if("conflict").alias("conflicts"),
+        F.count_if(F.col("type").startswith("heading_")).alias("headings"), F.count_distinct("type").alias("types"),
+    )
+    return a.join(b, F.col("doc_id") == F.col("d")).drop("d").withColumn("beam", F.lit(BEAM))
+
+
+@query()
+def recognition_summary(spark, sf_dir):
+    """Summary of the recognition of every document."""
+    return summary(documents(spark, sf_dir))

@@ -200,3 +200,24 @@ def test_alignment_queries_keep_their_laws(spark):
         assert (r["binding"], r["warning"]) == {"matched_unique": ("confirmed", None), "matched_review": ("review", "RAW_TEXT_NORMALIZED"), "ambiguous": ("unresolved", "SOURCE_OCCURRENCE_AMBIGUOUS"), "unmatched": ("unresolved", "PHYSICAL_PARAGRAPH_UNMATCHED")}[status]
 
 
+
+
+def test_recognition_summary_counts_the_decisions(spark):
+    docs = decode.documents(spark, DATA).where("doc_id % 5 = 0")
+    found = {}
+    for r in decode.decode(docs).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    candidates = {}
+    for r in decode.with_candidates(decode.features(docs)).select("doc_id", "mode", "candidates").collect():
+        candidates.setdefault(r["doc_id"], []).append(r)
+    got = {r["doc_id"]: r for r in decode.summary(docs).collect()}
+    assert set(got) == set(found)
+    for d, rows in found.items():
+        own, sizes = candidates[d], [len(r["candidates"]) for r in candidates[d]]
+        assert (got[d]["mode"], got[d]["paragraphs"], got[d]["candidates"], got[d]["most_candidates"]) == (own[0]["mode"], len(rows), sum(sizes), max(sizes))
+        assert (got[d]["single"], got[d]["double"], got[d]["more"]) == (sizes.count(1), sizes.count(2), sum(n > 2 for n in sizes))
+        assert got[d]["with_hard"] == sum(any(not c["soft"] for c in r["candidates"]) for r in own)
+        levels = [r["level"] for r in rows]
+        assert [got[d][x] for x in ("confirmed", "info", "review", "critical_review")] == [levels.count(x) for x in ("confirmed", "info", "review", "critical_review")]
+        assert got[d]["needs_review"] == got[d]["review"] + got[d]["critical_review"] and got[d]["low_confidence"] == sum(r["confidence"] < 0.6 for r in rows)
+        assert (got[d]["conflicts"], got[d]["headings"], got[d]["types"]) == (sum(r["conflict"] for r in rows), sum(r["type"].startswith("heading_") for r in rows), len({r["type"] for r in rows}))
