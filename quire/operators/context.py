@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import kernels as K
 from quire.functions import predicates as P
-from quire.operators.segments import HEAD_DATE, MEETING, is_date
+from quire.operators.segments import MEETING, is_date
 from quire.plans.registry import query
 from quire.sources.tables import table
 
