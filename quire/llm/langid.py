@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 N, HASHES, UND = 4, 3, "und"
 LOW, MARGIN, TEACH = 0.01, 0.5, 0.8
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [shared.value.classify(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["key", "lang_pred", "score"])
 
@@ -203,7 +203,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([shared.value.knows(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, sliced
 
 MIN_SITES, LOG_K = 10, 12
 SMALL = 100_000  # boilerplate lines, 32 bytes and an id each, that every worker holds
@@ -126,7 +126,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", key:
     where, own = schema.names.index(text), schema.names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, kept, counts = batch.column(where).to_pylist(), [], []
             places = batch.columns[-1].to_pylist() if extra else [None] * len(texts)
             for t, k, also in zip(texts, batch.column(own).to_pylist(), places):

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 B64 = "A-Za-z0-9+/_.=-"
 
 
@@ -340,7 +342,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
         return "".join(out) + value[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             column = pa.array([clean(t) for t in batch.column(where).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([column if i == where else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
