@@ -7,7 +7,11 @@ depends on the types chosen before, vetoes and transitions, runs in the fold.
 
 from __future__ import annotations
 
+import json
+from collections import OrderedDict, namedtuple
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,10 +62,14 @@ def with_mode(facts: DataFrame) -> DataFrame:
 
 
 def features(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context; only facts are shuffled, by document, never the text."""
+    """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context.
+
+    The text is dealt by document before anything is read from it: a file of few row groups would keep all the patterns in as few
+    tasks. The facts are shuffled once more for the windows.
+    """
     t = F.col("text")
     visible, meta, ending = mode_facts(t)
-    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), styled=F.replace(F.lower(F.trim(F.coalesce("style", F.lit("")))), F.lit(" "), F.lit("")), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
+    own = C.facts(paragraphs.repartition("doc_id"), visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), styled=F.replace(F.lower(F.trim(F.coalesce("style", F.lit("")))), F.lit(" "), F.lit("")), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
     glossary = (F.col("n") <= 20) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & F.col("compact").rlike("名词解释|注释")
     short = F.col("shown") & (F.col("n") < 28) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & ~F.col("closed") & ~F.col("date") & ~F.col("recipient")
     own = own.withColumns({"glossary": F.when(F.col("compact").isin("名词解释", "注释"), "exact").when(glossary, "like"), "short": short, "annual": F.col("compact").isin("一年来。", "五年来。")}).drop("compact", "closed")
@@ -283,26 +291,73 @@ def detect_mode(paragraphs: DataFrame) -> DataFrame:
     return m.groupBy("doc_id").agg(F.any_value("mode").alias("mode"), F.any_value("mode_confidence").alias("confidence"))
 
 
+# What the beam and the review read of a paragraph; the mode is the document's.
+Facts = namedtuple("Facts", "mode types costs softs before_body dispatch date colon note page metadata shape bold middle siblings")
+REMEMBERED, LONGEST = 1 << 16, 32
+
+
+@lru_cache(REMEMBERED)
+def _read(facts: str) -> tuple[int, Facts]:
+    """(number, facts) of a row's JSON: equal rows, which are frequent, are read once and have one number."""
+    told = json.loads(facts)
+    return next(_NUMBERS), Facts(*map(told.get, Facts._fields))
+
+
+_NUMBERS = count()
+
+
+def _decided(rows: list[Facts]) -> list[tuple]:
+    """(type, score, margin, confidence, level, conflict) of every row of a document."""
+    out, before, state = [], None, (False, 0)
+    for row, (kind, score, conflict) in zip(rows, beam(rows, rows[0].mode)):
+        other = [-x for t, x in zip(row.types, row.costs) if t != kind and not (t in DEPENDENT and vetoed(t, row, before, *state))]
+        before, state = kind, after(state, kind)
+        hard = any(t == kind and not soft for t, soft in zip(row.types, row.softs))
+        margin = score - max(other) if other else None
+        strength = 1.0 if hard else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
+        out.append((kind, score, margin, *review(score, margin, strength, kind, conflict, row.shape)))
+    return out
+
+
 def decode(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, pos, type, score, margin, confidence, level, conflict) of every paragraph.
+    """(doc_id, pos, type, score, margin, confidence, level, conflict) of every paragraph."""
+    return decided(with_candidates(features(paragraphs)))
 
-    A document is one group of its paragraphs; groups are as large as a document.
+
+_KNOWN: OrderedDict[tuple[int, ...], list[tuple]] = OrderedDict()
+
+
+def _decided_once(facts: list[str]) -> list[tuple]:
+    """_decided of a document; a worker remembers short documents."""
+    read = [_read(x) for x in facts]
+    key = tuple(n for n, _ in read)
+    if key in _KNOWN:
+        _KNOWN.move_to_end(key)
+        return _KNOWN[key]
+    found = _decided([x for _, x in read])
+    if len(key) <= LONGEST:
+        _KNOWN[key] = found
+        if len(_KNOWN) > REMEMBERED:
+            _KNOWN.popitem(last=False)
+    return found
+
+
+def decided(candidates: DataFrame, **more: Column) -> DataFrame:
+    """decode of paragraphs with their candidates; more: columns that stay as they are, by name.
+
+    A document is one group of its paragraphs; groups are as large as a document. The result depends on the facts
+    alone, so of short documents with the same facts in the same order a worker decodes one, as far as it remembers them.
     """
     part = lambda name: F.transform("candidates", lambda c: c[name])
-    keep = with_candidates(features(paragraphs)).select("doc_id", "pos", "rank", "dispatch", "date", "note", "page", "colon", "before_body", "metadata", "bold", "middle", F.col("level").alias("shape"), "siblings", "mode", part("type").alias("types"), part("cost").alias("costs"), part("soft").alias("softs"))
+    own = {"shape": F.col("level"), "types": part("type"), "costs": part("cost"), "softs": part("soft")}
+    facts = F.struct(*[own.get(n, F.col(n)).alias(n) for n in Facts._fields])
+    keep = candidates.select("doc_id", "pos", F.to_json(facts).alias("facts"), *[x.alias(n) for n, x in more.items()])
 
     def run(rows: list) -> list[tuple]:
-        out, before, state = [], None, (False, 0)
-        for row, (kind, score, conflict) in zip(rows, beam(rows, rows[0].mode)):
-            other = [-x for t, x in zip(row.types, row.costs) if t != kind and not (t in DEPENDENT and vetoed(t, row, before, *state))]
-            before, state = kind, after(state, kind)
-            hard = any(t == kind and not soft for t, soft in zip(row.types, row.softs))
-            margin = score - max(other) if other else None
-            strength = 1.0 if hard else 0.92 if kind == "key_value" else 0.93 if kind in LEVEL and row.siblings > 1 else 0.70 if kind in LEVEL else 0.45
-            out.append((row.doc_id, row.pos, kind, score, margin, *review(score, margin, strength, kind, conflict, row.shape)))
-        return out
+        return [(r.doc_id, r.pos, *x, *r[3:]) for r, x in zip(rows, _decided_once([r.facts for r in rows]))]
 
-    return per_document(keep, run, "doc_id bigint, pos int, type string, score double, margin double, confidence double, level string, conflict boolean")
+    kept = "".join(f", {x.name} {x.dataType.simpleString()}" for x in keep.schema.fields[3:])
+    return per_document(keep, run, "doc_id bigint, pos int, type string, score double, margin double, confidence double, level string, conflict boolean" + kept)
 
 
 def review(score: float, margin: float | None, strength: float, kind: str, conflict: bool, shape: int) -> tuple[float, str, bool]:
@@ -387,17 +442,15 @@ LOW = 0.60
 
 def summary(paragraphs: DataFrame) -> DataFrame:
     """One row a document: its mode, how many paragraphs and candidates it has, what decided them, and how sure the decisions are."""
-    known = with_candidates(features(paragraphs)).select("doc_id", "mode", F.size("candidates").alias("n"), F.exists("candidates", lambda x: ~x["soft"]).alias("hard"), F.size(F.array_distinct(F.transform("candidates", lambda x: x["source"]))).alias("sources"))
-    a = known.groupBy("doc_id").agg(
+    found = with_candidates(features(paragraphs))
+    every = decided(found, mode=F.col("mode"), n=F.size("candidates"), hard=F.exists("candidates", lambda x: ~x["soft"]), sources=F.size(F.array_distinct(F.transform("candidates", lambda x: x["source"]))))
+    level = lambda x: F.count_if(F.col("level") == x).alias(x)
+    return every.groupBy("doc_id").agg(
         F.any_value("mode").alias("mode"), F.count("*").alias("paragraphs"), F.sum("n").alias("candidates"), F.max("n").alias("most_candidates"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") == 2).alias("double"), F.count_if(F.col("n") > 2).alias("more"),
         F.count_if("hard").alias("with_hard"), F.max("sources").alias("most_providers"),
-    )
-    level = lambda x: F.count_if(F.col("level") == x).alias(x)
-    b = decode(paragraphs).groupBy(F.col("doc_id").alias("d")).agg(
         *[level(x) for x in ("confirmed", "info", "review", "critical_review")], F.count_if(F.col("level").isin("review", "critical_review")).alias("needs_review"), F.count_if(F.col("confidence") < LOW).alias("low_confidence"), F.count_if("conflict").alias("conflicts"),
         F.count_if(F.col("type").startswith("heading_")).alias("headings"), F.count_distinct("type").alias("types"),
-    )
-    return a.join(b, F.col("doc_id") == F.col("d")).drop("d").withColumn("beam", F.lit(BEAM))
+    ).withColumn("beam", F.lit(BEAM))
 
 
 @query()

@@ -4,6 +4,10 @@ import itertools
 import random
 from collections import namedtuple
 
+from pyspark.sql import functions as F
+
+from quire.functions import kernels as K
+from quire.operators import context as C
 from quire.operators import decode as D
 
 Row = namedtuple("Row", "types costs softs before_body dispatch date colon note page metadata shape bold middle")
@@ -144,3 +148,32 @@ def test_a_style_decides_where_nothing_else_does(spark):
     f = D.with_candidates(D.features(spark.createDataFrame(rows, "doc_id long, pos int, text string, style string"))).collect()
     own = {r.pos: {x.type: -x.cost for x in r.candidates if x.source == "style"} for r in f}
     assert own == {0: {"heading_2": 0.40}, 1: {}, 2: {"heading_4": 0.40}, 3: {}}  # body is proposed more strongly than by its style
+
+
+def test_equal_documents_are_decoded_once(monkeypatch):
+    facts = ['{"mode":"unknown","types":["body"],"costs":[-0.5],"softs":[true],"before_body":true,"shape":0,"siblings":0}'] * 3
+    calls, own = [], D.beam
+    monkeypatch.setattr(D, "beam", lambda *a: calls.append(a) or own(*a))
+    D._KNOWN.clear()
+    assert D._decided_once(facts) == D._decided_once(list(facts)) == D._decided([D._read(facts[0])[1]] * 3)
+    assert len(calls) == 2  # once for both documents, once for the comparison
+    assert len(D._decided_once(facts[:2])) == 2
+    D._KNOWN.clear()
+    D._decided_once(facts * D.LONGEST)
+    assert not D._KNOWN  # long documents are not remembered
+
+
+def test_texts_are_dealt_before_they_are_read(spark):
+    one = spark.range(8).selectExpr("id % 4 as doc_id", "cast(id as int) as pos", "'一、总体要求' as text").coalesce(1)
+    plan = D.features(one)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
+def test_roles_and_colons_by_faster_ways(spark):
+    lines = ["", "市长", "县委书记兼", "主任、和", "长", "总经济师", "某总会计师，", "负责人及兼", "兼", "书记员", "代表和同志与", "同"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", C._ends_in_role(F.col("x")).alias("fast"), F.col("x").rlike(rf"(?:{C.ROLES})(?:[、，,/／&]|兼|及|和|与)*$").alias("plain")).collect()
+    assert [r.x for r in got if r.fast != r.plain] == [] and any(r.fast for r in got)
+    old = rf"(?:(?<!\p{{Nd}}{K._BLANK}{{0,64}})[:：]|[:：](?!{K._BLANK}*\p{{Nd}}))"
+    texts = ["", "9:30", "9 : 30", "时间：9:30", "9：甲", "甲：9", ":9", "9:", "9 : ", "一:9:甲", "9:9:9：", " ： "]
+    both = spark.createDataFrame([(x,) for x in texts], "x string").select("x", *[F.regexp_extract("x", f"(?s)^(.*?){p}", 0).alias(n) for n, p in (("fast", K._COLON), ("plain", old))]).collect()
+    assert [r.x for r in both if r.fast != r.plain] == []
