@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,29 +61,51 @@ _LINES_SQL = """segments as (select doc_id, pos, coalesce(sum(length(line) + 1)
   (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, length(text) as whole from documents))"""
 
 
+def _places(parts: pa.Array, text: pa.Array) -> pa.Array:
+    """Of every row array<struct(a, b, there)>: where its parts lie one behind the other, and what the text has there."""
+    sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = pc.utf8_length(parts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    ends, first = np.concatenate([[0], ends]), np.concatenate([[0], sizes.cumsum()])
+    base = np.repeat(ends[first[:-1]], sizes)
+    a, b = ends[:-1] - base, ends[1:] - base
+    there = (whole[x:y] for whole, i, j in zip((t.as_py() or "" for t in text), first, first[1:]) for x, y in zip(a[i:j].tolist(), b[i:j].tolist()))
+    rows = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(there, pa.string(), size=len(a))], ["a", "b", "there"])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows, mask=parts.is_null() if parts.null_count else None)
+
+
+def _places_of(parts: Column, text: Column) -> Column:
+    return F.arrow_udf(_places, "array<struct<a:bigint,b:bigint,there:string>>")(parts, text)
+
+
 def cursor(pieces: DataFrame, said: Column) -> DataFrame:
-    """Runs (doc_id, n, own) with the places (a, b) that a cursor over their lengths gives them; a run whose text is not what stands there is marked."""
-    end = F.sum(F.length("own")).over(W.partitionBy("doc_id").orderBy("n"))
-    placed = pieces.withColumn("b", end).withColumn("a", F.col("b") - F.length("own"))
-    return placed.withColumn("matches", said == F.substring(F.col("text"), (F.col("a") + 1).cast("int"), F.length("own"))).withColumn("shown", P.visible_length(F.col("own")) > 0)
+    """Runs (doc_id, n, own) of (doc_id, text, owns) with the places (a, b) that a cursor over their lengths gives them; a run whose text is not what stands there is marked.
+
+    A text is read in its own row, which holds all its runs: it is neither copied to them nor shuffled.
+    """
+    placed = pieces.withColumn("places", _places_of(F.col("owns"), F.col("text")))
+    rows = placed.select("doc_id", F.posexplode(F.arrays_zip("owns", "places")).alias("n", "x"))
+    rows = rows.select("doc_id", "n", F.col("x.owns").alias("own"), F.col("x.places.b").alias("b"), F.col("x.places.a").alias("a"), F.col("x.places.there").alias("there"))
+    return rows.withColumn("matches", said == F.col("there")).drop("there").withColumn("shown", P.visible_length(F.col("own")) > 0)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.split("text", r"\. ", -1)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pieces).alias("pieces"), F.posexplode(pieces).alias("n", "piece"))
-    d = d.select("doc_id", "text", "n", F.when(F.col("n") < F.col("pieces") - 1, F.concat("piece", F.lit(". "))).otherwise(F.col("piece")).alias("own"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.alias("p"))
+    d = d.select("doc_id", "text", F.transform("p", lambda x, i: F.when(i < F.size("p") - 1, F.concat(x, F.lit(". "))).otherwise(x)).alias("owns"))
     at, n = (F.col("n") + F.length("own")) % 3, F.col("n")
     size = F.get(F.array(*map(F.lit, SIZES)), at)
-    return cursor(d, F.when(n % 17 == 5, F.upper("own")).otherwise(F.col("own"))).drop("text").withColumns({
+    return cursor(d, F.when(n % 17 == 5, F.upper("own")).otherwise(F.col("own"))).withColumns({
         "font": F.get(F.array(*map(F.lit, FONTS)), at), "size": F.when(n % 5 != 4, size), "bold": F.length("own") % 4 == 0, "italic": n % 4 == 0, "explicit": n % 3 == 0, "known": F.length("own") % 7 != 0,
     })
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, s, e, whole): the lines of each text with their places and the text's length."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("whole"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    end = F.sum(F.length("line") + 1).over(W.partitionBy("doc_id").orderBy("pos")) - 1
-    return lines.select("doc_id", "pos", (end - F.length("line")).alias("s"), end.alias("e"), F.col("whole").cast("bigint").alias("whole"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("bigint").alias("whole"), F.split("text", "\n", -1).alias("l"))
+    # Every line but the last with its end, so that they lie one behind the other.
+    ended = F.transform("l", lambda x, i: F.when(i < F.size("l") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    rows = lines.select("doc_id", "whole", F.size("l").alias("n"), F.posexplode(F.transform(_places_of(ended, F.lit("")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).alias("pos", "x"))
+    return rows.select("doc_id", "pos", F.col("x.a").alias("s"), (F.col("x.b") - F.when(F.col("pos") < F.col("n") - 1, 1).otherwise(0)).alias("e"), "whole")
 
 
 @query(f"with {_RUNS_SQL} select doc_id, count(*) as runs, count_if(shown and matches)::bigint as kept, count_if(not matches)::bigint as mismatched, arg_min(font, n) filter (where shown) as first_font, arg_min(bold, n) filter (where shown) as first_bold from runs group by 1")

@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from quire.operators import intervals, spans
 
@@ -60,3 +61,21 @@ def test_no_visible_character_is_lost(spark):
     for t, found in zip(texts, plan(spark, texts, runs=runs)):
         assert spans.visible("".join(found)) == spans.visible(t), t
         assert all(x and not spans._INVISIBLE.match(x[0]) and not spans._INVISIBLE.match(x[-1]) for x in found)
+
+
+def test_runs_are_placed_in_their_own_row(spark):
+    texts = ["Eins. Zwei 😀. Drei.\nVier", "", None, "ab. ", "\n\nx. y\n", "no stop"]
+    pieces = spark.createDataFrame([(i, t, None if t is None else [*(p + ". " for p in t.split(". ")[:-1]), t.split(". ")[-1]]) for i, t in enumerate(texts)], "doc_id long, text string, owns array<string>").coalesce(1)
+    placed = intervals.cursor(pieces, F.when(F.col("n") == 1, F.upper("own")).otherwise(F.col("own")))
+    want = []
+    for r in pieces.collect():
+        at = 0
+        for n, own in enumerate(r["owns"] or ()):
+            said = own.upper() if n == 1 else own
+            want.append((r["doc_id"], n, own, at + len(own), at, said == r["text"][at : at + len(own)], bool(own.strip())))
+            at += len(own)
+    assert sorted(map(tuple, placed.collect())) == want
+    # No copy of a whole text goes with a run through a shuffle.
+    assert "text" not in placed.columns and "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    wrong = spark.createDataFrame([(1, "abc", ["ab", "x", "longer"])], "doc_id long, text string, owns array<string>")
+    assert [r["matches"] for r in intervals.cursor(wrong, F.col("own")).orderBy("n").collect()] == [True, False, False]
