@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard of 0.8 or more, the one with the smallest doc_id stays."""
-    return simhash.keep_one(docs, size=5, similarity=0.8)
+    """Of documents linked by fingerprints, or by a five-word Jaccard of 0.8 or more, the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

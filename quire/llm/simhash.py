@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import FREQUENT, SEED, bytes_of, components, materialize, survivors
+from .common import FREQUENT, SEED, bytes_of, components, materialize, sliced, survivors
 
 MAX_BITS, SEGMENT_BITS, BUCKET = 2, 32, 64
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     """(key, fp) of every row; fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
@@ -114,14 +114,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Classes (h, component) that join what either of two classes of the same h joins."""
+    a, edges = materialize(a), []
+    for c in (a, materialize(b)):
+        least = c.groupBy(F.col("component").alias("of")).agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
+        edges.append(c.join(least, F.col("component") == F.col("of")).select("h", "least"))
+    found = components(edges[0].union(edges[1]), "h", "least")
+    return a.select("h").join(found, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("component"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, similarity: float | None = None) -> DataFrame:
-    """One row of docs, all columns, for each component: of fingerprints within MAX_BITS, or of texts of a Jaccard similarity of their shingles.
+    """One row of docs, all columns, for each component of fingerprints within MAX_BITS.
 
-    Fingerprints of 64 bits cannot decide a similarity of 0.8: such texts differ in about ten bits, and balls of that size hold a
-    fixed share of all unlike texts. A given similarity is therefore found by bands of hashed minima (neardup) and verified.
+    A given similarity links more: texts whose sets of five-word shingles have that Jaccard similarity, and what either joins is one component.
+    Fingerprints of 64 bits alone cannot find all of them: at 0.8 such texts differ in about ten bits, and balls of that size hold a
+    fixed share of all unlike texts. Those links are found by bands of hashed minima (neardup) and verified.
     """
-    if similarity is not None:
-        return survivors(docs, neardup.classes(docs, text, size, similarity), text, key)
     prints = materialize(fingerprints(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")), "text", "h", size).distinct())
     found = components(links(prints.select("fp").distinct()))
-    return survivors(docs, prints.join(found, F.col("fp") == F.col("node"), "left").select("h", F.coalesce("component", "fp").alias("component")), text, key)
+    classes = prints.join(found, F.col("fp") == F.col("node"), "left").select("h", F.coalesce("component", "fp").alias("component"))
+    if similarity is not None:
+        classes = _joined(classes, neardup.classes(docs, text, least=similarity))
+    return survivors(docs, classes, text, key)

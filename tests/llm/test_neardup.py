@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from quire.llm import neardup
+from quire.llm.simhash import fingerprint
 
 
 @pytest.mark.parametrize("block", [512, 4])
@@ -30,3 +31,13 @@ def test_near_copies_of_ordinary_length_go(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == sorted(set(part)) and len(got) < 40
+
+
+def test_fingerprints_link_too(spark):
+    """op2's fingerprints take part: the first two texts have one, though they share few shingles."""
+    rng = random.Random(4)
+    own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(4)]
+    texts = ["red green blue " * 200 + own[0], "red green blue " * 200 + own[1], own[2], own[3], own[3] + " end"]
+    assert fingerprint(texts[0]) == fingerprint(texts[1]) and fingerprint(own[2]) != fingerprint(own[3])
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
