@@ -59,11 +59,12 @@ def repaired(df: DataFrame) -> DataFrame:
     begins = [mark]
     for k in range(1, 4):
         begins.append(begins[-1] | ((F.col("level") == k) & (known if k == 1 else F.lit(True))))
+    # Readable numbers of a level since the stretch's first row: the running count less what it was before the last such row.
+    # Counts only grow, so that is a maximum over the same rows, and one sort serves all levels.
     for k, b in enumerate(begins, 1):
-        df = df.withColumn(f"stretch{k}", F.sum(F.coalesce(b, F.lit(False)).cast("int")).over(order))
-    for k in range(1, 5):
-        own = W.partitionBy("doc_id", f"stretch{k}").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-        df = df.withColumn(f"n{k}", F.sum(F.when((F.col("level") == k) & known, 1).otherwise(0)).over(own))
+        one = F.when((F.col("level") == k) & known, 1).otherwise(0)
+        df = df.withColumn(f"n{k}", F.sum(one).over(order)).withColumn(f"before{k}", F.when(F.coalesce(b, F.lit(False)), F.col(f"n{k}") - one))
+    df = df.withColumns({f"n{k}": F.col(f"n{k}") - F.coalesce(F.max(f"before{k}").over(order), F.lit(0)) for k in range(1, 5)})
     df = df.withColumn("expected", F.when(known, F.coalesce(*[F.when(F.col("level") == k, F.col(f"n{k}")) for k in range(1, 5)])).cast("int"))
     n = F.col("expected")
     once = lambda old, new: F.when(F.instr(number, old) > 0, F.concat(F.substr(number, F.lit(1), F.instr(number, old) - 1), new, F.substr(number, F.instr(number, old) + F.length(old)))).otherwise(number)
