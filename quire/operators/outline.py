@@ -40,10 +40,11 @@ def counters(t, level="level"):
     for k in range(1, 5):
         # An island starts at every shallower heading; counting inside it resets the counter.
         out = out.withColumn(f"island{k}", F.sum(((F.col(level) > 0) & (F.col(level) < k)).cast("int")).over(upto()))
-    for k in range(1, 5):
-        own = W.partitionBy("doc_id", f"island{k}").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-        out = out.withColumn("abcd"[k - 1], F.sum((F.col(level) == k).cast("int")).over(own))
-    return out
+    # The running count of a level less what it was before the island's first row; counts only grow, so that is a maximum over the same rows and needs no sort of islands.
+    own = lambda k: (F.col(level) == k).cast("int")
+    out = out.withColumns({f"all{k}": F.sum(own(k)).over(upto()) for k in range(1, 5)})
+    out = out.withColumns({"abcd"[k - 1]: F.col(f"all{k}") - F.coalesce(F.max(F.when((F.col(level) > 0) & (F.col(level) < k), F.col(f"all{k}"))).over(upto()), F.lit(0)) for k in range(1, 5)})
+    return out.drop(*[f"all{k}" for k in range(1, 5)])
 
 
 _ISLANDS = ", ".join(f"sum(case when level > 0 and level < {k} then 1 else 0 end) over (partition by doc_id order by pos) as i{k}" for k in range(1, 5))
