@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.spans import PARAGRAPHS, RUNS, piece
+from quire.operators.spans import PARAGRAPHS, RUNS, piece, spots
 from quire.plans.registry import query
 from quire.sources.tables import table
 
@@ -30,8 +30,7 @@ def matches(text: Column, changes) -> Column:
     """Sorted array of struct(start, end, new): where each text of changes (old, new) stands; the old ones do not overlap."""
     found = []
     for old, new in changes:
-        spots = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(len(old))) == old)
-        found.append(F.transform(spots, lambda i: F.struct((i - 1).cast("int").alias("start"), (i - 1 + len(old)).cast("int").alias("end"), F.lit(new).alias("new"))))
+        found.append(F.transform(spots(text, old), lambda i: F.struct(i.cast("int").alias("start"), (i + len(old)).cast("int").alias("end"), F.lit(new).alias("new"))))
     return F.array_sort(F.concat(*found))
 
 
@@ -57,8 +56,8 @@ def spliced(node: Column, edits: Column) -> Column:
         kept = piece(text, acc["at"] - a, F.greatest(e["start"], a) - a)
         return F.struct(F.least(e["end"], b).alias("at"), F.concat(acc["out"], kept, F.when(e["start"] >= a, e["new"]).otherwise("")).alias("out"))
 
-    done = F.aggregate(own, zero, step)
-    return F.concat(done["out"], piece(text, done["at"] - a, b - a))
+    rest = lambda done: F.concat(done["out"], piece(text, done["at"] - a, b - a))
+    return F.aggregate(own, zero, step, rest)
 
 
 def with_edits(paragraphs: DataFrame, edits, **scope: bool) -> DataFrame:

@@ -1,6 +1,8 @@
 """Plans whose memory must not grow with the number of levels or names: one sort serves all running counts."""
 
-from quire.operators import normalization, outline, packages
+from pyspark.sql import functions as F
+
+from quire.operators import normalization, outline, packages, rope, spans
 
 
 def plan(df) -> str:
@@ -30,3 +32,13 @@ def test_needed_parts_are_no_distinct_count(spark, tmp_path):
     spark.createDataFrame([(1, i, 10 + i, 5.0) for i in range(1, 4)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = packages.archive_verdict(spark, str(tmp_path))
     assert [(r["members"], r["rule"]) for r in out.collect()] == [(3, None)] and "distinct" not in plan(out)
+
+
+def test_places_are_searched_not_looked_at_one_by_one(spark):
+    texts = ["", "。", "a。b。。", "无", "各部门要各部门要。😀各部门要"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    for old in ("。", "各部门要"):
+        got = t.select("t", spans.spots(F.col("t"), old).alias("s"), rope.matches(F.col("t"), [(old, "x")]).alias("m")).collect()
+        want = {x: [i for i in range(len(x)) if x.startswith(old, i)] for x in texts}
+        assert {r["t"]: r["s"] for r in got} == want
+        assert {r["t"]: [(m["start"], m["end"]) for m in r["m"]] for r in got} == {x: [(i, i + len(old)) for i in s] for x, s in want.items()}
