@@ -51,7 +51,8 @@ def bad_digest(value: Column, required: bool = False) -> Column:
 
 def json_part(value: Column, text: bool = True) -> Column:
     """A value as it stands in a JSON array; text: quoted and escaped."""
-    quoted = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "") if text else value.cast("string")
+    # Most texts need no escapes.
+    quoted = F.when(value.rlike(r'["\\\x00-\x1f]'), F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")).otherwise(F.concat(F.lit('"'), value, F.lit('"'))) if text else value.cast("string")
     return F.when(value.isNull(), "null").otherwise(quoted)
 
 
@@ -73,24 +74,33 @@ def span_issues(span: Column, path: Column, coordinate: str, code: str, most: Co
     return found + ([] if most is None else [issue(~open_ & ~wrong & (b > most), code, path, "span_out_of_bounds")])
 
 
-def parsed(records: DataFrame, schema: str, code: str) -> tuple[DataFrame, DataFrame]:
-    """records (id, json) with the record r and its root fields, and the issue rows of those that are no JSON object or have another schema version."""
-    df = records.withColumn("r", F.from_json("json", schema)).withColumn("fields", F.json_object_keys("json"))
-    broken = df.where(F.col("fields").isNull()).select("id", F.lit(code).alias("code"), F.lit("$").alias("path"), F.lit("no_object").alias("reason"))
-    return df.where(F.col("fields").isNotNull()).drop("json"), broken
+def checked(records: DataFrame, schema: str, code: str, root: list[Column], lists: dict[str, tuple[Column, list[Column]]], carried: dict[str, Column], steps: dict[str, Column]) -> DataFrame:
+    """(id, code, path, reason) of every issue of records (id, json), each of which is parsed once: a row for the record itself and one for each element of its lists.
 
-
-def unknown_fields(df: DataFrame, schema: str, code: str) -> DataFrame:
-    """Issue rows of root fields that the schema does not know."""
-    spark = df.sparkSession
+    root: issues of the record r. lists: a list of r and the issues of an element, which is the column of the list's name, at place i. carried: columns
+    of r that the elements need; steps: columns that follow from an element, each used more than once. A text that is no JSON object has that one issue.
+    """
+    spark = records.sparkSession
     known = [f.name for f in spark.createDataFrame([], f"r {schema}").schema["r"].dataType.fields]
-    rows = df.select("id", F.explode(F.array_except("fields", F.array(*map(F.lit, known)))).alias("field"))
-    return rows.select("id", F.lit(code).alias("code"), F.concat(F.lit("$."), F.col("field")).alias("path"), F.lit("unknown_field").alias("reason"))
-
-
-def told(df: DataFrame, found: list[Column]) -> DataFrame:
-    """(id, code, path, reason): a row for each issue of a row."""
-    return df.select("id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("id", "i.code", "i.path", "i.reason")
+    df = records.select("id", F.from_json("json", schema).alias("r"), F.json_object_keys("json").alias("fields"))
+    of = {name: df.select(values.alias("x")).schema["x"].dataType.elementType for name, (values, _) in lists.items()}
+    one = lambda i, **given: F.struct(F.lit(next(iter(given), None)).cast("string").alias("kind"), i.cast("int").alias("i"), *[given.get(name, F.lit(None).cast(kind)).alias(name) for name, kind in of.items()])
+    own = F.array(one(F.lit(-1)))
+    no_object = F.array(F.struct(F.lit(code).alias("code"), F.lit("$").alias("path"), F.lit("no_object").alias("reason"))).cast(ISSUE)
+    unknown = F.transform(F.array_except("fields", F.array(*map(F.lit, known))), lambda f: F.struct(F.lit(code).alias("code"), F.concat(F.lit("$."), f).alias("path"), F.lit("unknown_field").alias("reason")))
+    each = lambda name: lambda x, i: one(i, **{name: x})
+    listed = [F.coalesce(F.transform(values, each(name)), F.slice(own, 1, 0)) for name, (values, _) in lists.items()]
+    object_ = F.col("fields").isNotNull()
+    df = df.select("id", *[v.alias(k) for k, v in carried.items()], F.when(object_, F.concat(unknown, F.array(*root))).otherwise(no_object).alias("root"), F.when(object_, F.concat(own, *listed)).otherwise(own).alias("elements"))
+    # Of an outer explode the optimizer infers no filter on its input, which would parse the record once more.
+    rows = df.select("id", *carried, "root", F.explode_outer("elements").alias("e")).select("id", *carried, "root", "e.*")
+    for name, value in steps.items():
+        rows = rows.withColumn(name, value)
+    # A projection with a lambda is compiled in small pieces; as one piece the issues of a block are too large for the JVM to compile.
+    found = F.when(F.col("kind").isNull(), F.array_compact("root"))
+    for name, (_, issues) in lists.items():
+        found = found.when(F.col("kind") == name, F.array(*issues))
+    return rows.select("id", found.alias("found")).select("id", F.explode_outer("found").alias("x")).where(F.col("x").isNotNull()).select("id", "x.code", "x.path", "x.reason")
 
 
 def versions(r: Column, schema: str, code: str, nested: bool) -> list[Column]:
@@ -107,22 +117,20 @@ def versions(r: Column, schema: str, code: str, nested: bool) -> list[Column]:
 
 def plan_issues(records: DataFrame) -> DataFrame:
     """(id, code, path, reason) of every issue of recognition plans (id, json)."""
-    df, broken = parsed(records, PLAN_SCHEMA, PLAN_CODE)
     r = F.col("r")
     s, n = json_part, lambda x: json_part(x, False)
     own = stable_id("plan", *[s(x) for x in (r["source"]["sha256"], r["integration_contract_version"], r["schema_version"], r["producer"]["engine_version"], r["producer"]["package_version"], r["contracts"]["source_locator_version"], r["contracts"]["host_text_contract_version"], F.lit(OFFSETS), r["recognition"]["processing_mode"], r["recognition"]["recognition_mode"], F.coalesce(r["recognition"]["request_digest"], F.lit("")))])
-    root = told(df, [*versions(r, PLAN, PLAN_CODE, True), issue(bad_digest(r["source"]["sha256"], True), PLAN_CODE, "$.source.sha256", "invalid_sha256"), issue(~r["plan_id"].eqNullSafe(own), PLAN_CODE, "$.plan_id", "stable_id_mismatch")])
+    root = [*versions(r, PLAN, PLAN_CODE, True), issue(bad_digest(r["source"]["sha256"], True), PLAN_CODE, "$.source.sha256", "invalid_sha256"), issue(~r["plan_id"].eqNullSafe(own), PLAN_CODE, "$.plan_id", "stable_id_mismatch")]
 
-    rows = df.select("id", r["plan_id"].alias("plan_id"), r["source"].alias("source"), F.transform(r["blocks"], lambda b: b["block_id"]).alias("ids"), F.transform(r["blocks"], lambda b: b["block_index"]).alias("indexes"), F.posexplode(r["blocks"]).alias("i", "b"))
+    carried = {"plan_id": r["plan_id"], "source": r["source"], "ids": F.transform(r["blocks"], lambda b: b["block_id"]), "indexes": F.transform(r["blocks"], lambda b: b["block_index"])}
     b, i = F.col("b"), F.col("i")
     loc, seg, path = b["source_locator"], b["segment"], F.concat(F.lit("$.blocks["), F.col("i").cast("string"), F.lit("]"))
     group = stable_id("pg", s(F.col("plan_id")), n(loc["physical_paragraph_index"]), n(loc["physical_occurrence_index"]), s(loc["physical_raw_text_sha256"]), F.when(loc["physical_paragraph_index"].isNull(), n(b["block_index"])))
-    rows = rows.withColumn("group", group)
     block = stable_id("blk", s(F.col("plan_id")), s(F.col("group")), n(seg["index"]), s(loc["raw_fragment_sha256"]), s(loc["canonical_fragment_sha256"]), s(b["semantic"]["type_id"]))
     at = lambda x: F.concat(path, F.lit(x))
     found = [
         issue(F.array_position("ids", b["block_id"]) <= i, PLAN_CODE, at(".block_id"), "duplicate_id"), issue(F.array_position("indexes", b["block_index"]) <= i, PLAN_CODE, at(".block_index"), "duplicate_index"),
-        issue(~b["physical_group_id"].eqNullSafe(F.col("group")), PLAN_CODE, at(".physical_group_id"), "stable_id_mismatch"), issue(~b["block_id"].eqNullSafe(block), PLAN_CODE, at(".block_id"), "stable_id_mismatch"),
+        issue(~b["physical_group_id"].eqNullSafe(F.col("group")), PLAN_CODE, at(".physical_group_id"), "stable_id_mismatch"), issue(~b["block_id"].eqNullSafe(F.col("block")), PLAN_CODE, at(".block_id"), "stable_id_mismatch"),
         *span_issues(loc["raw_span"], at(".source_locator.raw_span"), "source_raw_text", PLAN_CODE, loc["physical_text_length_utf16"]),
         *span_issues(loc["canonical_span"], at(".source_locator.canonical_span"), "source_canonical_text", PLAN_CODE, loc["physical_canonical_text_length_utf16"]),
         *[issue(bad_digest(loc[d]), PLAN_CODE, at(f".source_locator.{d}"), "invalid_sha256") for d in _DIGESTS],
@@ -131,27 +139,24 @@ def plan_issues(records: DataFrame) -> DataFrame:
         issue(~F.col("source")["text_included"] & b["text"]["recognized_text"].isNotNull(), "PRIVACY_POLICY_VIOLATION", at(".text.recognized_text")),
         issue(~F.col("source")["raw_text_included"] & b["text"]["raw_fragment_text"].isNotNull(), "PRIVACY_POLICY_VIOLATION", at(".text.raw_fragment_text")),
     ]
-    reviews = df.select("id", F.transform(r["blocks"], lambda b: b["block_id"]).alias("ids"), F.transform(r["blocks"], lambda b: b["block_index"]).alias("indexes"), F.posexplode(r["review_items"]).alias("i", "v"))
     v, named = F.col("v"), F.coalesce(F.col("v.block_id"), F.lit("")) != ""
     review = lambda x: F.concat(F.lit("$.review_items["), F.col("i").cast("string"), F.lit("]" + x))
     asked = [issue(named & ~F.array_contains("ids", v["block_id"]), PLAN_CODE, review(".block_id"), "unknown_block_id"), issue(~named & ~F.coalesce(F.array_contains("indexes", v["block_index"]), F.lit(False)), PLAN_CODE, review(".block_index"), "unknown_block_index")]
-    return broken.union(unknown_fields(df, PLAN_SCHEMA, PLAN_CODE)).union(root).union(told(rows, found)).union(told(reviews, asked))
+    of_block = lambda x: F.when(F.col("kind") == "b", x)
+    return checked(records, PLAN_SCHEMA, PLAN_CODE, root, {"b": (r["blocks"], found), "v": (r["review_items"], asked)}, carried, {"group": of_block(group), "block": of_block(block)})
 
 
 def snapshot_issues(records: DataFrame) -> DataFrame:
     """(id, code, path, reason) of every issue of host snapshots (id, json)."""
-    df, broken = parsed(records, SNAPSHOT_SCHEMA, SNAPSHOT_CODE)
     r = F.col("r")
     part = lambda n: F.transform(r["paragraphs"], lambda p: p[n])
-    rows = df.select("id", part("host_paragraph_id").alias("ids"), part("host_paragraph_index").alias("indexes"), F.posexplode(r["paragraphs"]).alias("i", "p"))
     at = lambda x: F.concat(F.lit("$.paragraphs["), F.col("i").cast("string"), F.lit("]" + x))
     found = [issue(F.array_position("ids", F.col("p.host_paragraph_id")) <= F.col("i"), SNAPSHOT_CODE, at(".host_paragraph_id"), "duplicate_id"), issue(F.array_position("indexes", F.col("p.host_paragraph_index")) <= F.col("i"), SNAPSHOT_CODE, at(".host_paragraph_index"), "duplicate_index")]
-    return broken.union(unknown_fields(df, SNAPSHOT_SCHEMA, SNAPSHOT_CODE)).union(told(df, versions(r, SNAPSHOT, SNAPSHOT_CODE, False))).union(told(rows, found))
+    return checked(records, SNAPSHOT_SCHEMA, SNAPSHOT_CODE, versions(r, SNAPSHOT, SNAPSHOT_CODE, False), {"p": (r["paragraphs"], found)}, {"ids": part("host_paragraph_id"), "indexes": part("host_paragraph_index")}, {})
 
 
 def binding_issues(records: DataFrame) -> DataFrame:
     """(id, code, path, reason) of every issue of bindings (id, json): groups, actions, targets and the counts of the summary."""
-    df, broken = parsed(records, BINDING_SCHEMA, BINDING_CODE)
     r = F.col("r")
     groups, blocks = r["physical_paragraphs"], r["blocks"]
     count = lambda status: F.size(F.filter(blocks, lambda b: b["binding"]["status"] == status))
@@ -163,16 +168,15 @@ def binding_issues(records: DataFrame) -> DataFrame:
 
     whole = F.size(F.filter(groups, complete))
     counted = {"total_blocks": F.size(blocks), **{f"{s}_blocks": count(s) for s in ACTIONS}, "complete_physical_groups": whole, "incomplete_physical_groups": F.size(groups) - whole}
-    root = told(df, [*versions(r, BINDING, BINDING_CODE, True), issue(bad_digest(r["source_sha256"], True), BINDING_CODE, "$.source_sha256", "invalid_sha256"), *[issue(~r["summary"][k].eqNullSafe(v.cast("bigint")), BINDING_CODE, f"$.summary.{k}") for k, v in counted.items()]])
+    root = [*versions(r, BINDING, BINDING_CODE, True), issue(bad_digest(r["source_sha256"], True), BINDING_CODE, "$.source_sha256", "invalid_sha256"), *[issue(~r["summary"][k].eqNullSafe(v.cast("bigint")), BINDING_CODE, f"$.summary.{k}") for k, v in counted.items()]]
     part = F.transform(groups, lambda g: g["physical_group_id"])
-    physical = df.select("id", part.alias("ids"), F.posexplode(groups).alias("i", "g"))
     at = lambda where: lambda x: F.concat(F.lit(f"$.{where}["), F.col("i").cast("string"), F.lit("]" + x))
     here, g = at("physical_paragraphs"), F.col("g")
     lacks = lambda x: F.coalesce(x, F.lit("")) == ""
-    of_groups = [issue((g["physical_group_id"] != "") & (F.array_position("ids", g["physical_group_id"]) <= F.col("i")), BINDING_CODE, here(".physical_group_id"), "duplicate_id"), issue(F.array_contains(settled, g["status"]) & lacks(g["host_paragraph_id"]), BINDING_CODE, here(".host_paragraph_id"), "missing_host_reference")]
-    rows = df.select("id", part.alias("groups"), groups.alias("all"), F.transform(blocks, lambda b: b["block_id"]).alias("ids"), F.posexplode(blocks).alias("i", "b"))
+    of_groups = [issue((g["physical_group_id"] != "") & (F.array_position("groups", g["physical_group_id"]) <= F.col("i")), BINDING_CODE, here(".physical_group_id"), "duplicate_id"), issue(F.array_contains(settled, g["status"]) & lacks(g["host_paragraph_id"]), BINDING_CODE, here(".host_paragraph_id"), "missing_host_reference")]
+    carried = {"groups": part, "all": groups, "ids": F.transform(blocks, lambda b: b["block_id"])}
     # Of groups with one id the last counts.
-    rows = rows.withColumn("host", F.element_at(F.concat(F.array(F.lit(None).cast("struct<physical_group_id:string,status:string,host_paragraph_id:string>")), F.filter("all", lambda x: x["physical_group_id"] == F.col("b.physical_group_id"))), -1))
+    host = F.element_at(F.concat(F.array(F.lit(None).cast("struct<physical_group_id:string,status:string,host_paragraph_id:string>")), F.filter("all", lambda x: x["physical_group_id"] == F.col("b.physical_group_id"))), -1)
     b, status, target, there = F.col("b"), F.col("b.binding.status"), F.col("b.host_target"), at("blocks")
     expected = F.when(status == "confirmed", ACTIONS["confirmed"]).when(status == "review", ACTIONS["review"]).when(status == "unresolved", ACTIONS["unresolved"])
     confirmed, unresolved = status == "confirmed", status == "unresolved"
@@ -186,7 +190,7 @@ def binding_issues(records: DataFrame) -> DataFrame:
         issue(unresolved & (target["host_paragraph_id"].isNotNull() | target["raw_span"]["start"].isNotNull() | target["raw_span"]["end"].isNotNull()), BINDING_CODE, there(".host_target"), "unresolved_executable_target"),
         *[F.when(status.isin(*ACTIONS), x) for x in spans], issue(needed & target["raw_span"]["start"].isNull() & target["raw_span"]["end"].isNull(), BINDING_CODE, there(".host_target.raw_span"), "incomplete_span"),
     ]
-    return broken.union(unknown_fields(df, BINDING_SCHEMA, BINDING_CODE)).union(root).union(told(physical, of_groups)).union(told(rows, of_blocks))
+    return checked(records, BINDING_SCHEMA, BINDING_CODE, root, {"g": (groups, of_groups), "b": (blocks, of_blocks)}, carried, {"host": F.when(F.col("kind") == "b", host)})
 
 
 # Derived records: an order is a record, its lines are the blocks; the keys decide what is wrong.

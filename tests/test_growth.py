@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import normalization, outline, packages, rope, spans
+from quire.operators import contracts, normalization, outline, packages, rope, spans
 
 
 def plan(df) -> str:
@@ -42,3 +42,21 @@ def test_places_are_searched_not_looked_at_one_by_one(spark):
         want = {x: [i for i in range(len(x)) if x.startswith(old, i)] for x in texts}
         assert {r["t"]: r["s"] for r in got} == want
         assert {r["t"]: [(m["start"], m["end"]) for m in r["m"]] for r in got} == {x: [(i, i + len(old)) for i in s] for x, s in want.items()}
+
+
+def test_contract_records_are_parsed_once(spark):
+    rows = [(1, "[1"), (2, "{}"), (3, '{"blocks": null, "extra": 1, "paragraphs": [null, {"host_paragraph_id": "p"}, {"host_paragraph_id": "p"}]}'), (4, '{"blocks": [{"block_id": "b\\"1"}, null, {"block_id": "b\\"1"}], "review_items": [{"block_id": "none"}]}'), (5, None)]
+    records = spark.createDataFrame(rows, "id long, json string").repartition(1)
+    for check in (contracts.plan_issues, contracts.snapshot_issues, contracts.binding_issues):
+        assert plan(check(records)).count("from_json(") == 1
+    found = {(r["id"], r["path"], r["reason"]) for r in contracts.plan_issues(records).collect()}
+    assert {(1, "$", "no_object"), (5, "$", "no_object"), (3, "$.extra", "unknown_field"), (4, "$.blocks[2].block_id", "duplicate_id"), (4, "$.blocks[1].physical_group_id", "stable_id_mismatch")} <= found
+    assert not any(i in (1, 5) and p != "$" for i, p, _ in found) and not any(i in (2, 3) and "[" in p for i, p, _ in found)
+    of_snapshots = {(r["id"], r["path"], r["reason"]) for r in contracts.snapshot_issues(records).collect() if r["reason"]}
+    assert of_snapshots >= {(3, "$.paragraphs[2].host_paragraph_id", "duplicate_id"), (3, "$.blocks", "unknown_field")} and (3, "$.paragraphs[1].host_paragraph_id", "duplicate_id") not in of_snapshots
+
+
+def test_json_parts_are_quoted_like_json(spark):
+    texts = ["", "abc", 'a"b', "a\\b", "a\nb\t\x01", "[中]/😀", "x \x7f", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", contracts.json_part(F.col("t")).alias("j"), F.to_json(F.array("t")).alias("whole")).collect()
+    assert all(f"[{r['j']}]" == r["whole"] for r in got)
