@@ -1,8 +1,10 @@
 """Plans whose memory must not grow with the number of levels or names: one sort serves all running counts."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from quire.operators import contracts, normalization, outline, packages, rope, spans
+from quire.operators import contracts, normalization, outline, packages, parts, rope, spans
 
 
 def plan(df) -> str:
@@ -60,3 +62,30 @@ def test_json_parts_are_quoted_like_json(spark):
     texts = ["", "abc", 'a"b', "a\\b", "a\nb\t\x01", "[中]/😀", "x \x7f", None]
     got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", contracts.json_part(F.col("t")).alias("j"), F.to_json(F.array("t")).alias("whole")).collect()
     assert all(f"[{r['j']}]" == r["whole"] for r in got)
+
+
+def test_formats_beside_a_place(spark):
+    """Against a look at every character; runs may overlap, leave gaps and end behind the text."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = "".join(rng.choice("ab。 \n​　😀") for _ in range(rng.randint(0, 9)))
+        runs = [(rng.randint(0, 8), rng.randint(0, 11), rng.random() < 0.5, rng.choice((14, 15, None)), rng.choice(("", "x", "y"))) for _ in range(rng.randint(0, 4))]
+        rows.append((i, text, rng.randint(0, len(text)), runs))
+    df = spark.createDataFrame(rows, "id int, text string, at int, runs array<struct<start:int,end:int,bold:boolean,size:int,font:string>>")
+    low = lambda x: (x[2], x[3] is not None, x[3] or 0, x[4])
+
+    def near(text, runs, places):
+        return next((min(own, key=low) for p in places if spans.visible(text[p]) for own in [[r for r in runs if r[0] <= p < r[1]]] if own), None)
+
+    plain = ~F.col("text").rlike(spans.INVISIBLE)
+    got = df.select("id", spans.differs(F.col("text"), F.col("runs"), F.lit(0), F.col("at"), F.length("text")).alias("d"), spans.bold_share(F.col("text"), F.col("runs"), F.lit(0), F.col("at"), plain).alias("s")).collect()
+    for r in got:
+        _, text, at, runs = rows[r["id"]]
+        a, b = near(text, runs, range(at - 1, -1, -1)), near(text, runs, range(at, len(text)))
+        assert r["d"] == (a is not None and b is not None and (a[2] != b[2] or (a[3] is not None and b[3] is not None and a[3] >= b[3] + 1) or (a[4] != "" and b[4] != "" and a[4] != b[4]))), rows[r["id"]]
+        sums = [(spans.visible(text[max(0, x[0]) : min(at, x[1])]) if x[0] < min(at, x[1]) else 0, x[2]) for x in runs]
+        whole = sum(n for n, _ in sums)
+        assert r["s"] == (sum(n for n, bold in sums if bold) / whole if whole else 0.0), rows[r["id"]]
+    # Only where no run holds the nearest visible character, runs are looked through by their texts.
+    assert plan(df.select(spans.differs(F.col("text"), F.col("runs"), F.lit(0), F.col("at"), F.length("text")))).count("trim(") >= 2
