@@ -15,7 +15,7 @@ from quire.sources.tables import table
 
 RELATIONSHIPS = "struct<Relationship:array<struct<_Id:string,_Type:string,_Target:string,_TargetMode:string>>>"
 BLOCK = r"(?s)<w:tbl>.*?</w:tbl>|<w:sectPr\b.*?</w:sectPr>|<w:p>.*?</w:p>"
-TOKEN = r'(?s)<w:t(?: [^>]*)?>[^<]*</w:t>|<w:tab/>|<w:br w:type="page"/>|<w:br/>'
+TOKEN = r'<w:t(?: [^>]*)?>([^<]*)</w:t>|(<w:tab/>|<w:br w:type="page"/>|<w:br/>)'
 MARKS = {"half": "[,.;:?!]", "wide": "[，。；：？！]", "quotes": "[\"“”'‘’]"}
 
 
@@ -37,22 +37,27 @@ def blocks(parts: DataFrame) -> DataFrame:
     """(doc_id, at, kind, xml): the blocks of each body in order: p, tbl, sectPr. parts: (doc_id, document)."""
     xml = F.col("xml")
     kind = F.when(xml.startswith("<w:tbl"), "tbl").when(xml.startswith("<w:sectPr"), "sectPr").otherwise("p")
-    return parts.select("doc_id", F.posexplode(F.regexp_extract_all("document", F.lit(BLOCK), F.lit(0))).alias("at", "xml")).select("doc_id", "at", kind.alias("kind"), "xml")
+    # Of an inner explode the optimizer infers a filter on its input, for which the body would be searched once more.
+    found = parts.select("doc_id", F.posexplode_outer(F.regexp_extract_all("document", F.lit(BLOCK), F.lit(0))).alias("at", "xml")).where("at is not null")
+    return found.select("doc_id", "at", kind.alias("kind"), "xml")
 
 
-def tokens(xml: Column) -> Column:
-    """array of struct(kind, text): what a paragraph shows, in order. Texts beside each other are one."""
-    said = lambda x: unescaped(F.regexp_replace(x, "^<w:t(?: [^>]*)?>|</w:t>$", ""))
-    one = lambda x: F.when(x.startswith("<w:tab"), F.struct(F.lit("tab").alias("kind"), F.lit("\t").alias("text"))).when(x.contains("page"), F.struct(F.lit("page_break").alias("kind"), F.lit("").alias("text"))).when(x.startswith("<w:br"), F.struct(F.lit("line_break").alias("kind"), F.lit("\n").alias("text"))).otherwise(F.struct(F.lit("text").alias("kind"), said(x).alias("text")))
-    found = F.filter(F.transform(F.regexp_extract_all(xml, F.lit(TOKEN), F.lit(0)), one), lambda x: (x["kind"] != "text") | (x["text"] != ""))
-    zero = F.array().cast("array<struct<kind:string,text:string>>")
+def pieces(xml: Column) -> Column:
+    """array of what a paragraph shows, in order: texts, still escaped, and the elements of tabs and breaks. All else goes first, so texts beside each other are one."""
+    return F.regexp_extract_all(F.regexp_replace(xml, rf"{TOKEN}|[^<]+|<[^<]*", "$1$2"), F.lit("[^<]+|<[^>]*>"), F.lit(0))
+
+
+def kind_of(piece: Column) -> Column:
+    return F.when(~piece.startswith("<"), "text").when(piece == "<w:tab/>", "tab").when(piece == "<w:br/>", "line_break").otherwise("page_break")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.lit("text").alias("kind"), F.concat(last["text"], x["text"]).alias("text"))))
-        return F.when((last["kind"] == "text") & (x["kind"] == "text"), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(found, zero, step)
+def text_of(piece: Column) -> Column:
+    return F.when(~piece.startswith("<"), unescaped(piece)).when(piece == "<w:tab/>", "\t").when(piece == "<w:br/>", "\n").otherwise("")
+
+
+def tokens(xml: Column) -> Column:
+    """array of struct(kind, text): what a paragraph shows, in order. Texts beside each other are one."""
+    return F.transform(pieces(xml), lambda x: F.struct(kind_of(x).alias("kind"), text_of(x).alias("text")))
 
 
 def relationships(parts: DataFrame) -> DataFrame:
@@ -110,7 +115,8 @@ select doc_id, spot::integer as "at", n::integer as n, kind, text from a""")
 def inline_tokens(spark, sf_dir):
     """Tokens of every paragraph outside tables: texts, tabs, line and page breaks."""
     p = blocks(packages(spark, sf_dir)).where("kind = 'p'")
-    return p.select("doc_id", "at", F.posexplode(tokens(F.col("xml"))).alias("n", "t")).select("doc_id", "at", "n", "t.kind", "t.text")
+    t = p.select("doc_id", "at", F.posexplode_outer(pieces(F.col("xml"))).alias("n", "piece")).where("n is not null")
+    return t.select("doc_id", "at", "n", kind_of(F.col("piece")).alias("kind"), text_of(F.col("piece")).alias("text"))
 
 
 @query(f"with f as ({_FACTS}) select doc_id, 'rId' || para as id, case when q % 5 = 0 then 'hyperlink' else 'header' end as type, case when q % 7 > 1 then 'header' || q || '.xml' end as target, q % 5 = 0 as external from f")

@@ -64,6 +64,17 @@ def test_json_parts_are_quoted_like_json(spark):
     assert all(f"[{r['j']}]" == r["whole"] for r in got)
 
 
+def test_tokens_are_found_once(spark):
+    xml = '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">a page &lt;b&gt;</w:t></w:r><w:r><w:t></w:t><w:t>c > d &amp;lt;</w:t><w:tab/><w:br/><w:br w:type="x"/></w:r><w:r><w:t>\n</w:t><w:br w:type="page"/></w:r></w:p>'
+    want = [("text", "a page <b>c > d &lt;"), ("tab", "\t"), ("line_break", "\n"), ("text", "\n"), ("page_break", "")]
+    t = spark.createDataFrame([(1, xml), (2, "<w:p></w:p>"), (3, None), (4, "")], "id long, x string").repartition(1)
+    got = {r["id"]: r["t"] and [tuple(x) for x in r["t"]] for r in t.select("id", parts.tokens(F.col("x")).alias("t")).collect()}
+    assert got == {1: want, 2: [], 3: None, 4: []}
+    b = parts.blocks(t.select(F.col("id").alias("doc_id"), F.col("x").alias("document")))
+    assert [(r["doc_id"], r["at"], r["kind"]) for r in b.orderBy("doc_id").collect()] == [(1, 0, "p"), (2, 0, "p")]
+    assert plan(b).count("regexp_extract_all") == 1
+
+
 def test_formats_beside_a_place(spark):
     """Against a look at every character; runs may overlap, leave gaps and end behind the text."""
     rng = random.Random(3)
