@@ -2,8 +2,10 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quire.functions import kernels
 from quire.operators import contracts, normalization, outline, packages, parts, rope, spans
 
 
@@ -100,3 +102,14 @@ def test_formats_beside_a_place(spark):
         assert r["s"] == (sum(n for n, bold in sums if bold) / whole if whole else 0.0), rows[r["id"]]
     # Only where no run holds the nearest visible character, runs are looked through by their texts.
     assert plan(df.select(spans.differs(F.col("text"), F.col("runs"), F.lit(0), F.col("at"), F.length("text")))).count("trim(") >= 2
+
+
+def test_workers_hold_few_texts_at_once(spark):
+    seen = kernels._kernel("n int, t string")(lambda texts: pd.DataFrame({"n": len(texts), "t": texts}))
+    texts = [None if i % 7 == 0 else f"ａ  {i} " for i in range(500)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").coalesce(1)
+    got = df.select(seen(F.col("t")).alias("s"), "t").collect()
+    assert max(r["s"]["n"] for r in got) == kernels.HELD and [r["s"]["t"] for r in got] == texts
+    both = df.select(kernels.normalized(F.col("t")).alias("n"), F.sha2(kernels.normalize_text(F.col("t")), 256).alias("d"), kernels.width_of(F.col("t")).alias("w")).collect()
+    assert all((r["n"]["text_sha256"], r["n"]["width"]) == (r["d"], r["w"]) for r in both) and both[0]["d"] is None and both[0]["w"] == 0
+    assert df.limit(0).select(kernels.normalized(F.col("t"))).collect() == []
