@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import kernels
-from quire.operators import contracts, normalization, outline, packages, parts, rope, spans
+from quire.operators import context, contracts, normalization, outline, packages, parts, rope, spans
 
 
 def plan(df) -> str:
@@ -113,3 +113,11 @@ def test_workers_hold_few_texts_at_once(spark):
     both = df.select(kernels.normalized(F.col("t")).alias("n"), F.sha2(kernels.normalize_text(F.col("t")), 256).alias("d"), kernels.width_of(F.col("t")).alias("w")).collect()
     assert all((r["n"]["text_sha256"], r["n"]["width"]) == (r["d"], r["w"]) for r in both) and both[0]["d"] is None and both[0]["w"] == 0
     assert df.limit(0).select(kernels.normalized(F.col("t"))).collect() == []
+
+
+def test_context_keeps_one_order(spark):
+    rows = [(1, i, t, False, False, 14, None) for i, t in enumerate(["关于开展工作的报告", "", "某某市人民政府", "一、总体要求", "各部门要认真落实各项任务，按时完成年度目标。", "某某市财政局", "2024年3月5日"])]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, text string, centred boolean, bold boolean, size int, style string")
+    out = context.with_tail(context.with_context(context.facts(df)))
+    assert plan(out).count("Sort [") == 1
+    assert [(r["pos"], r["signature"]) for r in out.where("signature is not null").orderBy("pos").collect()] == [(5, "following-date"), (6, "previous-signature-org")]
