@@ -192,19 +192,35 @@ def region_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return by_document(left, right, run, "doc_id bigint, region string, pos int, other int")
 
 
-def identity(text: Column) -> Column:
-    """struct(identity, reason): what stays of a line when numbers of headings, their last full stop and the form of dates are left out; null for an empty line."""
-    t = F.regexp_replace(P.strip(text), f"{P.SPACE}+", " ")
-    prefix = P.heading_prefix(t)
-    bare = P.strip(F.substr(t, F.length(prefix) + 1))
-    heading = F.regexp_replace(bare, r"\s*。$", "")
-    date = P.normalize_sign_date(t)
+def _identity(t: Column, prefix: Column, heading: Column, date: Column) -> Column:
     dated, numbered = P.strict_date(date), (prefix != "") & (heading != "")
     reason = F.when(t == "", "empty").when(dated, "date_normalization").when(numbered, "heading_number_normalization").otherwise("exact_text")
     value = F.when(t == "", None).when(dated, F.concat(F.lit("date:"), date)).when(numbered, F.concat(F.lit("heading:"), heading)).otherwise(t)
     return F.struct(F.sha2(value, 256).alias("identity"), reason.alias("reason"))
 
 
+def _shown(text: Column) -> Column:
+    return F.regexp_replace(P.strip(text), f"{P.SPACE}+", " ")
+
+
+def _heading(t: Column, prefix: Column) -> Column:
+    return F.regexp_replace(P.strip(F.substr(t, F.length(prefix) + 1)), r"\s*。$", "")
+
+
+def identity(text: Column) -> Column:
+    """struct(identity, reason): what stays of a line when numbers of headings, their last full stop and the form of dates are left out; null for an empty line."""
+    t = _shown(text)
+    prefix = P.heading_prefix(t)
+    return _identity(t, prefix, _heading(t, prefix), P.normalize_sign_date(t))
+
+
+def with_identity(df: DataFrame, text: Column) -> DataFrame:
+    """df with the identity of a text as column i. Its steps are columns of their own, as each is used several times by the next; as one expression it would be evaluated anew at each use."""
+    t, prefix = F.col("i__t"), F.col("i__prefix")
+    df = df.withColumn("i__t", _shown(text)).withColumns({"i__prefix": P.heading_prefix(t), "i__date": P.normalize_sign_date(t)}).withColumn("i__heading", _heading(t, prefix))
+    return df.withColumn("i", _identity(t, prefix, F.col("i__heading"), F.col("i__date"))).drop("i__t", "i__prefix", "i__date", "i__heading")
+
+
 def _digests(df: DataFrame, text: str) -> DataFrame:
     return df.select("doc_id", "pos", F.sha2(text, 256).alias("raw"), F.sha2(F.regexp_replace(F.trim(text), r"\s+", " "), 256).alias("canonical"))
 
@@ -231,8 +247,8 @@ def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The lines of documents by region, and a version that lost some, repeats some and numbers some."""
     t = lines(spark, sf_dir).withColumn("region", F.when(F.col("pos") == 0, "front").when(F.col("pos") % 13 == 12, "attachment").otherwise("body"))
     other = t.where("pos % 7 <> 3").withColumn("text", F.when((F.col("pos") % 5 == 2) & (F.trim("text") != ""), F.concat(F.lit("一、"), "text", F.lit("。"))).otherwise(F.col("text")))
-    named = lambda df: df.select("doc_id", "pos", "region", identity(F.when(F.col("pos") % 5 == 2, F.concat(F.lit("二、"), "text")).otherwise(F.col("text"))).alias("i") if df is t else identity(F.col("text")).alias("i")).select("doc_id", "pos", "region", "i.identity")
-    return named(t), named(other)
+    named = lambda df, text: with_identity(df, text).select("doc_id", "pos", "region", "i.identity")
+    return named(t, F.when(F.col("pos") % 5 == 2, F.concat(F.lit("二、"), "text")).otherwise(F.col("text"))), named(other, F.col("text"))
 
 
 @query()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import kernels
-from quire.operators import context, contracts, normalization, outline, packages, parts, rope, spans
+from quire.operators import align, context, contracts, normalization, outline, packages, parts, rope, spans
 
 
 def plan(df) -> str:
@@ -121,3 +121,12 @@ def test_context_keeps_one_order(spark):
     out = context.with_tail(context.with_context(context.facts(df)))
     assert plan(out).count("Sort [") == 1
     assert [(r["pos"], r["signature"]) for r in out.where("signature is not null").orderBy("pos").collect()] == [(5, "following-date"), (6, "previous-signature-org")]
+
+
+def test_steps_of_an_identity_are_columns(spark):
+    texts = ["", "  一、  总体要求 。", "（二）a", "2024 年3月5日", "a  b", "3.", None]
+    t = spark.createDataFrame([(x,) for x in texts], "x string").repartition(1)
+    out = align.with_identity(t, F.col("x"))
+    assert out.columns == ["x", "i"]
+    got = {r["x"]: r["i"] for r in out.collect()}
+    assert got == {r["x"]: r["i"] for r in t.select("x", align.identity(F.col("x")).alias("i")).collect()}
