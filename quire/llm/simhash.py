@@ -85,14 +85,15 @@ def links(fps: DataFrame) -> DataFrame:
     larger buckets give stars instead.
     """
     tables = _segments(fps)
+    # Joins are by merge: Spark takes an exploded table for no larger than what it was, and would broadcast all probes of a few MB of fingerprints.
     # Sizes of buckets are aggregated before the shuffle; no task holds a bucket that may be large.
     sizes = materialize(tables.groupBy(F.col("t").alias("b_t"), F.col("v").alias("b_v")).agg(F.count("*").alias("n"), F.min("fp").alias("mark")))
     large, same = sizes.where(F.col("n") > BUCKET), (F.col("t") == F.col("b_t")) & (F.col("v") == F.col("b_v"))
     hot = F.broadcast(large.orderBy(F.desc("n")).limit(FREQUENT).select("b_t", "b_v"))
-    small = tables.join(hot, same, "left_anti").join(sizes.where(F.col("n") <= BUCKET), same, "left_semi").select("t", "v", F.col("fp").alias("found"), F.lit(False).alias("large"))
+    small = tables.join(hot, same, "left_anti").join(sizes.where(F.col("n") <= BUCKET).hint("merge"), same, "left_semi").select("t", "v", F.col("fp").alias("found"), F.lit(False).alias("large"))
     entries = small.union(large.select("b_t", "b_v", "mark", F.lit(True)))
     probes = _segments(fps).withColumn("mask", F.explode(_masks(SEGMENT_BITS))).withColumn("probe", F.col("v").bitwiseXOR(F.col("mask")))
-    met = probes.withColumnRenamed("t", "pt").withColumnRenamed("v", "pv").join(entries, (F.col("pt") == F.col("t")) & (F.col("probe") == F.col("v")))
+    met = probes.withColumnRenamed("t", "pt").withColumnRenamed("v", "pv").join(entries.hint("merge"), (F.col("pt") == F.col("t")) & (F.col("probe") == F.col("v")))
     # A pair whose segments differ is found from the larger value only, an equal one from the smaller fingerprint.
     once = F.when(F.col("mask") == 0, F.col("fp") < F.col("found")).otherwise(F.col("probe") < F.col("pv"))
     met = materialize(met.where(F.col("large") | (once & (distance("fp", "found") <= MAX_BITS))).select("fp", "found", "large"))

@@ -96,6 +96,15 @@ def test_simhash_links_in_large_buckets(spark, monkeypatch):
     assert [root(i) for i in range(len(prints))] == by_distance(prints)
 
 
+def test_simhash_probes_are_not_broadcast(spark, monkeypatch):
+    plans, few = [], simhash.materialize(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    simhash.links(few)
+    joins = [x for x in "\n".join(plans).splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x and "probe" in x for x in joins)
+    assert all("LeftAnti" in x for x in joins if "BroadcastHashJoin" in x)  # of the most frequent buckets, bounded
+
+
 def test_simhash_empty_table_and_one_of_each_group(spark):
     assert simhash.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
     kept = simhash.keep_one(docs_of(spark, ["a b c d", "A b C d", None, "", "other words here"]))
