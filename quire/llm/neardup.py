@@ -106,7 +106,8 @@ def classes(docs: DataFrame, text: str = "text", size: int = SIZE, least: float
     rows = nodes.groupBy("s").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("v").alias("v"))
     met = rows.select("s", "n", F.explode("v").alias("v"))
     buckets = met.groupBy(F.col("v").alias("b_v")).agg(F.count("*").alias("c"), F.min(F.struct("s", "n")).alias("mark")).where("c > 1")
-    members = materialize(met.join(buckets, F.col("v") == F.col("b_v")).select("v", "s", "n", "c", "mark"))
+    # By merge: Spark takes the exploded bands for as large as one value a text.
+    members = materialize(met.join(buckets.hint("merge"), F.col("v") == F.col("b_v")).select("v", "s", "n", "c", "mark"))
     # Sets of too different sizes cannot be similar.
     alike = (F.least("n", "o_n") >= F.lit(least) * F.greatest("n", "o_n") - 1e-9) & (F.col("s") != F.col("o"))
     pair = [F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")]

@@ -41,3 +41,11 @@ def test_fingerprints_link_too(spark):
     assert fingerprint(texts[0]) == fingerprint(texts[1]) and fingerprint(own[2]) != fingerprint(own[3])
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_bands_are_not_broadcast(spark, monkeypatch):
+    plans, stored = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    neardup.classes(spark.createDataFrame([("a b c d e f",), ("a b c d e f g",)], "text string"))
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x and "b_v" in x and "Inner" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
