@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quire.functions import kernels as K
 from quire.functions import predicates as P
 from quire.operators import context as C
+from quire.operators.alike import Alike, alike
 from quire.operators.grouped import per_document
 from quire.operators.segments import STYLES
 from quire.plans.registry import query
@@ -61,18 +62,18 @@ def with_mode(facts: DataFrame) -> DataFrame:
     return out.drop("place", "metas", "first", "visible", "meta", "ending")
 
 
-def features(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context.
-
-    The text is dealt by document before anything is read from it: a file of few row groups would keep all the patterns in as few
-    tasks. The facts are shuffled once more for the windows.
-    """
+def facts(paragraphs: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, pos) with what a paragraph says by itself; more: further columns, by name."""
     t = F.col("text")
     visible, meta, ending = mode_facts(t)
-    own = C.facts(paragraphs.repartition("doc_id"), visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), styled=F.replace(F.lower(F.trim(F.coalesce("style", F.lit("")))), F.lit(" "), F.lit("")), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"))
+    own = C.facts(paragraphs, visible=visible, meta=meta, ending=ending, colon_kind=F.col("colon.kind"), org=P.signature_org(t), numbered_item=P.is_attachment_item(t), prose=P.body_like_candidate(t), compact=P.compact(t), styled=F.replace(F.lower(F.trim(F.coalesce("style", F.lit("")))), F.lit(" "), F.lit("")), colons=P.compact(t).rlike("[:：]"), closed=t.rlike(r"\p{P}\s*$"), **more)
     glossary = (F.col("n") <= 20) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & F.col("compact").rlike("名词解释|注释")
     short = F.col("shown") & (F.col("n") < 28) & (F.col("level") == 0) & ~F.col("colons") & ~F.col("ends") & ~F.col("closed") & ~F.col("date") & ~F.col("recipient")
-    own = own.withColumns({"glossary": F.when(F.col("compact").isin("名词解释", "注释"), "exact").when(glossary, "like"), "short": short, "annual": F.col("compact").isin("一年来。", "五年来。")}).drop("compact", "closed")
+    return own.withColumns({"glossary": F.when(F.col("compact").isin("名词解释", "注释"), "exact").when(glossary, "like"), "short": short, "annual": F.col("compact").isin("一年来。", "五年来。")}).drop("compact", "closed")
+
+
+def in_documents(own: DataFrame, *keep: str) -> DataFrame:
+    """facts with those that depend on the other paragraphs of the document, its context and mode; keep: further columns."""
     known = C.with_context(own)
     carries = F.col("shown") & (F.col("level") == 0) & ((F.col("n") >= 34) | (F.col("ends") & (F.col("n") >= 12)))
     # One window per level instead of a partition of its own: all of them share the document's shuffle.
@@ -83,7 +84,22 @@ def features(paragraphs: DataFrame) -> DataFrame:
         "after_body": F.coalesce(F.max(F.col("prose").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)),
         "siblings": F.coalesce(*alike, F.lit(0)), "middle": F.coalesce(F.lead(carries).over(in_order()), F.lit(False)),
     })
-    return with_mode(out.select("styled", "glossary", "short", "annual", "colons", "bold", "middle", "doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
+    return with_mode(out.select(*keep, "styled", "glossary", "short", "annual", "colons", "bold", "middle", "doc_id", "pos", "n", F.col("colon_kind").alias("colon"), "level", "dispatch", "date", "org", "note", F.col("numbered_item").alias("item"), "caption", "prose", "page", "metadata", "title_score", "front", "before_body", "visible", "meta", "ending", "rank", "date_next", "after_body", "siblings"))
+
+
+def features(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, pos) with the facts that candidates, vetoes and the mode need, and the document's context, every paragraph read.
+
+    The text is dealt by document before anything is read from it: a file of few row groups would keep all the patterns in as few
+    tasks. The facts are shuffled once more for the windows.
+    """
+    return in_documents(facts(paragraphs.repartition("doc_id")))
+
+
+def classed(paragraphs: DataFrame) -> tuple[Alike, DataFrame]:
+    """The classes of documents that say the same, and their paragraphs with candidates and how many documents a class has."""
+    classes = alike(paragraphs, facts)
+    return classes, with_candidates(in_documents(classes.rows, "documents"))
 
 
 PROVIDERS: dict[str, Callable[[], list[Column]]] = {}
@@ -422,10 +438,11 @@ def review_levels(spark, sf_dir):
 @query()
 def candidate_quality(spark, sf_dir):
     """How many candidates paragraphs have, which are hard, and their softmax confidence."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumn("candidates", free()).withColumn("c", F.transform("candidates", lambda x: -x["cost"]))
+    n = F.col("documents")
+    f = classed(documents(spark, sf_dir))[1].withColumn("candidates", free()).withColumn("c", F.transform("candidates", lambda x: -x["cost"]))
     best = F.array_max("c")
     total = F.aggregate("c", F.lit(0.0), lambda a, s: a + F.exp(s - best))
-    return f.groupBy(F.size("c").alias("candidates")).agg(F.count("*").alias("paragraphs"), F.count_if(F.exists("candidates", lambda x: ~x["soft"])).alias("with_hard"), F.round(F.avg(1.0 / total), 3).alias("softmax"))
+    return f.groupBy(F.size("c").alias("candidates")).agg(F.sum("documents").alias("paragraphs"), F.sum(F.when(F.exists("candidates", lambda x: ~x["soft"]), n).otherwise(0)).alias("with_hard"), F.round(F.sum(n / total) / F.sum(n), 3).alias("softmax"))
 
 
 @query()
