@@ -448,10 +448,11 @@ def candidate_quality(spark, sf_dir):
 @query()
 def candidate_softmax_margin(spark, sf_dir):
     """Best candidate of each paragraph, its margin over the next other type, and its softmax among all candidates of the beam."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumn("candidates", free()).withColumns({"score": F.transform("candidates", lambda x: -x["cost"]), "first": F.array_min(F.transform("candidates", lambda x: F.struct(x["cost"].alias("cost"), x["type"].alias("type"))))})
+    classes, found = classed(documents(spark, sf_dir))
+    f = found.withColumn("candidates", free()).withColumns({"score": F.transform("candidates", lambda x: -x["cost"]), "first": F.array_min(F.transform("candidates", lambda x: F.struct(x["cost"].alias("cost"), x["type"].alias("type"))))})
     other = F.array_max(F.transform(F.filter("candidates", lambda x: x["type"] != F.col("first.type")), lambda x: -x["cost"]))
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x + F.col("first.cost")))
-    return f.select("doc_id", "pos", F.col("first.type").alias("type"), (-F.col("first.cost") - other).alias("margin"), (-F.col("first.cost")).alias("best"), (1.0 / total).alias("confidence"))
+    return classes.to_paragraphs(f.select("doc_id", "pos", F.col("first.type").alias("type"), (-F.col("first.cost") - other).alias("margin"), (-F.col("first.cost")).alias("best"), (1.0 / total).alias("confidence")))
 
 
 LOW = 0.60
