@@ -432,7 +432,9 @@ def document_modes(spark, sf_dir):
 @query()
 def review_levels(spark, sf_dir):
     """Decoded types by review level, with mean confidence in hundredths."""
-    return decode(documents(spark, sf_dir)).groupBy("type", "level").agg(F.count("*").alias("n"), F.count_if("conflict").alias("conflicts"), F.round(F.avg("confidence") * 100).cast("bigint").alias("confidence"))
+    n = F.col("documents")
+    every = decided(classed(documents(spark, sf_dir))[1], documents=n)
+    return every.groupBy("type", "level").agg(F.sum("documents").alias("n"), F.sum(F.when(F.col("conflict"), n).otherwise(0)).alias("conflicts"), F.round(F.sum(F.col("confidence") * n) / F.sum(n) * 100).cast("bigint").alias("confidence"))
 
 
 @query()
