@@ -413,8 +413,9 @@ def free() -> Column:
 @query()
 def strongest_candidates(spark, sf_dir):
     """The best context-free candidate of every paragraph."""
-    f = with_candidates(features(documents(spark, sf_dir))).withColumn("best", F.get(free(), F.lit(0)))
-    return f.select("doc_id", "pos", "best.type", (-F.col("best.cost")).alias("score"), "best.source", (~F.col("best.soft")).alias("hard"))
+    classes, found = classed(documents(spark, sf_dir))
+    f = found.withColumn("best", F.get(free(), F.lit(0)))
+    return classes.to_paragraphs(f.select("doc_id", "pos", "best.type", (-F.col("best.cost")).alias("score"), "best.source", (~F.col("best.soft")).alias("hard")))
 
 
 @query()
