@@ -337,7 +337,8 @@ def _decided(rows: list[Facts]) -> list[tuple]:
 
 def decode(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, pos, type, score, margin, confidence, level, conflict) of every paragraph."""
-    return decided(with_candidates(features(paragraphs)))
+    classes, found = classed(paragraphs)
+    return classes.to_paragraphs(decided(found))
 
 
 _KNOWN: OrderedDict[tuple[int, ...], list[tuple]] = OrderedDict()
