@@ -464,15 +464,16 @@ LOW = 0.60
 
 def summary(paragraphs: DataFrame) -> DataFrame:
     """One row a document: its mode, how many paragraphs and candidates it has, what decided them, and how sure the decisions are."""
-    found = with_candidates(features(paragraphs))
+    classes, found = classed(paragraphs)
     every = decided(found, mode=F.col("mode"), n=F.size("candidates"), hard=F.exists("candidates", lambda x: ~x["soft"]), sources=F.size(F.array_distinct(F.transform("candidates", lambda x: x["source"]))))
     level = lambda x: F.count_if(F.col("level") == x).alias(x)
-    return every.groupBy("doc_id").agg(
+    told = every.groupBy("doc_id").agg(
         F.any_value("mode").alias("mode"), F.count("*").alias("paragraphs"), F.sum("n").alias("candidates"), F.max("n").alias("most_candidates"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") == 2).alias("double"), F.count_if(F.col("n") > 2).alias("more"),
         F.count_if("hard").alias("with_hard"), F.max("sources").alias("most_providers"),
         *[level(x) for x in ("confirmed", "info", "review", "critical_review")], F.count_if(F.col("level").isin("review", "critical_review")).alias("needs_review"), F.count_if(F.col("confidence") < LOW).alias("low_confidence"), F.count_if("conflict").alias("conflicts"),
         F.count_if(F.col("type").startswith("heading_")).alias("headings"), F.count_distinct("type").alias("types"),
-    ).withColumn("beam", F.lit(BEAM))
+    )
+    return classes.to_documents(told).drop("at").withColumn("beam", F.lit(BEAM))
 
 
 @query()
