@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import alike, decode
+from quire.operators import alike, decode, spans
 
 TEXTS = ["关于推进工作的通知", "一、总体要求", "（二）重点任务", "各部门要认真落实各项任务，按时完成。", "公共服务管理办公室", "2024年3月5日", "", None, "名词解释", "时间：上午"]
 
@@ -41,3 +41,16 @@ def test_equal_documents_are_one_class(spark):
 def by_document(df):
     rows = sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.pos))
     return [[r for r in rows if r.doc_id == d] for d in {r.doc_id for r in rows}]
+
+
+def test_equal_paragraphs_are_planned_once(spark, monkeypatch):
+    kept, made = spans.stored, []
+    monkeypatch.setattr(spans, "stored", lambda df: made.append(kept(df)) or made[-1])
+    monkeypatch.setattr(alike, "FREQUENT", 1)
+    texts = ["一、工作事项。各部门要落实各项工作。", "各部门要落实工作\n某某市财政局", " ", "2024年3月5日"]
+    runs = "array(named_struct('start', 0, 'end', 4, 'bold', true, 'size', 14, 'font', '宋'))"
+    df = spark.createDataFrame([(d, i, t) for d in range(12) for i, t in enumerate(texts)], "doc_id long, para int, text string").selectExpr("*", "doc_id % 2 = 0 as report", f"{runs} as runs")
+    got = {(r.doc_id, r.para): (r.text, r.started, r.why, [tuple(x) for x in r.spans], r.visible == r.whole) for r in spans.plans(df).collect()}
+    assert len(got) == 48 and made[-1].count() == 8  # four paragraphs, in reports and in others
+    assert all(v == got[k[0] % 2, k[1]] and v[0] == texts[k[1]] and v[4] for k, v in got.items())
+    assert [got[0, i][1:3] for i in range(4)] == [(False, "inline"), (True, "soft"), (True, "single"), (True, "single")]
